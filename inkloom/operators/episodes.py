@@ -180,10 +180,14 @@ def admission_reason(dims: Column, output_mode: Column) -> Column:
 def describe_reason(reason: Column) -> Column:
     """Readable form of an admission reason."""
     kind, dim = F.split_part(reason, F.lit(":"), F.lit(1)), F.split_part(reason, F.lit(":"), F.lit(2))
-    return F.when(reason == "ok", "admitted").when(reason == "no_full_report", "no full audit report") \
-        .when(kind == "missing_dim", F.concat(F.lit("dimension missing: "), dim)) \
-        .when(kind == "not_evaluated", F.concat(F.lit("dimension not evaluated: "), dim)) \
-        .when(kind == "failed", F.concat(F.lit("dimension failed: "), dim)).otherwise(reason)
+    # The texts shown for each reason code.
+    return F.when(reason == "no_full_report", "审计报告缺少完整 8 维 'dims'（旧式/不完整报告，已拒绝收口）") \
+        .when(reason == "no_episode_log", "episode 日志不存在") \
+        .when(reason == "episode_not_found", "未找到对应 episode 记录") \
+        .when(kind == "missing_dim", F.concat(F.lit("缺必需审计维度："), dim)) \
+        .when(kind == "not_evaluated", F.concat(F.lit("必需维度未真正核验："), dim)) \
+        .when(kind == "failed", F.concat(F.lit("必需维度未通过："), dim)) \
+        .otherwise(F.coalesce(F.nullif(reason, F.lit("")), F.lit("unknown")))
 
 
 def audit_summary(metrics: Column, passed: Column) -> list[Column]:

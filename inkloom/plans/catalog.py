@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from .registry import ORACLE, QUERIES  # noqa: F401
-from . import catalog_lexicon, catalog_episodes  # noqa: F401
+from . import catalog_lexicon, catalog_audit, catalog_episodes, catalog_inks  # noqa: F401

@@ -127,10 +127,10 @@ def _(v):
 
 
 @query("admission_reason_text_p5", f"""
-SELECT text, count(*) AS n FROM (SELECT CASE WHEN r = 'ok' THEN 'admitted' WHEN r = 'no_full_report' THEN 'no full audit report'
- WHEN r LIKE 'missing_dim:%' THEN 'dimension missing: ' || split_part(r, ':', 2)
- WHEN r LIKE 'not_evaluated:%' THEN 'dimension not evaluated: ' || split_part(r, ':', 2)
- ELSE 'dimension failed: ' || split_part(r, ':', 2) END AS text FROM (SELECT {_admit_sql()} AS r FROM episodes)) GROUP BY 1""", ("episodes",))
+SELECT text, count(*) AS n FROM (SELECT CASE WHEN r = 'no_full_report' THEN '审计报告缺少完整 8 维 ''dims''（旧式/不完整报告，已拒绝收口）'
+ WHEN r LIKE 'missing_dim:%' THEN '缺必需审计维度：' || split_part(r, ':', 2)
+ WHEN r LIKE 'not_evaluated:%' THEN '必需维度未真正核验：' || split_part(r, ':', 2)
+ WHEN r LIKE 'failed:%' THEN '必需维度未通过：' || split_part(r, ':', 2) ELSE r END AS text FROM (SELECT {_admit_sql()} AS r FROM episodes)) GROUP BY 1""", ("episodes",))
 def _(v):
     reason = ep.admission_reason(F.col("dims"), F.col("output_mode"))
     return _dims(v).select(reason.alias("reason")).groupBy(ep.describe_reason(F.col("reason")).alias("text")).agg(F.count(F.lit(1)).alias("n"))

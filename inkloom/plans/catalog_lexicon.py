@@ -164,7 +164,7 @@ SELECT material_family, name, affinity, added FROM (
   AND NOT list_has_any(list_filter(regexp_split_to_array(name, '[^a-z]+'), lambda t: length(t) >= 4), ['plate', 'promo', 'bolt', 'large'])
 ) WHERE added <= 3""")
 def _(v):
-    named = v.part.join(F.broadcast(v.nation), v.nation.n_nationkey == v.part.p_partkey % 25).groupBy(
+    named = v.part.join(v.nation, v.nation.n_nationkey == v.part.p_partkey % 25).groupBy(
         F.col("n_name").alias("material_family"), F.concat("p_name", F.lit("_"), F.lower("p_type")).alias("name")) \
         .agg(F.max(F.round(F.col("p_size") / 50, 4)).alias("affinity"))
     from pyspark.sql import Window
@@ -185,7 +185,7 @@ def _(v):
     obs = (v.lineitem.select("l_orderkey", F.col("l_suppkey").alias("category_id"))
            .join(v.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
            .join(v.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")), "o_custkey")
-           .join(F.broadcast(v.nation.select("n_nationkey", F.col("n_name").alias("material_family"))), "n_nationkey"))
+           .join(v.nation.select("n_nationkey", F.col("n_name").alias("material_family")), "n_nationkey"))
     return lx.affinity_from_cooccurrence(obs, v.affinity).withColumn("affinity", F.round("affinity", 6))
 
 

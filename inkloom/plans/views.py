@@ -109,7 +109,7 @@ _VIEWS["log_lines"] = "SELECT conv_id AS task_id, turn AS seq, text AS message F
 # runs: one per order; its layers are the order's line items
 _VIEWS["runs"] = """
 SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'plate' WHEN 'O' THEN 'design' ELSE 'both' END AS output_mode,
-  CAST(1000 + o_custkey % 700 AS INT) AS src_w, CAST(600 + o_custkey % 500 AS INT) AS src_h,
+  CAST(1001 + 2 * (o_custkey % 350) AS INT) AS src_w, CAST(601 + 2 * (o_custkey % 250) AS INT) AS src_h,
   CAST(4000 + CAST(floor(o_totalprice) AS BIGINT) % 9000 AS INT) AS out_w,
   CAST(CASE WHEN o_orderkey % 101 = 0 THEN 0 ELSE 2000 + o_orderkey % 3000 END AS INT) AS out_h,
   CAST(CASE WHEN o_orderkey % 211 = 0 THEN 0 ELSE 150 END AS DOUBLE) AS ppi,

@@ -30,20 +30,20 @@ def _(v):
 
 
 @query("manifest_vs_layers_j12", """
-WITH d AS (SELECT DISTINCT run_id, name FROM run_layers WHERE seq % 3 <> 0), a AS (SELECT DISTINCT run_id, name FROM run_layers WHERE seq % 4 <> 0)
+WITH d AS (SELECT DISTINCT run_id, name FROM run_layers WHERE tax > 0.02), a AS (SELECT DISTINCT run_id, name FROM run_layers WHERE recon_ratio > 0.03)
 SELECT run_id, name, CASE WHEN d.name IS NULL THEN 'undeclared' ELSE 'absent' END AS side
 FROM (SELECT run_id, name FROM d) d FULL JOIN (SELECT run_id, name FROM a) a USING (run_id, name) WHERE d.name IS NULL OR a.name IS NULL""".replace("FULL JOIN (SELECT run_id, name FROM a) a USING (run_id, name) WHERE d.name IS NULL OR a.name IS NULL", "ANTI JOIN a USING (run_id, name)").replace("CASE WHEN d.name IS NULL THEN 'undeclared' ELSE 'absent' END", "'absent'") + """
 UNION ALL SELECT run_id, name, 'undeclared' FROM a ANTI JOIN d USING (run_id, name)""", ("run_layers",))
 def _(v):
-    return au.declared_vs_actual(v.run_layers.where("seq % 3 <> 0"), v.run_layers.where("seq % 4 <> 0"))
+    return au.declared_vs_actual(v.run_layers.where("tax > 0.02"), v.run_layers.where("recon_ratio > 0.03"))
 
 
 @query("manifest_consistency_j12", """
-WITH d AS (SELECT DISTINCT run_id, name, 1 AS d FROM run_layers WHERE seq % 3 <> 0), a AS (SELECT DISTINCT run_id, name, 1 AS a FROM run_layers WHERE seq % 4 <> 0)
+WITH d AS (SELECT DISTINCT run_id, name, 1 AS d FROM run_layers WHERE tax > 0.02), a AS (SELECT DISTINCT run_id, name, 1 AS a FROM run_layers WHERE recon_ratio > 0.03)
 SELECT run_id, count(d) AS declared, count(a) AS actual, count(*) FILTER (d IS NULL) AS undeclared, count(*) FILTER (a IS NULL) AS absent,
  count(*) FILTER (d IS NULL OR a IS NULL) = 0 AS passed FROM d FULL JOIN a USING (run_id, name) GROUP BY 1""", ("run_layers",))
 def _(v):
-    return au.manifest_consistency(v.run_layers.where("seq % 3 <> 0"), v.run_layers.where("seq % 4 <> 0"))
+    return au.manifest_consistency(v.run_layers.where("tax > 0.02"), v.run_layers.where("recon_ratio > 0.03"))
 
 
 @query("layer_properties_m20", """
@@ -178,38 +178,44 @@ def _(v):
 
 # ---- feedback --------------------------------------------------------------
 
-_ACTS = """acts AS (SELECT 'fb' || event_id AS feedback_request_id, event_id AS seq, CASE WHEN event_id % 9 = 0 THEN 'ghost' ELSE event_type END AS category_id,
+_ACTS = """acts AS (SELECT 'fb' || event_id AS feedback_request_id, event_id AS seq, CASE WHEN event_id % 9 = 0 THEN 'ghost' ELSE event_type || user_id END AS category_id,
  CASE event_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'rename' WHEN 2 THEN 'delete' ELSE 'merge' END AS user_action FROM events)"""
 
 
 def _acts(v):
     return v.events.select(F.concat(F.lit("fb"), "event_id").alias("feedback_request_id"), F.col("event_id").alias("seq"),
-                           F.expr("CASE WHEN event_id % 9 = 0 THEN 'ghost' ELSE event_type END").alias("category_id"),
+                           F.expr("CASE WHEN event_id % 9 = 0 THEN 'ghost' ELSE event_type || user_id END").alias("category_id"),
                            F.expr("CASE event_id % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'rename' WHEN 2 THEN 'delete' ELSE 'merge' END").alias("user_action"),
                            F.expr("CASE WHEN event_id % 8 = 1 THEN concat(' N', event_id, ' ') END").alias("new_name"),
                            F.expr("CASE WHEN event_id % 16 = 1 THEN 'En' END").alias("new_name_en"))
 
 
 def _type_categories(v):
-    return v.events.select(F.col("event_type").alias("id")).distinct().select(
+    return v.events.select(F.concat("event_type", "user_id").alias("id"), (F.col("event_type") == "view").alias("_old")).distinct().select(
         "id", F.col("id").alias("name_zh"), F.upper("id").alias("name_en"), F.concat(F.lit("NN_"), "id").alias("name_template"),
-        F.when(F.col("id") == "view", F.lit(1700000000).cast("long")).alias("deleted_at"))
+        F.when(F.col("_old"), F.lit(1700000000).cast("long")).alias("deleted_at"))
 
 
-_TYPES = "cats AS (SELECT DISTINCT event_type AS id, upper(event_type) AS name_en, 'NN_' || event_type AS name_template, CASE WHEN event_type = 'view' THEN CAST(1700000000 AS BIGINT) END AS deleted_at FROM events)"
+def _fine_prompts(v):
+    return v.detections.where("prompt <> ''").join(v.events.select(F.col("event_id").alias("seq"), "event_type"), "seq").groupBy(
+        F.concat("event_type", "episode_id").alias("category_id"), "prompt").agg(F.lit(1.0).alias("weight"), F.lit(0).alias("n_accept"))
 
 
-@query("feedback_accept_results_f1", f"""WITH {_ACTS}, {_TYPES}, n AS (SELECT category_id, count(*) AS n FROM prompts GROUP BY 1)
+_TYPES = """cats AS (SELECT DISTINCT event_type || user_id AS id, upper(event_type || user_id) AS name_en, 'NN_' || event_type || user_id AS name_template, CASE WHEN event_type = 'view' THEN CAST(1700000000 AS BIGINT) END AS deleted_at FROM events)"""
+_FINE = """fine AS (SELECT DISTINCT event_type || episode_id AS category_id, prompt FROM detections JOIN events ON event_id = seq WHERE prompt <> '')"""
+
+
+@query("feedback_accept_results_f1", f"""WITH {_ACTS}, {_TYPES}, {_FINE}, n AS (SELECT category_id, count(*) AS n FROM fine GROUP BY 1)
 SELECT a.feedback_request_id, a.category_id, CASE WHEN c.id IS NULL THEN 'no_category' WHEN n.n IS NULL THEN 'no_prompt' ELSE 'ok' END AS status, CASE WHEN c.id IS NOT NULL THEN coalesce(n.n, 0) ELSE 0 END AS affected
-FROM acts a LEFT JOIN (SELECT * FROM cats WHERE deleted_at IS NULL) c ON c.id = a.category_id LEFT JOIN n ON n.category_id = a.category_id WHERE user_action = 'accept'""", ("prompts",))
+FROM acts a LEFT JOIN (SELECT * FROM cats WHERE deleted_at IS NULL) c ON c.id = a.category_id LEFT JOIN n ON n.category_id = a.category_id WHERE user_action = 'accept'""", ("detections",))
 def _(v):
-    return fb.accept(fb.first_actions(_acts(v)), _type_categories(v), v.prompts)[1]
+    return fb.accept(fb.first_actions(_acts(v)), _type_categories(v), _fine_prompts(v))[1]
 
 
-@query("feedback_accept_weights_f1", f"""WITH {_ACTS}, t AS (SELECT category_id, count(*) AS t FROM acts WHERE user_action = 'accept' AND category_id NOT IN ('ghost', 'view') AND seq % 100 = 0 GROUP BY 1)
-SELECT p.category_id, p.prompt, round(p.weight * pow(1.1e0, coalesce(t.t, 0)), 6) AS weight, CAST(p.n_accept + coalesce(t.t, 0) AS BIGINT) AS n_accept FROM prompts p LEFT JOIN t USING (category_id)""", ("prompts",))
+@query("feedback_accept_weights_f1", f"""WITH {_ACTS}, {_TYPES}, {_FINE}, t AS (SELECT category_id, count(*) AS t FROM acts JOIN cats ON id = category_id WHERE user_action = 'accept' AND deleted_at IS NULL GROUP BY 1)
+SELECT p.category_id, p.prompt, round(pow(1.1e0, coalesce(t.t, 0)), 6) AS weight, CAST(coalesce(t.t, 0) AS BIGINT) AS n_accept FROM fine p LEFT JOIN t USING (category_id)""", ("detections",))
 def _(v):
-    raised, _res = fb.accept(_acts(v).where("seq % 100 = 0"), _type_categories(v), v.prompts)
+    raised, _res = fb.accept(_acts(v), _type_categories(v), _fine_prompts(v))
     return raised.select("category_id", "prompt", F.round("weight", 6).alias("weight"), F.col("n_accept").cast("long").alias("n_accept"))
 
 
@@ -220,9 +226,9 @@ def _(v):
     return fb.rename(_acts(v), _type_categories(v), 1800000000).select("id", "name_zh", "name_en", "name_template")
 
 
-@query("feedback_delete_f3", f"""WITH {_ACTS}, {_TYPES} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM acts WHERE user_action = 'delete' AND category_id = id AND seq % 5 = 0) THEN 1800000000 ELSE deleted_at END AS deleted_at FROM cats""")
+@query("feedback_delete_f3", f"""WITH {_ACTS}, {_TYPES} SELECT id, CASE WHEN EXISTS (SELECT 1 FROM acts WHERE user_action = 'delete' AND category_id = id) THEN 1800000000 ELSE deleted_at END AS deleted_at FROM cats""")
 def _(v):
-    return fb.soft_delete(_acts(v).where("seq % 5 = 0"), _type_categories(v), 1800000000).select("id", "deleted_at")
+    return fb.soft_delete(_acts(v), _type_categories(v), 1800000000).select("id", "deleted_at")
 
 
 _MERGE_P = "mp AS (SELECT 's' || (CAST(substr(prompt, 2) AS INT) % 60) AS category_id, 'w' || (CAST(substr(prompt, 2) AS INT) % 7) AS prompt, max(weight) AS weight FROM prompts GROUP BY 1, 2)"
@@ -266,10 +272,10 @@ def _(v):
 
 
 @query("pending_feedback_s8", """
-SELECT event_id AS seq, 'fb' || event_id AS feedback_request_id FROM events WHERE event_id % 3 = 0 AND event_id % 6 <> 0 ORDER BY event_id LIMIT 20""")
+SELECT event_id AS seq, 'fb' || event_id AS feedback_request_id FROM events WHERE event_type = 'click' AND value >= 15 ORDER BY event_id LIMIT 20""")
 def _(v):
-    req = v.events.where("event_id % 3 = 0").select(F.col("event_id").alias("seq"), F.concat(F.lit("fb"), "event_id").alias("feedback_request_id"))
-    rev = v.events.where("event_id % 6 = 0").select(F.concat(F.lit("fb"), "event_id").alias("feedback_request_id"))
+    req = v.events.where("event_type = 'click'").select(F.col("event_id").alias("seq"), F.concat(F.lit("fb"), "event_id").alias("feedback_request_id"))
+    rev = v.events.where("value < 15").select(F.concat(F.lit("fb"), "event_id").alias("feedback_request_id"))
     return fb.pending_requests(req, rev, 20).select("seq", "feedback_request_id")
 
 
@@ -289,15 +295,15 @@ def _(v):
 
 
 @query("merged_bands_c29", """
-WITH e AS (SELECT p_brand AS preset, p_type AS name, max(p_size) / 100e0 AS density_min, max(p_size) / 50e0 AS density_max FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2),
-s AS (SELECT p_brand AS preset, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'band_' || p_size END AS name, min(p_size) / 90e0 AS lo, min(p_size) / 45e0 AS hi FROM part WHERE p_partkey % 5 = 0 GROUP BY 1, 2)
+WITH e AS (SELECT p_brand AS preset, p_type AS name, max(p_size) / 100e0 AS density_min, max(p_size) / 50e0 AS density_max FROM part WHERE p_size < 35 GROUP BY 1, 2),
+s AS (SELECT p_brand AS preset, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'band_' || p_size END AS name, min(p_size) / 90e0 AS lo, min(p_size) / 45e0 AS hi FROM part WHERE p_size > 40 GROUP BY 1, 2)
 SELECT preset, name, round(CASE WHEN s.lo IS NOT NULL THEN s.lo ELSE density_min END, 6) AS density_min, round(CASE WHEN s.lo IS NOT NULL THEN s.hi ELSE density_max END, 6) AS density_max, s.lo IS NOT NULL AS updated
 FROM e FULL JOIN s USING (preset, name)""")
 def _(v):
-    e = v.part.where("p_partkey % 3 <> 0").groupBy(F.col("p_brand").alias("preset"), F.col("p_type").alias("name")).agg(
+    e = v.part.where("p_size < 35").groupBy(F.col("p_brand").alias("preset"), F.col("p_type").alias("name")).agg(
         (F.max("p_size") / 100).alias("density_min"), (F.max("p_size") / 50).alias("density_max"))
     label = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit("band_"), "p_size"))
-    s = v.part.where("p_partkey % 5 = 0").groupBy(F.col("p_brand").alias("preset"), label.alias("label")).agg(
+    s = v.part.where("p_size > 40").groupBy(F.col("p_brand").alias("preset"), label.alias("label")).agg(
         (F.min("p_size") / 90).alias("density_min"), (F.min("p_size") / 45).alias("density_max"))
     out = fb.merge_bands(e, s)
     return out.withColumn("density_min", F.round("density_min", 6)).withColumn("density_max", F.round("density_max", 6))
@@ -305,10 +311,10 @@ def _(v):
 
 @query("applied_tuning_c28", """
 SELECT p_partkey, p_name AS name, coalesce(r.region, 'own_' || p_size) AS region, r.region IS NOT NULL AS applied FROM part
-LEFT JOIN (SELECT p_name AS n, 'tuned_' || max(p_size) AS region FROM part WHERE p_partkey % 37 = 0 GROUP BY 1) r ON r.n = p_name""")
+LEFT JOIN (SELECT p_name AS n, 'tuned_' || max(p_size) AS region FROM part WHERE p_size > 46 GROUP BY 1) r ON r.n = p_name""")
 def _(v):
     cls = v.part.select("p_partkey", F.col("p_name").alias("name"), F.concat(F.lit("own_"), "p_size").alias("region"))
-    saved = v.part.where("p_partkey % 37 = 0").groupBy(F.col("p_name").alias("name")).agg(F.concat(F.lit("tuned_"), F.max("p_size")).alias("region"))
+    saved = v.part.where("p_size > 46").groupBy(F.col("p_name").alias("name")).agg(F.concat(F.lit("tuned_"), F.max("p_size")).alias("region"))
     return fb.apply_tuning(cls, saved)
 
 

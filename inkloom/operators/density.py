@@ -18,7 +18,7 @@ def ink_density(pixels: DataFrame, gold_percentile: float = 88.0) -> DataFrame:
     """Density ``d`` of every pixel against the whole image's bright ground."""
     gold = pixels.groupBy("image_id").agg(F.greatest(F.percentile("gray", gold_percentile / 100.0) / 255.0, F.lit(1e-6)).alias("_g"))
     t = F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("gray") / 255.0 / F.col("_g")))
-    return pixels.join(gold, "image_id").select("image_id", "y", "x", (-F.ln(t) / math.log(50.0)).alias("d"))
+    return pixels.join(gold, "image_id").select("image_id", "y", "x", (F.lit(0.0) - F.ln(t) / math.log(50.0)).alias("d"))
 
 
 def density_map(pixels: DataFrame, canvases: DataFrame, gold_percentile: float = 88.0, sigma: float = 4.0) -> DataFrame:

@@ -142,18 +142,23 @@ def lbp_histogram(codes: DataFrame, bins: int = 16) -> DataFrame:
     return n.join(total, "image_id").select("image_id", "bin", (F.col("n") / F.col("_t")).alias("density"))
 
 
+def edge_flags(pixels: DataFrame, value: str = "gray", threshold: float = 150.0) -> DataFrame:
+    """Pixels flagged where the 3x3 gradient is strong; the border repeats its own pixel."""
+    off = {"nw": (-1, -1), "no": (-1, 0), "ne": (-1, 1), "we": (0, -1), "ea": (0, 1), "sw": (1, -1), "so": (1, 0), "se": (1, 1)}
+    nb = neighbours(pixels, off, value)
+    v = lambda n: F.coalesce(F.col(n), F.col(value))
+    gx = v("ne") + 2 * v("ea") + v("se") - v("nw") - 2 * v("we") - v("sw")
+    gy = v("sw") + 2 * v("so") + v("se") - v("nw") - 2 * v("no") - v("ne")
+    return nb.select("image_id", "y", "x", ((F.abs(gx) + F.abs(gy)) > threshold).alias("edge"))
+
+
 def edge_density(pixels: DataFrame, value: str = "gray", threshold: float = 150.0) -> DataFrame:
-    """Share of pixels with a strong 3x3 gradient.
+    """Share of pixels with a strong gradient.
 
     Stands in for a hysteresis edge detector: no thinning and one threshold, so
     values are higher than that detector's on the same picture.
     """
-    off = {"a": (-1, -1), "b": (-1, 0), "c": (-1, 1), "d": (0, -1), "e": (0, 1), "f": (1, -1), "g2": (1, 0), "i": (1, 1)}
-    nb = neighbours(pixels, off, value)
-    v = lambda n: F.coalesce(F.col(n), F.col(value))
-    gx = v("c") + 2 * v("e") + v("i") - v("a") - 2 * v("d") - v("f")
-    gy = v("f") + 2 * v("g2") + v("i") - v("a") - 2 * v("b") - v("c")
-    return nb.groupBy("image_id").agg(F.avg(((F.abs(gx) + F.abs(gy)) > threshold).cast("double")).alias("edge_density"))
+    return edge_flags(pixels, value, threshold).groupBy("image_id").agg(F.avg(F.col("edge").cast("double")).alias("edge_density"))
 
 
 def structure_features(pixels: DataFrame, canvases: DataFrame, value: str = "gray") -> DataFrame:

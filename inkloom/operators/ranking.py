@@ -20,3 +20,28 @@ def global_rank(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame
         F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return parts.withColumn("_l", local).join(before, "_p").withColumn(name, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before")
+
+
+def previous_value(df: DataFrame, keys: list[str], order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
+    """Adds the value of the row before, per key, ordered by the number ``order``.
+
+    Windows run inside chunks of the order; the first row of a chunk takes the
+    last one of the chunk before it, so a key with most of the rows is split.
+    """
+    t = df.withColumn("_k", F.floor(F.col(order) / chunk))
+    inner = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, "_k").orderBy(order))
+    ends = t.groupBy(*keys, "_k").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_e"))
+    carry = ends.withColumn("_c", F.lag("_e").over(Window.partitionBy(*keys).orderBy("_k"))).select(*keys, "_k", "_c")
+    return t.withColumn("_i", inner).join(carry, [*keys, "_k"]).withColumn(
+        name, F.when(F.col("_i").isNotNull(), F.col("_i.v")).otherwise(F.col("_c.v"))).drop("_k", "_i", "_c")
+
+
+def fill_forward(df: DataFrame, keys: list[str], order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
+    """Adds the last non-NULL value up to each row, per key, by the same chunks."""
+    t = df.withColumn("_k", F.floor(F.col(order) / chunk))
+    w = Window.partitionBy(*keys, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = t.groupBy(*keys, "_k").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_e"))
+    back = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.withColumn("_c", F.last("_e", ignorenulls=True).over(back)).select(*keys, "_k", "_c")
+    return t.withColumn("_i", F.last(value, ignorenulls=True).over(w)).join(carry, [*keys, "_k"]).withColumn(
+        name, F.coalesce("_i", "_c")).drop("_k", "_i", "_c")

@@ -156,6 +156,15 @@ def category_priors(boxes: DataFrame, edges: DataFrame | None = None, min_sample
 
 # ---- admission -------------------------------------------------------------
 
+def bound_once(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated a single time, however often ``fn`` uses it.
+
+    The optimizer otherwise copies the expression behind a column into every use.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+
 def admission_reason(dims: Column, output_mode: Column) -> Column:
     """First failing required dimension, ``ok`` when all hold.
 
@@ -166,15 +175,18 @@ def admission_reason(dims: Column, output_mode: Column) -> Column:
     needed = F.when(F.lower(F.coalesce(output_mode, F.lit(""))) == "design",
                     F.array_except(keys, F.array(F.lit(PLATE_DIM)))).otherwise(keys)
 
-    def verdict(k):
-        d = F.try_element_at(dims, k)
+    def verdict(k, d):
         return F.when(d.isNull(), F.concat(F.lit("missing_dim:"), k)) \
             .when(F.coalesce(d["na"], F.lit(False)) | ~F.coalesce(d["evaluated"], F.lit(False)),
                   F.concat(F.lit("not_evaluated:"), k)) \
             .when(~F.coalesce(d["passed"], F.lit(False)), F.concat(F.lit("failed:"), k))
 
-    first = F.get(F.filter(F.transform(needed, verdict), lambda r: r.isNotNull()), F.lit(0))
-    return F.when(dims.isNull(), "no_full_report").otherwise(F.coalesce(first, F.lit("ok")))
+    def first_failing(m):
+        found = F.transform(needed, lambda k: bound_once(F.try_element_at(m, k), lambda d: verdict(k, d)))
+        return F.when(m.isNull(), "no_full_report").otherwise(
+            F.coalesce(F.get(F.filter(found, lambda r: r.isNotNull()), F.lit(0)), F.lit("ok")))
+
+    return bound_once(dims, first_failing)
 
 
 def describe_reason(reason: Column) -> Column:

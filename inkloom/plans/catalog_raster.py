@@ -10,6 +10,7 @@ from ..operators import grid
 from ..operators import masks as mk
 from ..operators import plate as pl
 from ..operators import segments as sg
+from . import jobs
 from . import raster_sql as rs
 from .catalog_inks import LAB_SQL
 from .registry import query
@@ -109,12 +110,11 @@ def _(v):
 SELECT image_id, 'percentile' AS kind, n AS label, v1, CAST(NULL AS DOUBLE) AS v2 FROM (SELECT image_id, 'p50' AS n, round(quantile_cont(d, 0.5), 4) AS v1 FROM sm GROUP BY 1 UNION ALL SELECT image_id, 'p95', round(quantile_cont(d, 0.95), 4) FROM sm GROUP BY 1)
 UNION ALL SELECT image_id, 'hotspot', CAST(rank AS VARCHAR), score, CAST(blocks AS DOUBLE) FROM hs WHERE rank <= 5 UNION ALL SELECT image_id, 'band', region, density_min, density_max FROM bands""", P)
 def _(v):
-    d = de.density_map(v.pixels, v.canvases, sigma=0.9)
-    p = de.global_percentiles(d, {"p50": 0.5, "p95": 0.95})
+    tuned = jobs.auto_tune(v.pixels, v.canvases, sigma=0.9, block=4)
     arms = F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.round(n, 4).alias("v1")) for n in ("p50", "p95")]))
-    out = p.select("image_id", F.lit("percentile").alias("kind"), arms.alias("a")).select("image_id", "kind", "a.label", "a.v1", F.lit(None).cast("double").alias("v2"))
-    hs = de.hotspots(d, v.canvases, block=4).select("image_id", F.lit("hotspot").alias("kind"), F.col("rank").cast("string").alias("label"), F.col("score").alias("v1"), F.col("blocks").cast("double").alias("v2"))
-    bands = de.suggest_bands(d, v.canvases).select("image_id", F.lit("band").alias("kind"), F.col("region").alias("label"), F.col("density_min").alias("v1"), F.col("density_max").alias("v2"))
+    out = tuned["percentiles"].select("image_id", F.lit("percentile").alias("kind"), arms.alias("a")).select("image_id", "kind", "a.label", "a.v1", F.lit(None).cast("double").alias("v2"))
+    hs = tuned["regions"].select("image_id", F.lit("hotspot").alias("kind"), F.col("rank").cast("string").alias("label"), F.col("score").alias("v1"), F.col("blocks").cast("double").alias("v2"))
+    bands = tuned["bands"].select("image_id", F.lit("band").alias("kind"), F.col("region").alias("label"), F.col("density_min").alias("v1"), F.col("density_max").alias("v2"))
     return out.unionByName(hs).unionByName(bands)
 
 

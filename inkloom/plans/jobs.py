@@ -17,6 +17,7 @@ from ..operators import lexicon as lx
 from ..operators import masks as mk
 from ..operators import rules
 from ..operators import similarity as sim
+from ..session import cut_lineage
 
 
 def _dim(df: DataFrame, i: int, passed, evaluated=True, na=False, issue=None) -> DataFrame:
@@ -74,11 +75,12 @@ def retrieve_similar(queries: DataFrame, index: DataFrame, episodes: DataFrame,
 
     ``episodes`` carries dims and output_mode; those that fail admission are not searched.
     """
-    ok = episodes.withColumn("admit_reason", ep.admission_reason(F.col("dims"), F.col("output_mode"))).where("admit_reason = 'ok'")
-    searchable = index.join(ok.select(F.col(key).alias("task_id")), "task_id", "left_semi")
-    hits = sim.top_similar(queries, searchable, query_id=query_id, query_vec=query_vec, top_k=top_k, min_similarity=min_similarity, only_audited=False)
+    indexed = episodes.withColumnRenamed(key, "task_id").join(index.select("task_id"), "task_id", "left_semi")
+    ok = indexed.where(ep.admission_reason(F.col("dims"), F.col("output_mode")) == "ok").select("task_id")
+    hits = sim.top_similar(queries, index.join(ok, "task_id", "left_semi"), query_id=query_id, query_vec=query_vec, top_k=top_k,
+                           min_similarity=min_similarity, only_audited=False)
     block = sim.reuse_block_reason(preset, line, expected_keys)
-    return hits.join(ok.withColumnRenamed(key, "task_id"), "task_id").withColumn("blocked", block).withColumn("reusable", F.col("blocked").isNull())
+    return hits.join(episodes.withColumnRenamed(key, "task_id"), "task_id").withColumn("blocked", block).withColumn("reusable", F.col("blocked").isNull())
 
 
 def build_priors(boxes: DataFrame, categories: DataFrame, min_samples: int = 3) -> DataFrame:
@@ -87,6 +89,14 @@ def build_priors(boxes: DataFrame, categories: DataFrame, min_samples: int = 3)
     return priors.join(categories.select(F.col("id").alias("category_id")), "category_id", "left_semi")
 
 
+def auto_tune(pixels: DataFrame, canvases: DataFrame, classes: list[dict] | None = None, *, gold_percentile: float = 88.0,
+              sigma: float = 4.0, block: int = 256, max_regions: int = 5) -> dict[str, DataFrame]:
+    """Percentiles, hotspots and density bands per image; the density field is computed once and stored."""
+    d = cut_lineage(de.density_map(pixels, canvases, gold_percentile, sigma))
+    return {"percentiles": de.global_percentiles(d), "regions": de.hotspots(d, canvases, block=block, max_regions=max_regions),
+            "bands": de.suggest_bands(d, canvases, classes)}
+
+
 def select_categories(images: DataFrame, affinity: DataFrame, categories: DataFrame, *, limit: int = 50, mode: str = "auto",
                       preset_ids: list[str] | None = None) -> DataFrame:
     """Category ids per image in search order.

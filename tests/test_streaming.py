@@ -15,9 +15,11 @@ def write_parts(path, rows, n=3):
 
 
 def drain(stream, name, tmp_path, mode="append"):
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
-    q.processAllAvailable()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp_{name}")) \
+        .trigger(availableNow=True).start()
+    done = q.awaitTermination(90)
     q.stop()
+    assert done and q.exception() is None
 
 
 LINES = ["引擎启动", "x", "GroundingDINO 加载完成", "[SAM2] 级联分割执行中", "plain", "写盘 result.psb"]
@@ -27,7 +29,13 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     rows = [{"task_id": f"t{k}", "seq": i * 2 + k, "ts": f"2024-01-01T00:0{i}:1{k}Z", "message": m, "preset": "textile_damask"}
             for i, m in enumerate(LINES) for k in range(2)]
     write_parts(tmp_path / "log", rows)
-    drain(pr.progress_stream(pr.read_log_stream(spark, str(tmp_path / "log"))), "progress_out", tmp_path)
+    out = pr.progress_stream(pr.read_log_stream(spark, str(tmp_path / "log")))
+    # timers keep such a query running for ever: wait for its rows, then stop it
+    q = out.writeStream.format("memory").queryName("progress_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    end = time.time() + 60
+    while time.time() < end and q.isActive and spark.table("progress_out").where("NOT heartbeat").count() < len(rows):
+        time.sleep(0.5)
+    q.stop()
     got = spark.table("progress_out").where("NOT heartbeat").select("task_id", "seq", "stage", "progress")
     want = pr.progress_batch(spark.read.schema(pr.LOG_SCHEMA).json(str(tmp_path / "log"))).select("task_id", "seq", "stage", "progress")
     assert got.count() == len(rows)
@@ -62,8 +70,9 @@ def test_learning_runs_per_batch(spark, tmp_path):
     prompts = spark.createDataFrame([("a", "p", 1.0, "seed")], "category_id string, prompt string, weight double, source string")
     got = {}
     src = pr.read_log_stream(spark, str(tmp_path / "dec"), "episode_id string, seq long, decision string")
-    q = le.run_tasks(src, det, prompts, lambda df, _e: got.update({r.episode_id: (r.status, r.n_suggestions, r.n_unknown) for r in df.collect()}), str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = le.run_tasks(src, det, prompts, lambda df, _e: got.update({r.episode_id: (r.status, r.n_suggestions, r.n_unknown) for r in df.collect()}), str(tmp_path / "cp")) \
+        .trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
     q.stop()
     assert got == {"1": ("completed", 1, 0), "2": ("no_op", 0, 1), "9": ("failed", 0, 0)}
 

@@ -10,7 +10,7 @@ from ..operators.inks import PRINT_CONDITIONS
 
 def read_presets(spark: SparkSession, path: str) -> DataFrame:
     """One row per preset file: file name and its whole JSON text."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("file"), F.col("value").alias("text"))
 
 

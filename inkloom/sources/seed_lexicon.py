@@ -94,7 +94,7 @@ def attach_tree(categories: DataFrame, leaf_parents: DataFrame, root: str = ROOT
     parent = F.coalesce("parent_new", F.when(loop, F.lit(root)).otherwise(F.col("parent_id")))
     path = F.when(F.col("parent_new").isNotNull(), F.concat("_pp", "id", F.lit("/"))) \
         .when(loop, F.concat(F.lit(f"/{root}/"), "id", F.lit("/"))).otherwise(F.col("path"))
-    return j.withColumn("parent_id", parent).withColumn("path", path).drop("parent_new", "_pp")
+    return j.withColumns({"parent_id": parent, "path": path}).drop("parent_new", "_pp")
 
 
 def build(spark: SparkSession, now: int) -> dict[str, DataFrame]:

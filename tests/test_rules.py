@@ -17,8 +17,8 @@ def test_material_literals(spark):
     gold = family(spark, 79.2, 5.0, 38.0, 34.9, 0.069)
     assert gold.f == "金地屏风" and gold.c >= 0.9
     assert family(spark, 52.2, 7.0, 27.0, 28.1, 0.241, 0.159).f == "油画布"
-    for L, a, b, s, e, n in ((45.9, 2.0, 7.0, 7.1, 0.133, 2.47), (69.0, 1.0, 9.0, 10.7, 0.385, 2.18), (84.3, 0.0, 5.0, 7.0, 0.098, 2.46)):
-        r = family(spark, L, a, b, s, e, ent=n)
+    for L, a, b, s, e, n, t in ((45.9, 2.0, 7.0, 7.1, 0.133, 2.47, 0.15), (69.0, 1.0, 9.0, 10.7, 0.385, 2.18, 0.15), (84.3, 0.0, 5.0, 7.0, 0.098, 2.46, 0.3)):
+        r = family(spark, L, a, b, s, e, glcm=t, ent=n)
         assert r.f == "织物壁布" and r.c >= 0.7
     assert family(spark, 69.0, 1.0, 9.0, 10.7, 0.385, ent=0.1).f != "织物壁布"
 

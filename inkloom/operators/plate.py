@@ -253,7 +253,9 @@ def fill_panels(pixels: DataFrame, ink: DataFrame, active: DataFrame, canvases:
     j = j.withColumn("rx", F.floor(F.col("_lx") * F.col("rw") / (F.col("p1") - F.col("p0"))).cast("int")).join(refs, ["image_id", "y", "rx"])
     alpha = F.greatest(F.col("a"), 0.95 * F.col("_i"))
     adj = color.byte(F.col("rv") + F.coalesce("_d", F.lit(0.0)))
-    out = F.when(F.col("panel") == F.col("ref_panel"), F.col("rv")).otherwise(color.byte(F.col("v") * (1 - alpha) + adj * alpha))
+    out = F.when(F.col("panel") == F.col("ref_panel"), F.col("rv")).otherwise(
+        # whole results must not fall a code short by rounding
+        color.byte(F.col("v") * (1 - alpha) + adj * alpha + 1e-9))
     inked = cells.groupBy("image_id", "panel").agg(F.max("_i").alias("_any"))
     return j.join(inked, ["image_id", "panel"]).select(*PX, F.when((F.col("panel") != F.col("ref_panel")) & (F.col("_any") == 0), F.col("v")).otherwise(out).alias("v"))
 

@@ -366,7 +366,7 @@ def _(v):
 
 @query("filled_panels_w15", f"""WITH {_PAN}, pm AS (SELECT image_id || '/' || panel AS image_id, y - top AS y, x - panel * 5 AS x, CASE WHEN i THEN 1e0 ELSE 0e0 END AS a FROM pn), pc AS (SELECT image_id, CAST(max(y) + 1 AS INT) AS h, CAST(max(x) + 1 AS INT) AS w FROM pm GROUP BY 1),
 {rs.gauss('bl', 'pm', 'a', weights=grid.gaussian_weights(8.0, radius=12), canv='pc')}
-SELECT pn.image_id, pn.y, pn.x, CASE WHEN panel = rp.rp THEN rf.v WHEN NOT bool_or(i) OVER (PARTITION BY pn.image_id, panel) THEN pn.v ELSE CAST(floor(pn.v * (1 - al) + rf.v * al) AS INT) END AS v
+SELECT pn.image_id, pn.y, pn.x, CASE WHEN panel = rp.rp THEN rf.v WHEN NOT bool_or(i) OVER (PARTITION BY pn.image_id, panel) THEN pn.v ELSE CAST(floor(pn.v * (1 - al) + rf.v * al + 1e-9) AS INT) END AS v
 FROM (SELECT pn.*, greatest(bl.a, CASE WHEN i THEN 0.95e0 ELSE 0 END) AS al FROM pn JOIN bl ON bl.image_id = pn.image_id || '/' || panel AND bl.y = pn.y - top AND bl.x = pn.x - panel * 5) pn JOIN rp USING (image_id) JOIN rf ON rf.image_id = pn.image_id AND rf.y = pn.y AND rf.px = pn.x - panel * 5""", P)
 def _(v):
     return pl.fill_panels(v.pixels, v.pixels.where("gray < 60"), _active(v), v.canvases, 4)

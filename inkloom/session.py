@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scratch: dict[str, str] = {}  # per local application that names no folder
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     return (
@@ -33,9 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = sc.applicationId
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="spark-")
+    return _scratch[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .licenses import op8_license_templates
+from .near_dup import op2_near_duplicates
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
+    "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
+    "op8_license_templates": op8_license_templates,
 }
 
 ORACLE = {
+    "op5_warc": OP5_SQL,
     "op6_decontaminate": OP6_SQL,
 }

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNK_BYTES = 2 << 20  # of text handled at once; a longer text is a chunk of its own
+CHUNK_ROWS = 2048      # texts handled at once, however short
 
 _LOWER = np.zeros(256, dtype=np.uint8)  # 0 marks bytes outside words
 _LOWER[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -105,7 +106,7 @@ def word_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int
     raw, offsets = _buffers(texts)
     lo = 0
     while lo < len(offsets) - 1:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        hi = max(lo + 1, min(lo + CHUNK_ROWS, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1))
         part = raw[offsets[lo]:offsets[hi]]
         yield lo, hi, find_words(part, offsets[lo:hi + 1] - offsets[lo])
         lo = hi

@@ -1,9 +1,12 @@
 """From banding buckets to groups: candidates without all pairs, verification, distributed union-find.
 
-Every bucket first sends each member to one leader only. After the links found so far are merged, a bucket whose members
-are all in one component is done. In the others a growing number of leaders is compared with the members of other
-components and then leaves the bucket, as nothing is open for it any more. So each pair of a bucket is either compared or
-already in one component: no link that banding offers is lost, and a group of n copies costs about n comparisons.
+A node's standing is the number of others it shares buckets with; the centre of a group of copies has the highest. Every
+node is first compared with the best-placed node it shares a bucket with. After the links found so far are merged, a bucket
+whose members are all in one component is done. In the others a growing number of leaders, best-placed first, is compared
+with the members of other components and then leaves the bucket, as nothing is open for it any more; pairs that both know
+their distance to the same node and cannot be near by the triangle inequality are left out. What then is still open is
+handed to ``rest``, which compares it block by block inside the tasks, or goes on with more leaders. So each pair of a
+bucket is compared, ruled out, or already in one component, and a group of n copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -19,33 +22,59 @@ from .store import stored
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """(key, node, leader) of the buckets with two nodes or more; counted before the shuffle, so a hot bucket is no hot task."""
-    lead = stored(buckets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last"))
-                  .where("leader <> _last").select("key", "leader"), "leaders")
-    return stored(buckets.join(lead, "key"), "buckets")
+    """(key, node, standing) of the buckets with two nodes or more; counted before the shuffle, so a hot bucket is no hot task."""
+    size = stored(buckets.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count(F.lit(1)).alias("n"))
+                  .where("_a <> _b").select("key", "n"), "sizes")
+    inside = stored(buckets.join(size, "key"), "buckets")
+    standing = stored(inside.groupBy("node").agg(F.sum("n").alias("standing")), "standing")
+    return stored(inside.select("key", "node").join(standing, "node"), "buckets")
 
 
-def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], growth: int = 8) -> DataFrame:
+def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, *, rest: Callable[[DataFrame], DataFrame] | None = None,
+          widths: tuple[int, ...] = (4, 16)) -> DataFrame:
     """(node, root) of every node with a verified link; root is the smallest node of its component.
 
-    ``buckets`` is what ``shared_buckets`` gives; ``verify`` takes distinct pairs (a, b) and returns those that are links.
+    ``buckets`` is what ``shared_buckets`` gives; ``verify`` takes distinct pairs (a, b) and returns them with their
+    similarity, one minus which must be a metric. ``rest`` takes (key, node, root) and returns links (a, b); without it
+    the widths go on growing until nothing is open.
     """
-    near = buckets.groupBy("node").agg(F.min("leader").alias("leader")).where("node <> leader")
-    links = stored(verify(near.select(F.col("leader").alias("a"), F.col("node").alias("b"))), "links")
+    best = buckets.groupBy("key").agg(F.max(F.struct("standing", "node")).alias("_top"))
+    near = buckets.join(stored(best, "tops"), "key").groupBy("node").agg(F.max("_top").alias("_top")).select("node", F.col("_top.node").alias("leader"))
+    pairs = near.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    met = stored(verify(pairs), "met")
+    near_at = lambda x: F.greatest(x, F.lit(threshold)) == x
+    links = met.where(near_at(F.col("similarity"))).select("a", "b")
     roots = contract(links, [])
-    live, width = buckets.select("key", "node"), 1
+    far = near.select("node", "leader", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")) \
+        .join(met, ["a", "b"], "left").select("node", F.col("leader").alias("pivot"), (1 - F.coalesce("similarity", F.lit(1.0))).alias("far"))
+    live = buckets.join(stored(far, "far"), "node")
+    step = 0
     while True:
-        named = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = stored(named.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key"), "open")
         live = stored(named.join(open_, "key"), "live")
         if live.isEmpty():
             return roots
-        rank = F.row_number().over(W.partitionBy("key").orderBy("node"))  # cut to ``width`` rows a key before the shuffle
-        leaders = stored(live.withColumn("_r", rank).where(F.col("_r") <= width).select("key", F.col("node").alias("a"), F.col("root").alias("_ra")), "leaders")
-        pairs = live.join(leaders, "key").where("root <> _ra").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = stored(verify(pairs), "links")
+        if step == len(widths) and rest:
+            found = stored(rest(live.select("key", "node", "root")), "links")
+            return roots if found.isEmpty() else contract(links.unionByName(found), [])
+        width = widths[step] if step < len(widths) else widths[-1] * 8 ** (step - len(widths) + 1)
+        step += 1
+        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("standing"), F.desc("node")))  # cut to ``width`` rows a key before the shuffle
+        leaders = stored(live.withColumn("_r", rank).where(F.col("_r") <= width)
+                         .select("key", F.col("node").alias("_l"), F.col("root").alias("_lr"), F.col("pivot").alias("_lp"), F.col("far").alias("_lf")), "leaders")
+        may = (F.col("root") != F.col("_lr")) & ((F.col("pivot") != F.col("_lp")) | (F.abs(F.col("far") - F.col("_lf")) <= 1 - threshold + 1e-9))
+        pairs = live.join(leaders, "key").where(may).select(F.least("_l", "node").alias("a"), F.greatest("_l", "node").alias("b")).distinct()
+        found = stored(verify(pairs).where(near_at(F.col("similarity"))).select("a", "b"), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = contract(links, [])
-        live = live.select("key", "node").join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        width *= growth
+        live = live.join(leaders.select("key", F.col("_l").alias("node")), ["key", "node"], "left_anti")
+
+
+def cells(live: DataFrame, block: int) -> DataFrame:
+    """``live`` dealt into cells of at most about two blocks of a bucket, so that any two members meet in some cell."""
+    size = stored(live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")), "sizes")
+    own = F.pmod(F.xxhash64("node"), F.col("_n")).cast("int")
+    return live.join(size, "key").withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))) \
+        .withColumn("cell", F.least("_own", "_with") * F.col("_n") + F.greatest("_own", "_with")).drop("_n", "_with")

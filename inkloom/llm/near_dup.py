@@ -30,6 +30,7 @@ from .words import Words, group_hash, map_batches, mix, window_hash, word_chunks
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6  # a pair at 0.8 shares no band once in 1,500 times
+BLOCK = 384          # texts of a block, two of which a task compares
 
 _STEP = 0xA0761D6478BD642F
 _MASK = (1 << 64) - 1
@@ -154,6 +155,34 @@ def similarity(pairs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(pairs.select("a", "b", "ta", "tb"), run, schema)
 
 
+def open_links(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
+    """Links (a, b) between texts of different roots in one (key, cell): counts of shared elements by a sparse product."""
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+
+    def solve(cell: pa.Table) -> pa.Table:
+        nodes, roots, owners, values = cell.column("node").to_pylist(), cell.column("root").to_pylist(), [], []
+        for lo, hi, w in word_chunks(cell.column("text").combine_chunks()):
+            owner, element = elements(w, shingle)
+            owners.append(owner + lo)
+            values.append(element)
+        owner, value = np.concatenate(owners), np.concatenate(values)
+        size = np.bincount(owner, minlength=len(nodes))
+        order = np.argsort(value, kind="stable")
+        owner, value = owner[order], value[order]
+        cut = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1], [True])))
+        shared = np.zeros((len(nodes), len(nodes)), dtype=np.int32)
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            if hi - lo > 1:
+                own = owner[lo:hi]
+                shared[own[:, None], own] += 1
+        x, y = np.nonzero(np.triu(shared, 1) / np.maximum(1, size[:, None] + size - shared) >= threshold)
+        got = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in zip(x.tolist(), y.tolist()) if roots[i] != roots[j]]
+        return pa.Table.from_arrays([pa.array([p[k] for p in got], pa.binary()) for k in (0, 1)], schema=arrow)
+
+    return members.groupBy("key", "cell").applyInArrow(solve, schema).distinct()
+
+
 def near_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, shingle: int = SHINGLE,
                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, k1, k2, class_id, class_size, kept): one row per document; class_id is the smallest id of its group.
@@ -166,15 +195,19 @@ def near_groups(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         F.min(F.struct("k1", "k2")).alias("_row"), F.first("keys").alias("keys")), "distinct")
     buckets = links.shared_buckets(one.select(F.col("cid").alias("node"), F.explode("keys").alias("key")))
     wanted = one.join(buckets.select(F.col("node").alias("cid")).distinct(), "cid", "left_semi").select("cid", "_row.k1", "_row.k2")
-    texts = stored(docs.select(*row_keys(text, id_col), F.col(text).alias("text")).join(stored(wanted, "wanted"), ["k1", "k2"])
+    texts = stored(docs.select(*row_keys(text, id_col), F.col(text).alias("text")).join(stored(wanted, "wanted").hint("merge"), ["k1", "k2"])
                    .dropDuplicates(["k1", "k2"]).select("cid", "text"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ta = texts.select(F.col("cid").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("cid").alias("b"), F.col("text").alias("tb"))
-        return similarity(pairs.join(tb, "b").join(ta, "a"), shingle).where(F.col("similarity") >= threshold).select("a", "b")
+        return similarity(pairs.join(tb.hint("merge"), "b").join(ta.hint("merge"), "a"), shingle)
+
+    def rest(live: DataFrame) -> DataFrame:
+        members = links.cells(live, BLOCK).select("key", "cell", "node", "root")
+        return open_links(members.join(texts.select(F.col("cid").alias("node"), "text").hint("merge"), "node"), threshold, shingle)
 
-    roots = stored(links.group(buckets, verify), "roots")
+    roots = stored(links.group(buckets, verify, threshold, rest=rest), "roots")
     named = stored(signed.select("doc_id", "k1", "k2", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
                    .select("doc_id", "k1", "k2", F.coalesce("root", "cid").alias("root")), "named")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "k1", "k2")).alias("_head")

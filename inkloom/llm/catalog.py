@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from .decision_rules import op9_decision_list
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .licenses import op8_license_templates
 from .near_dup import op2_near_duplicates
+from .pieces import op3_sentencepiece
+from .quality_classifier import op4_quality_rules
+from .toxicity import op1_toxic_spans
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op1_toxic_spans": op1_toxic_spans,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
     "op8_license_templates": op8_license_templates,
+    "op9_decision_list": op9_decision_list,
 }
 
 ORACLE = {

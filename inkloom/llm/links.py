@@ -2,11 +2,11 @@
 
 A node's standing is the number of others it shares buckets with; the centre of a group of copies has the highest. Every
 node is first compared with the best-placed node it shares a bucket with. After the links found so far are merged, a bucket
-whose members are all in one component is done. In the others a growing number of leaders, best-placed first, is compared
-with the members of other components and then leaves the bucket, as nothing is open for it any more; pairs that both know
-their distance to the same node and cannot be near by the triangle inequality are left out. What then is still open is
-handed to ``rest``, which compares it block by block inside the tasks, or goes on with more leaders. So each pair of a
-bucket is compared, ruled out, or already in one component, and a group of n copies costs about n comparisons.
+whose members are all in one component is done. In the others a few leaders, best-placed first, are compared with the members of
+other components and then leave the bucket, as nothing is open for them any more; pairs that both know their distance to
+the same node and cannot be near by the triangle inequality are left out. What then is still open is handed to ``rest``,
+which compares it block by block inside the tasks. So each pair of a bucket is compared, ruled out, or already in one
+component, and a group of n copies costs about n comparisons.
 """
 
 from __future__ import annotations
@@ -30,13 +30,12 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return stored(inside.select("key", "node").join(standing, "node"), "buckets")
 
 
-def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, *, rest: Callable[[DataFrame], DataFrame] | None = None,
-          widths: tuple[int, ...] = (4, 16)) -> DataFrame:
+def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, *, rest: Callable[[DataFrame], DataFrame],
+          widths: tuple[int, ...] = (8,)) -> DataFrame:
     """(node, root) of every node with a verified link; root is the smallest node of its component.
 
     ``buckets`` is what ``shared_buckets`` gives; ``verify`` takes distinct pairs (a, b) and returns them with their
-    similarity, one minus which must be a metric. ``rest`` takes (key, node, root) and returns links (a, b); without it
-    the widths go on growing until nothing is open.
+    similarity, one minus which must be a metric. ``rest`` takes (key, node, root) and returns links (a, b).
     """
     best = buckets.groupBy("key").agg(F.max(F.struct("standing", "node")).alias("_top"))
     near = buckets.join(stored(best, "tops"), "key").groupBy("node").agg(F.max("_top").alias("_top")).select("node", F.col("_top.node").alias("leader"))
@@ -47,29 +46,31 @@ def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshol
     roots = contract(links, [])
     far = near.select("node", "leader", F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")) \
         .join(met, ["a", "b"], "left").select("node", F.col("leader").alias("pivot"), (1 - F.coalesce("similarity", F.lit(1.0))).alias("far"))
-    live = buckets.join(stored(far, "far"), "node")
+    live = buckets.join(stored(far, "far"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     step = 0
     while True:
-        named = live.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = stored(named.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key"), "open")
-        live = stored(named.join(open_, "key"), "live")
-        if live.isEmpty():
-            return roots
-        if step == len(widths) and rest:
-            found = stored(rest(live.select("key", "node", "root")), "links")
-            return roots if found.isEmpty() else contract(links.unionByName(found), [])
-        width = widths[step] if step < len(widths) else widths[-1] * 8 ** (step - len(widths) + 1)
-        step += 1
-        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("standing"), F.desc("node")))  # cut to ``width`` rows a key before the shuffle
-        leaders = stored(live.withColumn("_r", rank).where(F.col("_r") <= width)
+        open_ = stored(live.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key"), "open")
+        live = stored(live.join(open_, "key"), "live")
+        if step == len(widths) or live.isEmpty():
+            break
+        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("standing"), F.desc("node")))  # cut to the width before the shuffle
+        leaders = stored(live.withColumn("_r", rank).where(F.col("_r") <= widths[step])
                          .select("key", F.col("node").alias("_l"), F.col("root").alias("_lr"), F.col("pivot").alias("_lp"), F.col("far").alias("_lf")), "leaders")
         may = (F.col("root") != F.col("_lr")) & ((F.col("pivot") != F.col("_lp")) | (F.abs(F.col("far") - F.col("_lf")) <= 1 - threshold + 1e-9))
         pairs = live.join(leaders, "key").where(may).select(F.least("_l", "node").alias("a"), F.greatest("_l", "node").alias("b")).distinct()
-        found = stored(verify(pairs).where(near_at(F.col("similarity"))).select("a", "b"), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = contract(links, [])
+        links = links.unionByName(stored(verify(pairs).where(near_at(F.col("similarity"))).select("a", "b"), "links"))
         live = live.join(leaders.select("key", F.col("_l").alias("node")), ["key", "node"], "left_anti")
+        step += 1
+    if step == 0:
+        return roots
+    if not live.isEmpty():
+        links = links.unionByName(stored(rest(live.select("key", "node", "root")), "links"))
+    at = lambda side: links.join(roots.select(F.col("node").alias(side), F.col("root").alias("_" + side)), side, "left")
+    over = at("a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b", "left") \
+        .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
+    tops = contract(over, [])  # only what joins components of the first step
+    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return moved.unionByName(tops)
 
 
 def cells(live: DataFrame, block: int) -> DataFrame:

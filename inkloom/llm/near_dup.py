@@ -168,14 +168,18 @@ def open_links(members: DataFrame, threshold: float, shingle: int = SHINGLE) ->
             values.append(element)
         owner, value = np.concatenate(owners), np.concatenate(values)
         size = np.bincount(owner, minlength=len(nodes))
-        order = np.argsort(value, kind="stable")
-        owner, value = owner[order], value[order]
-        cut = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1], [True])))
-        shared = np.zeros((len(nodes), len(nodes)), dtype=np.int32)
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if hi - lo > 1:
-                own = owner[lo:hi]
-                shared[own[:, None], own] += 1
+        _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(times[column] > 1)  # elements of one text only share nothing
+        number = np.cumsum(times > 1) - 1
+        owner, column = owner[several], number[column[several]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
+        for lo in range(0, int((times > 1).sum()), 4096):
+            a, b = np.searchsorted(column, (lo, lo + 4096))
+            part = np.zeros((len(nodes), 4096), dtype=np.float32)
+            part[owner[a:b], column[a:b] - lo] = 1
+            shared += part @ part.T
         x, y = np.nonzero(np.triu(shared, 1) / np.maximum(1, size[:, None] + size - shared) >= threshold)
         got = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in zip(x.tolist(), y.tolist()) if roots[i] != roots[j]]
         return pa.Table.from_arrays([pa.array([p[k] for p in got], pa.binary()) for k in (0, 1)], schema=arrow)

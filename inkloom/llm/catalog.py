@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decision_rules import op9_decision_list
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .fuzzy_lines import op10_fuzzy_lines
 from .licenses import op8_license_templates
 from .near_dup import op2_near_duplicates
 from .pieces import op3_sentencepiece
 from .quality_classifier import op4_quality_rules
+from .secrets import op7_secrets
 from .toxicity import op1_toxic_spans
 from .warc import OP5_SQL, op5_warc
 
@@ -18,8 +20,10 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
     "op8_license_templates": op8_license_templates,
     "op9_decision_list": op9_decision_list,
+    "op10_fuzzy_lines": op10_fuzzy_lines,
 }
 
 ORACLE = {

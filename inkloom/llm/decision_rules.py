@@ -110,7 +110,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col:
     """The rows of ``docs`` that base rules and list keep, with their columns as they are."""
     rules = fit_list(docs, labels, text=text, id_col=id_col, **params)
     inner = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
-    return judge(inner, rules, text="_text").where("kept").select("_doc.*")
+    # the row number keeps the filter above the projections: pushed below, it would repeat their lambdas inside each other
+    judged = judge(inner, rules, text="_text").withColumn("_row", F.monotonically_increasing_id())
+    return judged.where("kept").select("_doc.*")
 
 
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col:
     inner = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text"))
     # the row number keeps the filter above the projections: pushed below, it would repeat their lambdas inside each other
     judged = judge(inner, rules, text="_text").withColumn("_row", F.monotonically_increasing_id())
-    return judged.where("kept").select("_doc.*")
+    return judged.where("kept AND _row >= 0").select("_doc.*")
 
 
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,9 +41,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 32_768   # characters; longer texts are cut
 CHUNK = 16_384
 FAN = 64         # matrices multiplied by one task at a level
-_KEEP = 300_000  # remembered runs of a worker
+_KEEP = 400_000  # remembered runs of a worker, about 110 MB
 _MARK = "▁"
 _START = 0       # node before the first piece
+_EDGE = 63       # node of a cut that is itself a free place
 
 
 class Lattice:
@@ -81,10 +82,10 @@ class Lattice:
         # no piece holds a letter beside a sign, so runs end there; anything else runs up to the next space
         self.runs = re.compile(f"[{one}]|{_MARK}*[{word}]+(?=[{sign}{_MARK}{one}]|\\Z)|{_MARK}*[{sign}]+(?=[{word}{_MARK}{one}]|\\Z)|{_MARK}*[^{one}{_MARK}]+|{_MARK}+")
         self.cut = re.compile(f"(?<!{_MARK})(?={_MARK})|(?<=[{one}])|(?=[{one}])|(?<=[{word}])(?=[{sign}])|(?<=[{sign}])(?=[{word}])")
-        self._fits: dict[tuple[str, str], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._steps: dict[str, list[tuple[float, str, str]]] = {}
         self._known: dict[str, array] = {}
-        self.pieces = {p for p in self.ids if len(p) == 1 or self.steps(p)[-1:] and self.steps(p)[-1][1] == p}
+        self.pieces = {p: i for p, i in self.ids.items() if len(p) == 1 or self.steps(p)[-1:] and self.steps(p)[-1][1] == p}
 
     def steps(self, piece: str) -> list[tuple[float, str, str]]:
         """Merges inside ``piece`` alone, in order: (score, then first part, then last part)."""
@@ -110,48 +111,54 @@ class Lattice:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether merging left + right never joins across their border: the merges of both run side by side, best first."""
-        got = self._fits.get((left, right))
-        if got is None:
-            got, score = True, self.score
-            a, b, i, j, mine, others = left[-1], right[0], 0, 0, self.steps(left), self.steps(right)
-            while got:
-                s = mine[i][0] if i < len(mine) else None
-                t = others[j][0] if j < len(others) else None
-                over = score.get(a + b)
-                if over is not None and (s is None or over > s) and (t is None or over >= t):
-                    got = False
-                elif s is not None and (t is None or s >= t):
-                    a, i = mine[i][2], i + 1
-                elif t is not None:
-                    b, j = others[j][1], j + 1
-                else:
-                    break
-            if len(self._fits) > 4 * _KEEP:
-                self._fits.clear()
-            self._fits[(left, right)] = got
-        return got
+        score, i, j = self.score, 0, 0
+        a, b, mine, others = left[-1], right[0], self.steps(left), self.steps(right)
+        while True:
+            s = mine[i][0] if i < len(mine) else None
+            t = others[j][0] if j < len(others) else None
+            over = score.get(a + b)
+            if over is not None and (s is None or over > s) and (t is None or over >= t):
+                return False
+            if s is not None and (t is None or s >= t):
+                a, i = mine[i][2], i + 1
+            elif t is not None:
+                b, j = others[j][1], j + 1
+            else:
+                return True
 
     def forward(self, text: str, seeds: dict[int, int], begin: int, end: int) -> dict[int, int]:
         """Length of the piece that ends at each place in (begin, end], for paths from ``seeds`` (place: length, 0 none before)."""
-        last, pieces, width, known, fits = dict(seeds), self.pieces, self.width, self._fits, self.fits
+        last, pieces, width, known = dict(seeds), self.pieces, self.width, self._fits
+        code = {x: self.code(text[x - n:x]) if n else -1 for x, n in seeds.items()}
         for x in range(begin + 1, end + 1):
             if x in last:
                 continue
             for y in range(x - 1, max(begin, x - width) - 1, -1):
-                piece = text[y:x]
-                if piece in pieces or y == x - 1:
-                    m = last.get(y)
-                    if m is None:
+                own = pieces.get(text[y:x])
+                if own is None:
+                    if y < x - 1:
                         continue
-                    if m:
-                        left = text[y - m:y]
-                        good = known.get((left, piece))
-                        if not (fits(left, piece) if good is None else good):
-                            continue
-                    last[x] = x - y
-                    break
+                    own = self.code(text[y:x])
+                left = code.get(y)
+                if left is None:
+                    continue
+                if left >= 0:
+                    good = known.get(left << 22 | own)
+                    if good is None:
+                        if len(known) > 4 * _KEEP:
+                            known.clear()
+                        good = known[left << 22 | own] = self.fits(text[y - last[y]:y], text[y:x])
+                    if not good:
+                        continue
+                last[x], code[x] = x - y, own
+                break
         return last
 
+    def code(self, piece: str) -> int:
+        """Number of a piece; characters outside the vocabulary have numbers of their own."""
+        got = self.pieces.get(piece)
+        return got if got is not None else 1 << 21 | ord(piece)
+
     def to_ids(self, pieces: list[str]) -> array:
         out = array("i")
         for p in pieces:
@@ -194,7 +201,7 @@ class Lattice:
     # -- chunks: nodes are coded (place beyond the cut) * 64 + length; _START stands before the text
 
     def _seeds(self, nodes, cut: int) -> dict[int, int]:
-        return {cut: 0} if nodes == [_START] else {cut + n // 64: n % 64 for n in nodes}
+        return {cut: 0} if nodes[0] in (_START, _EDGE) else {cut + n // 64: n % 64 for n in nodes}
 
     def _nodes(self, text: str, cut: int) -> list[int]:
         """All pieces that end at or cross ``cut``."""
@@ -218,31 +225,47 @@ class Lattice:
                     last[x] = n
         return last
 
+    def _free(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
+        """First and last place in [begin, end] that no piece can cross, None without one."""
+        first = self.cut.search(text, begin, min(len(text), end + 1))
+        if first is None or first.start() > end:
+            return None
+        size = 64
+        while True:
+            lo = max(first.start(), end - size)
+            found = [m.start() for m in self.cut.finditer(text, lo, min(len(text), end + 1)) if m.start() <= end]
+            if found:
+                return first.start(), found[-1]
+            size *= 8
+
     def transfer(self, text: str, begin: int, end: int, first: bool) -> dict[str, list[int]]:
         """Matrix of a chunk as {node at the left cut: nodes at the right cut}; all other entries are minus infinity."""
         out: dict[str, list[int]] = {}
-        sync = self.cut.search(text, min(end, begin + self.width)) if not first else None
-        meet = sync.start() if sync and sync.start() < end else None
-        rest = None
-        for node in [_START] if first else self._nodes(text, begin):
+        free = self._free(text, begin, end)
+        rest = self._crossing(self._ahead(text, {free[1]: 0}, free[1], end), end) or [_EDGE] if free else []
+        for node in [_START] if first else [_EDGE, *self._nodes(text, begin)]:
             seeds = self._seeds([node], begin)
-            if meet is None:
+            if not free:
                 reached = self._crossing(self._ahead(text, seeds, begin, end), end)
-            elif meet in self.forward(text, seeds, begin, meet):
-                if rest is None:  # behind a free cut all paths go on alike
-                    rest = self._crossing(self._ahead(text, {meet: 0}, meet, end), end)
-                reached = rest
-            else:
-                reached = []
+            else:  # behind a free place all paths go on alike
+                reached = rest if free[0] in self.forward(text, seeds, begin, free[0]) else []
             if reached:
                 out[str(node)] = reached
         return out
 
     def chunk_ids(self, text: str, begin: int, end: int, left: list[int], right: int) -> array:
         """Ids of the pieces that start in the chunk, on the path from one of ``left`` to ``right``."""
-        seeds = self._seeds(left, begin)
-        last = self._ahead(text, seeds, begin, end)
-        return self.to_ids(self.back(text, last, end + right // 64, seeds, begin))
+        seeds, free = self._seeds(left, begin), self._free(text, begin, end)
+        if not free:
+            return self.to_ids(self.back(text, self._ahead(text, seeds, begin, end), end + right // 64, seeds, begin))
+        head = self.back(text, self.forward(text, seeds, begin, free[0]), free[0], seeds, begin)
+        out = self.to_ids(head)
+        for run in self.runs.findall(text[free[0]:free[1]]):
+            out.extend(self._known.get(run) or self.run_ids(run))
+        start = {free[1]: 0}
+        if right != _EDGE:
+            out.extend(self.to_ids(self.back(text, self._ahead(text, start, free[1], end), end + right // 64, start, free[1])))
+        return out
 
 
 def normal(text: str) -> str:
@@ -264,12 +287,13 @@ def times(a: dict[str, list[int]], b: dict[str, list[int]]) -> dict[str, list[in
     return out
 
 
-def _int_lists(parts: list[array]) -> pa.Array:
+def _int_lists(parts: list[array | None]) -> pa.Array:
     flat = array("i")
     for p in parts:
-        flat.extend(p)
-    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, dtype=np.int32)))
+        flat.extend(p or ())
+    offsets = np.concatenate(([0], np.cumsum([len(p or ()) for p in parts]))).astype(np.int32)
+    mask = pa.array([p is None for p in parts]) if any(p is None for p in parts) else None
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, dtype=np.int32)), mask=mask)
 
 
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -281,10 +305,7 @@ def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", model
 
     def plain(texts: pa.Array) -> dict:
         lat = lattice(model)
-        rows = texts.to_pylist()
-        ids = _int_lists([lat.encode(t or "") for t in rows])
-        nulls = pa.array([t is None for t in rows])
-        return {"ids": pa.compute.if_else(nulls, pa.scalar(None, ids.type), ids) if any(t is None for t in rows) else ids}
+        return {"ids": _int_lists([None if t is None else lat.encode(t) for at in range(0, len(texts), 512) for t in texts.slice(at, 512).to_pylist()])}
 
     small = with_columns(docs.where(size <= giant), IDS, plain, text)
     k1, k2 = row_keys(text, id_col)
@@ -396,7 +417,10 @@ def decode(df: DataFrame, *, model: str = MODEL, ids: str = "ids", into: str = "
 
     def run(column: pa.Array) -> dict:
         lat = lattice(model)
-        return {into: [None if x is None else lat.decode(x) for x in column.to_pylist()]}
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        offsets, flat, known = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_pylist()
+        return {into: [lat.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), known)]}
 
     return with_columns(df, T.StructType([T.StructField(into, T.StringType())]), run, ids)
 

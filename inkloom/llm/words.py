@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNK_BYTES = 2 << 20  # of text handled at once; a longer text is a chunk of its own
-CHUNK_ROWS = 2048      # texts handled at once, however short
+CHUNK_ROWS = 1024      # texts handled at once, however short
 
 _LOWER = np.zeros(256, dtype=np.uint8)  # 0 marks bytes outside words
 _LOWER[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -173,10 +173,14 @@ def with_columns(df: DataFrame, new: T.StructType, fn: Callable[[pa.Array], dict
     arrow = to_arrow_schema(out)
     source = df.select(*[f.name for f in kept])
 
-    def run(batch: pa.RecordBatch):
+    def run(whole: pa.RecordBatch):
+        for at in range(0, whole.num_rows, CHUNK_ROWS):
+            yield one(whole.slice(at, CHUNK_ROWS))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = fn(batch.column(text))
         cols = [pa.array(made[f.name], type=f.type) if f.name in made and not isinstance(made[f.name], (pa.Array, pa.ChunkedArray))
                 else made[f.name].cast(f.type) if f.name in made else batch.column(f.name).cast(f.type) for f in arrow]
-        yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        return pa.RecordBatch.from_arrays(cols, schema=arrow)
 
     return map_batches(source, run, out)

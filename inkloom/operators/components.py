@@ -75,7 +75,9 @@ def connected_components(mask: DataFrame, keys: tuple[str, ...] = ("image_id", "
     components that meet across tile borders go through rounds over the cluster.
     """
     ks = list(keys)
-    code = F.shiftleft(F.col("y").cast("long"), ROW_BITS) + F.col("x")
+    fits = F.col("x").between(0, (1 << ROW_BITS) - 1)
+    code = F.when(fits, F.shiftleft(F.col("y").cast("long"), ROW_BITS) + F.col("x")) \
+        .otherwise(F.raise_error(F.lit(f"x outside 0 to {(1 << ROW_BITS) - 1}")).cast("long"))
     px = mask.select(*ks, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).withColumn("_c", code) \
         .withColumn("_ty", F.floor(F.col("y") / tile)).withColumn("_tx", F.floor(F.col("x") / tile))
     types = {f.name: f.dataType.simpleString() for f in px.schema.fields}

@@ -87,34 +87,39 @@ def weight_updates(attributed: DataFrame, prompts: DataFrame | None) -> DataFram
     return per.withColumn("new_weight", new).withColumn("signal", sig)
 
 
-def fold_updates(updates: DataFrame, order: str = "episode_id", chunk: int = 8192, levels: int = 3) -> DataFrame:
+def fold_updates(updates: DataFrame, order: str = "seq", chunk: int = 8192) -> DataFrame:
     """Chain the episodes' updates per (category, prompt), clamping after each.
 
+    ``order`` is a whole number, by default the place of the record.
     "Multiply, then clamp" maps compose into one map of the same shape
     ``x -> min(hi, max(lo, a*x))``, so ordered chunks are folded on their own and
-    the chunk maps are folded again.  No list ever holds more than ``chunk``
-    entries, however often a pair occurs.
+    the chunk maps are folded again until no number is left to tell chunks
+    apart.  No list ever holds more than ``chunk`` entries, however often a
+    pair occurs; rows of a pair with equal order are folded by episode.
     """
-    known = updates.where("old_weight > 0")
-    steps = known.select("category_id", "prompt", F.col(order).cast("long").alias("_o"),
-                         (F.col("new_weight") / F.col("old_weight")).alias("a"),
-                         F.lit(WEIGHT_MIN).alias("lo"), F.lit(WEIGHT_MAX).alias("hi"))
+    known = updates.where("old_weight IS NOT NULL")
+    ratio = F.when(F.col("old_weight") > 0, F.col("new_weight") / F.col("old_weight")).otherwise(1.0)  # from 0 only the clamp moves
+    steps = known.select("category_id", "prompt", F.col(order).cast("long").alias("_o"), F.col("episode_id").cast("string").alias("_e"),
+                         ratio.alias("a"), F.lit(WEIGHT_MIN).alias("lo"), F.lit(WEIGHT_MAX).alias("hi"))
 
     def compose(acc, nxt):
         bound = lambda v: F.least(nxt["hi"], F.greatest(nxt["lo"], nxt["a"] * v))
         return F.struct((acc["a"] * nxt["a"]).alias("a"), bound(acc["lo"]).alias("lo"), bound(acc["hi"]).alias("hi"))
 
     start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("lo"), F.lit(float("inf")).alias("hi"))
-    for _ in range(levels):
-        steps = steps.groupBy("category_id", "prompt", F.floor(F.col("_o") / chunk).alias("_o")).agg(
-            F.sort_array(F.collect_list(F.struct("_o", "a", "lo", "hi"))).alias("_l"))
-        steps = steps.select("category_id", "prompt", "_o", F.aggregate("_l", start, compose).alias("m")) \
-            .select("category_id", "prompt", "_o", "m.*")
+    # five floor divisions by 8192 leave 0 or -1 of any long; the last fold joins these two
+    levels = math.ceil(63 / math.log2(chunk))
+    for level in range(levels + 1):
+        last = level == levels
+        keys = ["category_id", "prompt"] + ([] if last else [F.floor(F.col("_o") / chunk).alias("_n")])
+        steps = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_o", "_e", "a", "lo", "hi"))).alias("_l"))
+        steps = steps.select("category_id", "prompt", (F.lit(0) if last else F.col("_n")).cast("long").alias("_o"), F.lit("").alias("_e"),
+                             F.aggregate("_l", start, compose).alias("m")).select("category_id", "prompt", "_o", "_e", "m.*")
     totals = known.groupBy("category_id", "prompt").agg(
         F.max("old_weight").alias("old_weight"), F.count_if(F.col("signal") == "accept").alias("n_accept"),
         F.count_if(F.col("signal") == "reject").alias("n_reject"))
     new = F.least(F.col("hi"), F.greatest(F.col("lo"), F.col("a") * F.col("old_weight")))
-    return totals.join(steps.drop("_o"), ["category_id", "prompt"]).select(
+    return totals.join(steps.drop("_o", "_e"), ["category_id", "prompt"]).select(
         "category_id", "prompt", "old_weight", new.alias("new_weight"), "n_accept", "n_reject")
 
 

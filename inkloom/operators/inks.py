@@ -132,17 +132,10 @@ def black_generation(inks: DataFrame, k_gain: float = 1.0, k_gamma: float = 1.0,
                            f"k{suffix}": color.byte(F.lit(255.0) - F.col("_new"))}).drop("_new", "_d")
 
 
-def black_presence(inks: DataFrame, largest: DataFrame, stride: int = 1, target: int = 300) -> DataFrame:
-    """Share of pixels with black ink on a stepped grid of the largest layer of each image.
-
-    ``largest`` has image_id, h, w; the step keeps about ``target`` rows and
-    columns, as in the audit it belongs to.
-    """
-    step = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) / target))
-    px = inks.join(largest.select("image_id", step("h").alias("_sy"), step("w").alias("_sx")), "image_id")
-    px = px.where((F.col("y") % F.col("_sy") == 0) & (F.col("x") % F.col("_sx") == 0))
+def black_presence(inks: DataFrame) -> DataFrame:
+    """Share of pixels with black ink of each image, over all its pixels."""
     kk = F.col("k") / 255.0
-    return px.groupBy("image_id").agg(
+    return inks.groupBy("image_id").agg(
         F.round(F.avg((kk < 0.999).cast("double")) * 100, 1).alias("k_channel_nonzero_pct"),
         F.round(F.avg((kk < 0.5).cast("double")) * 100, 1).alias("k_channel_strong_pct"),
         F.round(F.avg(1 - kk) * 100, 2).alias("k_ink_mean_pct"))

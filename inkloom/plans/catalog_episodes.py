@@ -76,7 +76,7 @@ def _(v):
 
 
 _UPD = f"""{_ATTR}, per AS (SELECT episode_id, category_id, prompt, count(*) FILTER (signal = 'accept') AS n_accept,
-  count(*) FILTER (signal <> 'accept') AS n_reject FROM attr GROUP BY 1, 2, 3),
+  count(*) FILTER (signal <> 'accept') AS n_reject, min(seq) AS seq FROM attr GROUP BY 1, 2, 3),
  known AS (SELECT category_id, prompt, max(weight) AS old_weight FROM prompts WHERE source <> 'shadow' GROUP BY 1, 2),
  upd AS (SELECT per.*, old_weight, greatest(0.05e0, least(5e0, old_weight * CASE WHEN n_reject > 0 THEN pow(0.8e0, n_reject) ELSE pow(1.1e0, n_accept) END)) AS new_weight,
   CASE WHEN old_weight IS NULL THEN 'unknown' WHEN n_reject > 0 THEN 'reject' ELSE 'accept' END AS signal
@@ -93,9 +93,9 @@ def _(v):
 
 @query("learned_weight_fold_c20", f"""WITH {_UPD}
 SELECT category_id, prompt, max(old_weight) AS old_weight,
- round(list_reduce(list_prepend(max(old_weight), list(new_weight / old_weight ORDER BY episode_id)), lambda acc, r: greatest(0.05e0, least(5e0, acc * r))), 6) AS new_weight,
+ round(list_reduce(list_prepend(max(old_weight), list(CASE WHEN old_weight > 0 THEN new_weight / old_weight ELSE 1e0 END ORDER BY seq, CAST(episode_id AS VARCHAR))), lambda acc, r: greatest(0.05e0, least(5e0, acc * r))), 6) AS new_weight,
  count(*) FILTER (signal = 'accept') AS n_accept, count(*) FILTER (signal = 'reject') AS n_reject
-FROM upd WHERE old_weight > 0 GROUP BY 1, 2""", ("detections", "prompts"))
+FROM upd WHERE old_weight IS NOT NULL GROUP BY 1, 2""", ("detections", "prompts"))
 def _(v):
     upd = ep.weight_updates(ep.attributions(v.detections), v.prompts)
     return ep.fold_updates(upd).withColumn("new_weight", F.round("new_weight", 6))

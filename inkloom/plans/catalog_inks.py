@@ -116,13 +116,10 @@ def _(v):
 
 
 @query("black_presence_m13", """
-WITH big AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM inks GROUP BY 1),
-s AS (SELECT i.* FROM inks i JOIN big USING (image_id) WHERE y % greatest(1, floor(h / 300)) = 0 AND x % greatest(1, floor(w / 300)) = 0)
 SELECT image_id, round(avg(CASE WHEN k / 255e0 < 0.999 THEN 1e0 ELSE 0e0 END) * 100, 1) AS k_channel_nonzero_pct,
- round(avg(CASE WHEN k / 255e0 < 0.5 THEN 1e0 ELSE 0e0 END) * 100, 1) AS k_channel_strong_pct, round(avg(1 - k / 255e0) * 100, 2) AS k_ink_mean_pct FROM s GROUP BY 1""", ("inks",))
+ round(avg(CASE WHEN k / 255e0 < 0.5 THEN 1e0 ELSE 0e0 END) * 100, 1) AS k_channel_strong_pct, round(avg(1 - k / 255e0) * 100, 2) AS k_ink_mean_pct FROM inks GROUP BY 1""", ("inks",))
 def _(v):
-    big = v.inks.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    return ik.black_presence(v.inks, big)
+    return ik.black_presence(v.inks)
 
 
 def _cal_sql():

@@ -57,8 +57,8 @@ def _(v):
     return au.verdict(jobs.delivery_audit(*_audit_inputs(v)))
 
 
-@query("learned_suggestions_x2", f"""WITH {_UPD} SELECT category_id, prompt, round(list_reduce(list_prepend(max(old_weight), list(new_weight / old_weight ORDER BY episode_id)), lambda acc, r: greatest(0.05e0, least(5e0, acc * r))), 6) AS new_weight
-FROM upd WHERE old_weight > 0 GROUP BY 1, 2""", ("detections", "prompts"))
+@query("learned_suggestions_x2", f"""WITH {_UPD} SELECT category_id, prompt, round(list_reduce(list_prepend(max(old_weight), list(CASE WHEN old_weight > 0 THEN new_weight / old_weight ELSE 1e0 END ORDER BY seq, CAST(episode_id AS VARCHAR))), lambda acc, r: greatest(0.05e0, least(5e0, acc * r))), 6) AS new_weight
+FROM upd WHERE old_weight IS NOT NULL GROUP BY 1, 2""", ("detections", "prompts"))
 def _(v):
     return jobs.learn(v.detections, v.prompts).select("category_id", "prompt", F.round("new_weight", 6).alias("new_weight"))
 
@@ -234,7 +234,7 @@ def _(v):
 
 @query("closed_requests_t8", """
 SELECT q.event_id AS id, q.user_id, date_diff('second', date_trunc('second', q.ts), date_trunc('second', r.ts)) >= 0 AS in_order, r.event_type AS action FROM events q JOIN (SELECT user_id, max(event_id) AS m FROM events GROUP BY 1) l USING (user_id) JOIN events r ON r.event_id = l.m
-WHERE q.event_type = 'error' AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 7 DAYS""")
+WHERE q.event_type = 'error' AND r.ts >= q.ts""")
 def _(v):
     last = v.events.groupBy("user_id").agg(F.max("event_id").alias("m"))
     rev = v.events.join(last.select(F.col("m").alias("event_id")), "event_id").select(F.col("user_id").cast("string").alias("feedback_request_id"), "ts", F.col("event_type").alias("action"))
@@ -242,7 +242,7 @@ def _(v):
     return le.close_requests(req, rev).select("id", "user_id", (F.col("reviewed_at") >= F.col("ts")).alias("in_order"), "action")
 
 
-@query("finalized_episodes_t9", f"""SELECT episode_id, {_admit_sql()} AS reason, {_admit_sql()} = 'ok' AS admitted FROM episodes WHERE k2 % 40 <= 24""", ("episodes",))
+@query("finalized_episodes_t9", f"""SELECT episode_id, {_admit_sql()} AS reason, {_admit_sql()} = 'ok' AS admitted FROM episodes""", ("episodes",))
 def _(v):
     d = _dims(v)
     e = d.select("episode_id", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")).alias("ts"), "output_mode")

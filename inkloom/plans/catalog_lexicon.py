@@ -19,7 +19,7 @@ SELECT p.category_id, p.prompt, p.weight, c.name_en, c.confidence AS category_co
 FROM (SELECT 's' || CAST(substr(prompt, 2) AS INT) AS category_id, prompt, weight, source FROM prompts) p
 JOIN categories c ON p.category_id = c.id WHERE p.source <> 'shadow' AND p.weight >= 0.3""", ("prompts", "categories"))
 def _(v):
-    p = v.prompts.withColumn("category_id", F.concat(F.lit("s"), F.substring("prompt", 2, 9).cast("int")))
+    p = v.prompts.withColumn("category_id", F.concat(F.lit("s"), F.expr("substring(prompt, 2)").cast("int")))
     return lx.ranked_prompts(p, v.categories).select("category_id", "prompt", "weight", "name_en", "category_confidence")
 
 

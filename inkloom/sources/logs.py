@@ -36,13 +36,15 @@ def corrupt_lines(lines: DataFrame) -> DataFrame:
     return _parsed(lines).where("_r._corrupt IS NOT NULL").drop("_r")
 
 
-def newest(episodes: DataFrame, limit: int = 1000, material_family: str | None = None) -> DataFrame:
+def newest(episodes: DataFrame, limit: int | None = None, material_family: str | None = None) -> DataFrame:
+    """Episodes, newest first; all of them unless ``limit`` is asked for."""
     if material_family is not None:
         episodes = episodes.where(F.col("material_family") == material_family)
-    return episodes.orderBy(F.desc("seq")).limit(limit)
+    ordered = episodes.orderBy(F.desc("seq"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def read_episodes(spark: SparkSession, path: str, limit: int = 1000, material_family: str | None = None) -> DataFrame:
+def read_episodes(spark: SparkSession, path: str, limit: int | None = None, material_family: str | None = None) -> DataFrame:
     return newest(parse_episode_lines(read_lines(spark, path)), limit, material_family)
 
 

@@ -71,12 +71,14 @@ def close_requests(requests: DataFrame, reviews: DataFrame, wait: str = "7 days"
     """Requests with their review; streams keep open requests for ``wait``.
 
     The source of these logs has no event time; the bound is ours, and later
-    reviews are left to the batch form of the same join.
+    reviews are left to the batch form of the same join, which has no bound.
     """
+    bound = F.lit(True)
     q, r = requests, reviews.select(F.col("feedback_request_id").alias("_id"), F.col("ts").alias("reviewed_at"), "action")
     if requests.isStreaming or reviews.isStreaming:
         q, r = q.withWatermark("ts", wait), r.withWatermark("reviewed_at", wait)
-    on = (F.col("feedback_request_id") == F.col("_id")) & (F.col("reviewed_at") >= F.col("ts")) & (F.col("reviewed_at") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
+        bound = F.col("reviewed_at") <= F.col("ts") + F.expr(f"INTERVAL {wait}")
+    on = (F.col("feedback_request_id") == F.col("_id")) & (F.col("reviewed_at") >= F.col("ts")) & bound
     return q.join(r, on).drop("_id")
 
 
@@ -84,12 +86,14 @@ def finalize(episodes: DataFrame, audits: DataFrame, wait: str = "1 day") -> Dat
     """Admission of episodes whose audit arrived; streams wait for ``wait``.
 
     Audits that come later are picked up by the batch form, which reads both
-    logs whole.
+    logs whole and has no bound.
     """
+    bound = F.lit(True)
     a = audits.select(F.col("episode_id").alias("_id"), F.col("ts").alias("audited_at"), "dims", "output_mode")
     e = episodes.drop("output_mode")
     if episodes.isStreaming or audits.isStreaming:
         e, a = e.withWatermark("ts", wait), a.withWatermark("audited_at", wait)
-    on = (F.col("episode_id") == F.col("_id")) & (F.col("audited_at") >= F.col("ts")) & (F.col("audited_at") <= F.col("ts") + F.expr(f"INTERVAL {wait}"))
+        bound = F.col("audited_at") <= F.col("ts") + F.expr(f"INTERVAL {wait}")
+    on = (F.col("episode_id") == F.col("_id")) & (F.col("audited_at") >= F.col("ts")) & bound
     j = e.join(a, on).drop("_id")
     return j.withColumn("reason", admission_reason(F.col("dims"), F.col("output_mode"))).withColumn("admitted", F.col("reason") == "ok")

@@ -49,8 +49,9 @@ def test_chunked_fold_equals_walking_the_episodes(frame):
             w = max(0.05, min(5.0, w * new / start))
         want[prompt] = w
     upd = frame(rows, "episode_id long, category_id string, prompt string, old_weight double, new_weight double, signal string")
-    for chunk, levels in ((7, 4), (8192, 3)):
-        got = {r.prompt: r.new_weight for r in ep.fold_updates(upd, chunk=chunk, levels=levels).collect()}
+    far = upd.withColumn("seq", F.col("episode_id") * 10_000_000_000 - 1_700_000_000_000)
+    for frame_, order, chunk in ((upd, "episode_id", 7), (upd, "episode_id", 8192), (far, "seq", 8192)):
+        got = {r.prompt: r.new_weight for r in ep.fold_updates(frame_, order=order, chunk=chunk).collect()}
         assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert all(0.05 <= w <= 5.0 for w in got.values())
 

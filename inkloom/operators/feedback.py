@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 ACCEPT_FACTOR = 1.1
 
 
@@ -58,18 +60,37 @@ def soft_delete(actions: DataFrame, categories: DataFrame, now: int) -> DataFram
         "deleted_at", F.when(F.col("_d"), F.lit(now).cast("long")).otherwise(F.col("deleted_at"))).drop("_d")
 
 
+def _last_targets(ends: DataFrame) -> DataFrame:
+    """Follows (source, _end, _s) to merges of the end that come later in the batch; one join a link of the longest chain."""
+    later = ends.select(F.col("source").alias("_end"), F.col("_end").alias("_next"), F.col("_s").alias("_ns"))
+    while True:
+        step = ends.join(later, "_end", "left").withColumn("_go", F.coalesce(F.col("_ns") > F.col("_s"), F.lit(False)))
+        if step.where("_go").isEmpty():
+            return ends
+        ends = cut_lineage(step.select("source", F.when(F.col("_go"), F.col("_next")).otherwise(F.col("_end")).alias("_end"),
+                                       F.when(F.col("_go"), F.col("_ns")).otherwise(F.col("_s")).alias("_s")))
+
+
 def merge(pairs: DataFrame, categories: DataFrame, prompts: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Move prompts of ``source`` to ``target``; equal prompts keep the larger weight.
 
     Returns (prompts, categories, counts per pair).  Pairs whose ends are unknown
-    or equal are ignored, and a source is merged once, into its first target.
+    or equal are ignored, and a source is merged once, into its first target: that
+    of the smallest ``seq`` where pairs have one, else the smallest name.  A target
+    that is itself merged later in the batch hands its prompts on.
     """
     ids = categories.select("id")
     ok = pairs.where("source <> target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi") \
         .join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-    ok = ok.groupBy("source").agg(F.min("target").alias("target"))
-    moved = prompts.join(ok.withColumnRenamed("source", "category_id"), "category_id", "left")
-    final = F.coalesce("target", "category_id")
+    ok = ok.groupBy("source").agg(F.min_by("target", F.struct("seq", "target")).alias("target"), F.min("seq").alias("_s")) if "seq" in pairs.columns \
+        else ok.groupBy("source").agg(F.min("target").alias("target"), F.lit(0).alias("_s"))
+    ends = ok.select("source", F.col("target").alias("_end"), "_s")
+    if "seq" in pairs.columns:
+        ends = _last_targets(ends)
+    ok = ok.drop("_s")
+    moved = prompts.join(ok.withColumnRenamed("source", "category_id"), "category_id", "left") \
+        .join(ends.select(F.col("source").alias("category_id"), "_end"), "category_id", "left")
+    final = F.coalesce("_end", "category_id")
     tagged = moved.withColumn("_moved", F.col("target").isNotNull()).withColumn("category_id", final)
     cols = [c for c in prompts.columns if c != "category_id"]
     # the target's own row stays unless a moved one is heavier

@@ -148,7 +148,7 @@ def apply_feedback(actions: DataFrame, categories: DataFrame, prompts: DataFrame
     raised, accepted = fb.accept(acts, categories, prompts)
     renamed = fb.rename(acts, categories, now).drop("updated_at")
     deleted = fb.soft_delete(acts, renamed, now)
-    pairs = acts.where("user_action = 'merge' AND target_category_id IS NOT NULL").select(F.col("category_id").alias("source"), F.col("target_category_id").alias("target"))
+    pairs = acts.where("user_action = 'merge' AND target_category_id IS NOT NULL").select(F.col("category_id").alias("source"), F.col("target_category_id").alias("target"), "seq")
     merged, cats, counts = fb.merge(pairs, deleted, raised, now)
     known = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("_k"))
     other = acts.where("user_action <> 'accept'").join(known, "category_id", "left").select(

@@ -67,6 +67,15 @@ def test_merge_moves_prompts_and_deletes_the_source(spark):
     assert (c.migrated, c.merged, c.kept) == (1, 1, 1)
 
 
+def test_chained_merges_end_where_the_requests_lead(spark):
+    cats = spark.createDataFrame([(c,) for c in "abcdez"], "id string").withColumn("deleted_at", F.lit(None).cast("long"))
+    prompts = spark.createDataFrame([("a", "x", 2.0), ("b", "y", 1.0), ("d", "v", 3.0), ("e", "u", 1.0)], "category_id string, prompt string, weight double")
+    pairs = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("d", "z", 3), ("d", "e", 4), ("c", "e", 5), ("e", "a", 0)], "source string, target string, seq long")
+    out, _, counts = fb.merge(pairs, cats, prompts, 7)
+    assert {(r.category_id, r.prompt, r.weight) for r in out.collect()} == {("e", "x", 2.0), ("e", "y", 1.0), ("z", "v", 3.0), ("e", "u", 1.0)}
+    assert {(r.source, r.target) for r in counts.collect()} == {("a", "b"), ("b", "c"), ("d", "z"), ("e", "a")}
+
+
 def test_unmatched_uploads_never_look_sure(spark):
     df = spark.createDataFrame([(None, None, 2000, 1000), ("其他", 0.3, 1000, 1000), ("油画布", 0.8, 10, 10), ("绢本工笔", 0.9, 1, 1)], "f string, c double, w int, h int")
     rec = rules.recommend_preset(F.col("f"), F.col("c"), F.lit(True), F.col("w"), F.col("h"))

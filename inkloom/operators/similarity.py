@@ -10,35 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 
-def _block_scores(index: DataFrame, block: list, id_col: str, vec_col: str, query_id: str,
-                  top_k: int, min_similarity: float) -> DataFrame:
-    qids = [r[0] for r in block]
-    q = np.asarray([r[1] for r in block], dtype=np.float64)
-    q = q / np.linalg.norm(q, axis=1, keepdims=True)
-    id_type = index.schema[id_col].dataType
-    qid_type = T.StringType() if isinstance(qids[0], str) else T.LongType()
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Rows of a partition packed batch by batch: (ids, vecs), vecs normalised and without zero vectors."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
             norms = np.linalg.norm(m, axis=1)
             keep = norms > 0
-            ids = pdf[id_col].to_numpy()[keep]
-            sims = q @ (m[keep] / norms[keep, None]).T
-            for j, qid in enumerate(qids):
-                row = sims[j]
-                # best k of this batch, ties included so that the id can decide later
-                cut = np.partition(row, -top_k)[-top_k] if len(row) > top_k else -2.0
-                hit = np.flatnonzero((row >= cut) & (row >= min_similarity))
-                if len(hit):
-                    yield pd.DataFrame({query_id: [qid] * len(hit), id_col: ids[hit], "similarity": row[hit]})
-
-    schema = T.StructType([T.StructField(query_id, qid_type), T.StructField(id_col, id_type),
-                           T.StructField("similarity", T.DoubleType())])
-    return index.select(id_col, vec_col).mapInPandas(score, schema)
+            if keep.any():
+                yield pd.DataFrame({"ids": [pdf[id_col][keep].tolist()], "vecs": [(m[keep] / norms[keep, None]).tobytes()]})
+
+    ids = T.ArrayType(vectors.schema[id_col].dataType)
+    return vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(
+        pack, T.StructType([T.StructField("ids", ids), T.StructField("vecs", T.BinaryType())]))
 
 
 def top_similar(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str, id_col: str = "task_id",
@@ -46,29 +34,32 @@ def top_similar(queries: DataFrame, index: DataFrame, *, query_id: str, query_ve
                 only_audited: bool = True, block_rows: int = 512) -> DataFrame:
     """Top-k most similar index rows per query vector; exact.
 
-    Queries travel to the index in blocks of a checked size, each index batch
-    keeps its own best rows, and only those meet in the final ranking.  More
-    queries mean more passes over the index, never a larger block.
+    Index and queries are both packed into rows of one batch of vectors, queries
+    in steps of ``block_rows``.  Every pack of queries meets every pack of the
+    index once, in the tasks; a meeting keeps the best rows of each query, ties
+    included, and only those go to the ranking.  Nothing passes the driver, and
+    the plan is the same for any number of queries.
     """
     if only_audited:
         index = index.where("audit_passed")
-    queries = queries.where(F.aggregate(query_vec, F.lit(0.0), lambda a, v: a + F.abs(v.cast("double"))) > 0)
-    queries = queries.select(query_id, query_vec)
-    head = queries.limit(block_rows + 1).collect()
-    if not head:
-        return index.limit(0).select(F.lit(None).cast(queries.schema[query_id].dataType).alias(query_id),
-                                     id_col, F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
-    blocks = [head]
-    if len(head) > block_rows:
-        parts = -(-queries.count() // (block_rows // 2))
-        tagged = queries.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(parts)))
-        blocks = [tagged.where(F.col("_b") == i).select(query_id, query_vec).collect() for i in range(parts)]
-    scored = None
-    for block in blocks:
-        for start in range(0, len(block), block_rows):
-            part = _block_scores(index, block[start:start + block_rows], id_col, vec_col, query_id,
-                                 top_k, min_similarity)
-            scored = part if scored is None else scored.unionByName(part)
+    left = cut_lineage(_packed(queries, query_id, query_vec)).select(F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
+    right = _packed(index, id_col, vec_col)  # packed again for each 128 MB of queries at most
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id_col, index.schema[id_col].dataType),
+                           T.StructField("similarity", T.DoubleType())])
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for qids, qvecs, ids, vecs in zip(pdf["qids"], pdf["qvecs"], pdf["ids"], pdf["vecs"]):
+                q = np.frombuffer(qvecs).reshape(len(qids), -1)
+                m, ids = np.frombuffer(vecs).reshape(len(ids), -1), np.asarray(ids)
+                for lo in range(0, len(qids), block_rows):
+                    sims = q[lo:lo + block_rows] @ m.T
+                    cut = np.full(len(sims), -2.0) if sims.shape[1] <= top_k else np.partition(sims, -top_k, axis=1)[:, -top_k]
+                    j, hit = np.nonzero((sims >= cut[:, None]) & (sims >= min_similarity))
+                    if len(hit):
+                        yield pd.DataFrame({query_id: np.asarray(qids)[lo + j], id_col: ids[hit], "similarity": sims[j, hit]})
+
+    scored = right.crossJoin(left).mapInPandas(score, schema)  # packs of a stated query set against packs of the index
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.asc(id_col))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 

@@ -41,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 32_768   # characters; longer texts are cut
 CHUNK = 16_384
 FAN = 64         # matrices multiplied by one task at a level
-_KEEP = 200_000  # remembered runs of a worker, about 55 MB, and four times as many pairs, 100 MB
+_KEEP = 120_000  # runs a worker remembers, and as many from before, about 70 MB; four times as many pairs, 60 MB
 _MARK = "▁"
 _START = 0       # node before the first piece
 _EDGE = 63       # node of a cut that is itself a free place
@@ -85,6 +85,7 @@ class Lattice:
         self._fits: dict[int, bool] = {}
         self._steps: dict[str, list[tuple[float, str, str]]] = {}
         self._known: dict[str, array] = {}
+        self._before: dict[str, array] = {}
         self.pieces = {p: i for p, i in self.ids.items() if len(p) == 1 or self.steps(p)[-1:] and self.steps(p)[-1][1] == p}
 
     def steps(self, piece: str) -> list[tuple[float, str, str]]:
@@ -178,19 +179,21 @@ class Lattice:
     def run_ids(self, run: str) -> array:
         got = self._known.get(run)
         if got is None:
-            seed = {0: 0}
-            got = self.to_ids(self.back(run, self.forward(run, seed, 0, len(run)), len(run), seed, 0))
+            got = self._before.get(run)
+            if got is None:
+                seed = {0: 0}
+                got = self.to_ids(self.back(run, self.forward(run, seed, 0, len(run)), len(run), seed, 0))
             if len(run) <= 64:
-                if len(self._known) >= _KEEP:
-                    self._known.clear()
+                if len(self._known) >= _KEEP:  # what was not asked for since the last turn is forgotten
+                    self._before, self._known = self._known, {}
                 self._known[run] = got
         return got
 
     def encode(self, text: str) -> array:
-        out, known = array("i"), self._known
+        out = array("i")
         if text:
             for run in self.runs.findall(normal(text)):
-                out.extend(known.get(run) or self.run_ids(run))
+                out.extend(self._known.get(run) or self.run_ids(run))
         return out
 
     def decode(self, ids) -> str:

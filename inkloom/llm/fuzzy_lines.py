@@ -29,15 +29,16 @@ SHINGLE = 9
 MIN_CHARS = 20
 SKETCH, BAND = 14, 3
 THRESHOLD = 0.8
-BLOCK = 256
+BLOCK = 512
 BITS = 24  # of a bit table: 2 MB, whatever the data
 
-_ANCHOR = r"(?:^|(?<=\s)|(?=[\x{0E00}-\x{0EFF}\x{3040}-\x{9FFF}\x{AC00}-\x{D7AF}]))(?=\S)(?=(.{1,%d}))"
+_EACH = r"\x{0E00}-\x{0EFF}\x{3040}-\x{9FFF}\x{AC00}-\x{D7AF}"  # scripts without spaces
+_ANCHOR = r"(?=(.{1,%d}))(?:[" + _EACH + r"]|[^\s" + _EACH + "]+)"  # looks ahead from each word, then steps over it
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Sorted distinct hashes of a line's shingles."""
-    found = F.regexp_extract_all(line, F.lit(_ANCHOR % size), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(_ANCHOR.replace("%d", str(size))), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -82,7 +83,7 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     buckets = links.shared_buckets(with_bit(keyed, "key", bit_table(shared, "key")))
     wanted = stored(buckets.select("node").distinct(), "wanted")
     texts = with_bit(lines_of(docs, text, id_col).select(F.col("h1").alias("node"), "line"), "node", bit_table(wanted, "node"))
-    sets = stored(texts.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]).select("node", shingles(F.col("line")).alias("s")), "sets")
+    sets = stored(texts.join(wanted.hint("merge"), "node").dropDuplicates(["node"]).select("node", shingles(F.col("line")).alias("s")), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sa, sb = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))

@@ -45,7 +45,7 @@ def test_list_rejects_in_order_and_filter_keeps_rows_as_they_are(spark, prose):
 
 
 def lines_to_remove(rows):
-    anchor = re.compile(r"(?:^|(?<=\s)|(?=[฀-໿぀-鿿가-힯]))(?=\S)(?=(.{1,9}))")
+    anchor = re.compile(r"(?=(.{1,9}))(?:[\u0E00-\u0EFF\u3040-\u9FFF\uAC00-\uD7AF]|[^\s\u0E00-\u0EFF\u3040-\u9FFF\uAC00-\uD7AF]+)")
     all_ = [(d, i, x.strip(" ").lower()) for d, t in rows for i, x in enumerate((t or "").split("\n")) if len(x.strip(" ")) >= fl.MIN_CHARS]
     sets = [set(anchor.findall(x)) for _, _, x in all_]
     parent = list(range(len(all_)))

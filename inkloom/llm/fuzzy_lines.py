@@ -1,7 +1,7 @@
 """Line deduplication over the whole corpus, exact and fuzzy, in DataFrame functions only.
 
-Lines are lower-cased and trimmed. A line's shingles are the runs of ``SHINGLE`` characters that begin at a word (at every
-character in scripts without spaces). The ``SKETCH`` smallest of their hashes are its MinHash sketch; each ``BAND``
+Lines are lower-cased and trimmed. A line's shingles are its runs of ``SHINGLE`` characters, one beginning at every
+character. The ``SKETCH`` smallest of their hashes are its MinHash sketch; each ``BAND``
 neighbours of the sorted sketch are a band. Lines that share a band are compared by exact Jaccard similarity of all their
 shingles; links at 0.8 or more are merged by union-find over joins and mins (``links.group``), and each component keeps its
 first line, by document id and place.
@@ -32,13 +32,12 @@ THRESHOLD = 0.8
 BLOCK = 512
 BITS = 24  # of a bit table: 2 MB, whatever the data
 
-_EACH = r"\x{0E00}-\x{0EFF}\x{3040}-\x{9FFF}\x{AC00}-\x{D7AF}"  # scripts without spaces
-_ANCHOR = r"(?=(.{1,%d}))(?:[" + _EACH + r"]|[^\s" + _EACH + "]+)"  # looks ahead from each word, then steps over it
+_WINDOW = r"(?s)(?=(.{%d}))."  # looks ahead from each character, then steps over it
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """Sorted distinct hashes of a line's shingles."""
-    found = F.regexp_extract_all(line, F.lit(_ANCHOR.replace("%d", str(size))), F.lit(1))
+    found = F.regexp_extract_all(line, F.lit(_WINDOW % size), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -83,15 +82,16 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     buckets = links.shared_buckets(with_bit(keyed, "key", bit_table(shared, "key")))
     wanted = stored(buckets.select("node").distinct(), "wanted")
     texts = with_bit(lines_of(docs, text, id_col).select(F.col("h1").alias("node"), "line"), "node", bit_table(wanted, "node"))
-    sets = stored(texts.join(wanted.hint("merge"), "node").dropDuplicates(["node"]).select("node", shingles(F.col("line")).alias("s")), "sets")
+    kept = stored(texts.join(wanted.hint("merge"), "node").dropDuplicates(["node"]), "texts")  # shingles take eight bytes a character, so they are made anew where lines meet
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sa, sb = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        both = pairs.join(sb, "b").join(sa, "a").withColumn("_n", F.size(F.array_intersect("sa", "sb")))
+        la, lb = kept.select(F.col("node").alias("a"), F.col("line").alias("la")), kept.select(F.col("node").alias("b"), F.col("line").alias("lb"))
+        both = pairs.join(lb, "b").join(la, "a").withColumns({"sa": shingles(F.col("la")), "sb": shingles(F.col("lb"))}).withColumn("_n", F.size(F.array_intersect("sa", "sb")))
         return both.select("a", "b", (F.col("_n") / (F.size("sa") + F.size("sb") - F.col("_n"))).alias("similarity"))
 
     def rest(live: DataFrame) -> DataFrame:
-        cell = links.cells(live, BLOCK).join(sets, "node").groupBy("key", "cell").agg(F.collect_list(F.struct("node", "root", "s")).alias("m"))
+        cell = links.cells(live, BLOCK).join(kept, "node").groupBy("key", "cell").agg(F.collect_list(F.struct("node", "root", "line")).alias("_m")) \
+            .select(F.transform("_m", lambda x: F.struct(x["node"].alias("node"), x["root"].alias("root"), shingles(x["line"]).alias("s"))).alias("m"))
         near = "size(array_intersect(x.s, y.s)) * {0} >= {1} * (size(x.s) + size(y.s))".format(1 + threshold, threshold)
         close = f"y.node > x.node AND y.root <> x.root AND size(x.s) >= {threshold} * size(y.s) AND size(y.s) >= {threshold} * size(x.s) AND {near}"
         found = F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> {close}), y -> struct(x.node AS a, y.node AS b))))")

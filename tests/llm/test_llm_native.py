@@ -92,6 +92,33 @@ def test_lines_match_brute_force(spark, prose):
         assert new[d]["text"] == left and new[d]["n_chars"] == (7 if d not in want else len(left))
 
 
+def windows_to_remove(rows):
+    """Places of the lines that plain 9-character windows at every character link to an earlier line."""
+    at = [(d, i, x.strip(" ").lower()) for d, t in rows for i, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= fl.MIN_CHARS]
+    sets = [{x[k:k + 9] for k in range(len(x) - 8)} for _, _, x in at]
+    root = list(range(len(at)))
+    for i in range(len(at)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return {at[i][:2] for i in range(len(at)) if root[i] != i}
+
+
+def test_lines_that_differ_inside_words(spark):
+    rnd = random.Random(12)
+    tail = lambda n: "".join(rnd.choice("abcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(i, f"https://example.org/{tail(rnd.randint(10, 90))}/index.html") for i in range(30)]
+    rows += [(40, "Transaction-ID: 1234567890123"), (41, "Transaction-ID: 1234567890999"), (42, "khmer: " + "ភាសាខ្មែរជាភាសា"), (43, "khmer: " + "ភាសាខ្មែរកម្ពុជា")]
+    for i in range(20):  # near copies of long lines without spaces: one character changed, or one put in
+        line, k = tail(200), rnd.randint(20, 180)
+        rows += [(100 + 2 * i, line), (101 + 2 * i, line[:k] + "_" + line[k + i % 2:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = windows_to_remove(rows)
+    assert len(want) == 20 and min(want)[0] > 100
+    assert {(r["doc_id"], r["line_no"]) for r in fl.line_verdicts(docs).collect()} == want
+
+
 def test_lines_of_odd_and_empty_tables(odd_docs, no_docs):
     assert fl.dedup_lines(odd_docs).columns == odd_docs.columns and fl.dedup_lines(odd_docs).count() == odd_docs.count()
     assert fl.line_verdicts(no_docs).count() == 0

@@ -42,10 +42,10 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 
 def bands(shingle_column: str) -> Column:
-    """Hashes of neighbouring sketch values; a line with few shingles has one band of all."""
+    """Hashes of neighbouring sketch values; a line with few shingles has one band of all, one with none has none."""
     n = f"least({SKETCH}, size({shingle_column}))"
     parts = ", ".join(f"{shingle_column}[i + {k}]" for k in range(BAND))
-    return F.expr(f"CASE WHEN {n} >= {BAND} THEN transform(sequence(0, {n} - {BAND}), i -> xxhash64({parts})) ELSE array(xxhash64({shingle_column})) END")
+    return F.expr(f"CASE WHEN {n} >= {BAND} THEN transform(sequence(0, {n} - {BAND}), i -> xxhash64({parts})) WHEN {n} > 0 THEN array(xxhash64({shingle_column})) ELSE array() END")
 
 
 def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

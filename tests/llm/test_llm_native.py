@@ -119,6 +119,16 @@ def test_lines_that_differ_inside_words(spark):
     assert {(r["doc_id"], r["line_no"]) for r in fl.line_verdicts(docs).collect()} == want
 
 
+def test_lines_of_white_space(spark):
+    """Tabs are not trimmed: lines of them have windows like others, and lines without shingles have no band."""
+    rows = [(1, "\t" * 20 + "\nkeep this line of words here"), (2, "\t" * 25 + "\n" + "\t \t" * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]) for r in fl.line_verdicts(docs).collect()}
+    assert got == windows_to_remove(rows) == {(2, 0)}
+    none = spark.range(1).selectExpr("cast(array() AS array<bigint>) AS s").select(fl.bands("s").alias("b")).first()
+    assert none["b"] == []
+
+
 def test_lines_of_odd_and_empty_tables(odd_docs, no_docs):
     assert fl.dedup_lines(odd_docs).columns == odd_docs.columns and fl.dedup_lines(odd_docs).count() == odd_docs.count()
     assert fl.line_verdicts(no_docs).count() == 0

@@ -1,6 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on other long tokens, in DataFrame functions only.
 
 Base spans come from three patterns. The method then looks at tokens of 20 characters and more that no base span touches.
+Runs end at "=" other than padding, so values are apart from their names; in a run with "+", "/", "_" or "-" the parts over
+smaller alphabets are tested too, and of declared tokens those inside another are left out.
 A token's encoding is the smallest alphabet that holds it; tokens of one letter case only, or of digits only, count as
 words and numbers and are not tested. Under the hypothesis that a token is random over its alphabet, three tests give
 p-values: chi-squared uniformity of its characters, runs above and below the middle of the alphabet, and serial
@@ -28,7 +30,9 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 MIN_ASSIGNED = 12
 
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+_PAD = "(?:=+(?![A-Za-z0-9+/_=-]))?"
+TOKEN = "[A-Za-z0-9+/_-]{20,}" + _PAD
+PARTS = [f"[A-Za-z0-9{more}]{{20,}}{_PAD}" for more in ("+/", "_-", "")]  # within a token
 KINDS = ["assign", "access", "hex", "random"]
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: name, what the token (without padding) must match, alphabet in order; the first that holds counts
@@ -105,6 +109,17 @@ def randomness(tokens: DataFrame) -> DataFrame:
     return joint.select(*tokens.columns, "encoding", length.alias("length"), F.least("p", F.lit(1.0)).alias("p"))
 
 
+def candidates(held: DataFrame) -> DataFrame:
+    """(row, start, end, found) of the tokens, whole and in parts, that no base span touches."""
+    df = held.select("row", "base", F.explode("token").alias("_f")).withColumn("t", F.col("_f.found"))
+    names = [f"_c{i}" for i in range(len(PARTS))]
+    for name, pattern in zip(names, PARTS):
+        df = placed(df, name, pattern, F.col("t").rlike("[+/_-]"))
+    inner = [F.transform(name, lambda m: F.struct((m["start"] + F.col("_f.start")).alias("start"), (m["end"] + F.col("_f.start")).alias("end"), m["found"].alias("found"))) for name in names]
+    every = df.select("row", "base", F.explode(F.array_distinct(F.concat(F.array("_f"), *inner))).alias("f"))
+    return every.where("NOT exists(base, b -> b.start < f.end AND f.start < b.end)").select("row", "f.start", "f.end", "f.found")
+
+
 def thresholds(tested: DataFrame, rate: float = RATE) -> dict[tuple[str, int], float]:
     """Lowest joint p-value that declares a token random, for each encoding and length class; absent: none does."""
     cell = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
@@ -132,15 +147,15 @@ def find_secrets(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     df = df.withColumn("assign", F.filter("assign", lambda m: F.char_length(F.regexp_extract(m["found"], ASSIGN, 2)) >= MIN_ASSIGNED))
     kinds = [F.expr(f"transform({kind}, m -> struct(m.start AS start, {i} AS kind_no, m.end AS end, '{kind}' AS kind))") for i, kind in enumerate(KINDS[:3])]
     df = df.withColumn("base", F.array_sort(F.concat(*kinds)))
-    free = F.expr("filter(token, m -> NOT exists(base, b -> b.start < m.end AND m.start < b.end))")
-    held = stored(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", free.alias("free")), "spans")
-    tested = stored(randomness(held.select("row", F.explode("free").alias("f")).select("row", "f.start", "f.end", "f.found")), "tested")
+    held = stored(df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "token"), "spans")
+    tested = stored(randomness(candidates(held)), "tested")
     limit = F.lit(None).cast("double")
     for (encoding, length), p in sorted(thresholds(tested, rate).items()):
         limit = F.when((F.col("encoding") == encoding) & (F.col("length") == length), F.lit(p)).otherwise(limit)
     declared = tested.where(F.col("p") >= limit).groupBy("row").agg(F.collect_list(
-        F.struct("start", F.lit(3).alias("kind_no"), "end", F.lit("random").alias("kind"))).alias("more"))
-    joined = held.drop("free").join(declared, "row", "left")
+        F.struct("start", F.lit(3).alias("kind_no"), "end", F.lit("random").alias("kind"))).alias("more")) \
+        .withColumn("more", F.expr("filter(more, m -> NOT exists(more, o -> o.start <= m.start AND m.end <= o.end AND o.end - o.start > m.end - m.start))"))
+    joined = held.drop("token").join(declared, "row", "left")
     return joined.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(held.schema["base"].dataType)))).alias("spans"))
 
 

@@ -145,6 +145,25 @@ def base(text):
     return sorted(got)
 
 
+def test_secrets_after_names_and_in_paths(spark):
+    rnd = random.Random(15)
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "auth={}", "sig={}==", "session_id={}", "/api/v1/my_key/{}", "see {} here"]
+    rows, tokens = [], {}
+    for i in range(240):
+        more = "-_" if i % 6 == 4 else "+/"
+        token = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(40))
+        text = forms[i % 6].format(token)
+        if re.search("[0-9]", token) and not base(text):
+            tokens[i] = token
+            rows.append((i, text))
+    found = defaultdict(int)
+    for r in sec.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = [dict(rows)[r["doc_id"]][s["start"]:s["end"]] for s in r["spans"]]
+        found[r["doc_id"] % 6] += any(tokens[r["doc_id"]] in s for s in spans)
+    for form in range(6):
+        assert found[form] >= 0.6 * sum(i % 6 == form for i in tokens), (form, dict(found))
+
+
 def test_secrets_base_and_random_tokens(spark, odd_docs, no_docs):
     rnd = random.Random(8)
     symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

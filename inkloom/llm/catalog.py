@@ -10,6 +10,7 @@ from .near_dup import op2_near_duplicates
 from .pieces import op3_sentencepiece
 from .quality_classifier import op4_quality_rules
 from .secrets import op7_secrets
+from .token_counts import op13_token_counts
 from .toxicity import op1_toxic_spans
 from .warc import OP5_SQL, op5_warc
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_templates": op8_license_templates,
     "op9_decision_list": op9_decision_list,
     "op10_fuzzy_lines": op10_fuzzy_lines,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE = {

@@ -7,8 +7,8 @@ left to the library. The count of a text is the sum over its parts.
 
 First tier: a broadcast open-addressed table of frequent parts of up to 16 bytes, keyed by those bytes and their number, so
 a hit is exact. Second tier: each worker remembers the parts it had the library encode, in two generations of bounded size.
-The table is learned from a bounded sample of rows (``sample``, chosen by a hash of id and text over the whole table);
-it decides about speed alone: with any table, or none, the counts are those of the library.
+The table is learned from a sample of about ``sample`` rows (twice as many at most), chosen by a hash of id and text over
+the whole table; it decides about speed alone: with any table, or none, the counts are those of the library.
 
 Special strings of the tokenizer are one token each, as the library has it, and separate what stands around them.
 
@@ -221,8 +221,10 @@ def counts(spec: str) -> Counts:
 
 
 def frequent_parts(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT) -> list[bytes]:
-    """The most frequent parts of up to 16 bytes in a sample of rows; ``keep`` bounds what reaches the driver."""
-    chosen = docs.select(F.col(text).alias("text"), F.xxhash64(id_col, text).alias("_h")).where("text IS NOT NULL").orderBy("_h").limit(sample).select("text")
+    """The most frequent parts of up to 16 bytes in about ``sample`` rows; ``keep`` bounds what reaches the driver."""
+    share = min(1.0, sample / max(1, docs.count()))
+    chosen = docs.where((F.pmod(F.xxhash64(id_col, text), F.lit(1 << 40)) < int(share * (1 << 40))) & F.col(text).isNotNull()) \
+        .select(F.col(text).alias("text")).limit(2 * sample)
 
     def run(batches):
         seen: Counter[bytes] = Counter()

@@ -39,7 +39,7 @@ from .words import Words, map_batches, word_chunks, words_of
 
 K = 20
 BLOCK = 128
-SHARD_BYTES = 16 << 20  # of text in a shard; one longer text is a shard of its own
+SHARD_BYTES = 8 << 20  # of text in a shard; one longer text is a shard of its own
 SLICE_TERMS = 50_000   # query terms searched at once, the bound of what is broadcast
 
 # Constants of the saturated frequency.
@@ -143,24 +143,31 @@ class Postings:
         return (parts[0] if len(parts) == 1 else (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
 
 
-def _shard_rows(chunks: list[Words], ids: pa.Array, shard: int, n_docs: int, n_terms: int, arrow: pa.Schema) -> list[pa.RecordBatch]:
+class Shard:
+    """Terms of the documents of one shard; of a chunk only what the index needs is held."""
+
+    def __init__(self):
+        self.size, self.n, self.ids, self.parts = 0, 0, [], []
+
+    def add(self, w: Words, ids: pa.Array) -> None:
+        span = np.stack((w.starts, w.ends)).astype(np.int32) + np.int32(self.size)
+        self.parts.append((w.hashes(), (w.text_of() + self.n).astype(np.int32), span, w.data, np.diff(w.first)))
+        self.ids.append(ids)
+        self.size, self.n = self.size + len(w.data), self.n + len(ids)
+
+
+def _shard_rows(held: Shard, shard: int, n_docs: int, n_terms: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Index rows of one shard; its documents are numbered by ascending id, null ids last."""
-    length = np.concatenate([np.diff(w.first) for w in chunks])
+    ids = pa.concat_arrays(held.ids)
     order = np.asarray(pc.sort_indices(ids, null_placement="at_end"))
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    done, term, doc, word_at, data = 0, [], [], [], []
-    base = 0
-    for w in chunks:
-        term.append(w.hashes())
-        doc.append(place[done + w.text_of()])
-        word_at.append(np.stack((w.starts + base, w.ends + base)))
-        data.append(w.data)
-        done, base = done + len(w.first) - 1, base + len(w.data)
-    term, doc, word_at, data = np.concatenate(term), np.concatenate(doc), np.concatenate(word_at, axis=1), np.concatenate(data)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    term, doc, word_at, data, length = (np.concatenate([p[j] for p in held.parts], axis=-1) for j in range(5))
+    held.parts.clear()
+    doc = place[doc]
     norm = norms(length[order], n_docs, n_terms)
     by = np.lexsort((doc, term))
-    term, doc = term[by], doc[by]
+    term, doc = term[by], doc[by].astype(np.int64)
     new_term = np.concatenate(([True], term[1:] != term[:-1]))
     new = new_term.copy()
     new[1:] |= doc[1:] != doc[:-1]
@@ -170,7 +177,7 @@ def _shard_rows(chunks: list[Words], ids: pa.Array, shard: int, n_docs: int, n_t
     doc = doc[at]
     impact = impacts(tf, norm[doc])
     blocks, block_at, postings, posting_at = pack(doc, tf, impact, first)
-    names = word_at[:, by[at[first[:-1]]]]
+    names = word_at[:, by[at[first[:-1]]]].astype(np.int64)
     size = names[1] - names[0]
     name_at = np.concatenate(([0], np.cumsum(size)))
     letters = data[np.repeat(names[0] - name_at[:-1], size) + np.arange(name_at[-1])]
@@ -185,8 +192,11 @@ def _shard_rows(chunks: list[Words], ids: pa.Array, shard: int, n_docs: int, n_t
             "postings": many(pa.binary(), posting_at, postings), "ids": pa.nulls(n, arrow.field("ids").type)}
     own = {"shard": [shard], "term": [""], "df": [len(order)], "top": [0], "blocks": [norm.astype("<i8").tobytes()], "postings": [b""],
            "ids": pa.ListArray.from_arrays([0, len(order)], ids.take(pa.array(order)))}
-    return [pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type) for f in arrow for v in (cols[f.name],)], schema=arrow)
-            for cols in (own, rows)]
+    for cols in (own, rows):
+        made = [cols[f.name].cast(f.type) if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], f.type) for f in arrow]
+        whole = pa.RecordBatch.from_arrays(made, schema=arrow)
+        for lo in range(0, whole.num_rows, 8192):
+            yield whole.slice(lo, 8192)
 
 
 def build_index(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int, int]:
@@ -198,25 +208,18 @@ def build_index(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     source = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.spark_partition_id().cast("long").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        chunks, ids, size, made, part = [], [], 0, 0, 0
-
-        def flush():
-            whole = pa.concat_arrays(ids)
-            return _shard_rows(chunks, whole, (part << 32) + made, n_docs, n_terms, arrow)
-
+        held, made, part = Shard(), 0, 0
         for batch in batches:
             for lo, hi, w in word_chunks(batch.column("text")):
                 if not len(w.starts):
                     continue
-                if chunks and size + len(w.data) > shard_bytes:
-                    yield from flush()
-                    chunks, ids, size, made = [], [], 0, made + 1
+                if held.n and held.size + len(w.data) > shard_bytes:
+                    yield from _shard_rows(held, (part << 32) + made, n_docs, n_terms, arrow)
+                    held, made = Shard(), made + 1
                 part = batch.column("part")[lo].as_py()
-                chunks.append(w)
-                ids.append(batch.column("id").slice(lo, hi - lo))
-                size += len(w.data)
-        if chunks:
-            yield from flush()
+                held.add(w, batch.column("id").slice(lo, hi - lo))
+        if held.n:
+            yield from _shard_rows(held, (part << 32) + made, n_docs, n_terms, arrow)
 
     return stored(source.mapInArrow(run, schema), "postings"), n_docs, n_terms
 

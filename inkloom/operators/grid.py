@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs
+
 TILE = 1024
 SIZE_OF = {"y": "h", "x": "w"}
 OTHER = {"y": "x", "x": "y"}
@@ -165,38 +167,36 @@ def _row_widths(k: int) -> dict[int, int]:
     return widths
 
 
-def dilate_ellipse(mask: DataFrame, canvases: DataFrame, k: int, keys=("image_id", "layer"), tile: int = TILE) -> DataFrame:
-    """One run per kernel row and pixel, then the distinct pixels."""
-    m, ks = _with_size(mask, canvases), list(keys)
-    rows = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in _row_widths(k).items()]))
-    df = m.withColumn("_o", rows).withColumn("_y", F.col("y") + F.col("_o.dy")).where((F.col("_y") >= 0) & (F.col("_y") < F.col("h")))
-    lo, hi = F.greatest(F.lit(0), F.col("x") - F.col("_o.dx")), F.least(F.col("w") - 1, F.col("x") + F.col("_o.dx"))
-    df = df.select(*ks, F.col("_y").alias("y"), F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("x"), "h", "w")
-    return df.distinct()
+def ellipse(k: int) -> runs.Kernel:
+    """Elliptic kernel of odd size ``k`` as one interval per row."""
+    return {dy: (-dx, dx) for dy, dx in _row_widths(k).items()}
+
+
+def _in_runs(mask: DataFrame, canvases: DataFrame, keys, *steps) -> DataFrame:
+    """``mask`` taken through ``steps`` of (operation, kernel) without leaving runs."""
+    ks = tuple(keys)
+    r = runs.to_runs(mask, canvases, ks)
+    for step, kernel in steps:
+        r = step(r, kernel, ks)
+    return runs.to_pixels(r, ks)
+
+
+def dilate_ellipse(mask: DataFrame, canvases: DataFrame, k: int, keys=("image_id", "layer")) -> DataFrame:
+    return _in_runs(mask, canvases, keys, (runs.dilate_runs, ellipse(k)))
 
 
 def erode_ellipse(mask: DataFrame, canvases: DataFrame, k: int, keys=("image_id", "layer")) -> DataFrame:
     """Foreground pixels that reach every kernel offset inside the canvas."""
-    m, ks = _with_size(mask, canvases), list(keys)
-    widths = _row_widths(k)
-    rows = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in widths.items()]))
-    df = m.withColumn("_o", rows).withColumn("_y", F.col("y") + F.col("_o.dy")).where((F.col("_y") >= 0) & (F.col("_y") < F.col("h")))
-    lo, hi = F.greatest(F.lit(0), F.col("x") - F.col("_o.dx")), F.least(F.col("w") - 1, F.col("x") + F.col("_o.dx"))
-    hits = df.select(*ks, F.col("_y").alias("y"), F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("x"), "h", "w") \
-        .groupBy(*ks, "y", "x", "h", "w").agg(F.count(F.lit(1)).alias("_c"))
-    need = F.lit(0)
-    for dy, dx in widths.items():
-        width = F.least(F.col("w") - 1, F.col("x") + dx) - F.greatest(F.lit(0), F.col("x") - dx) + 1
-        need = need + F.when((F.col("y") + dy >= 0) & (F.col("y") + dy < F.col("h")), width).otherwise(0)
-    return hits.where(F.col("_c") == need).drop("_c")
+    return _in_runs(mask, canvases, keys, (runs.erode_runs, ellipse(k)))
 
 
-def close_ellipse(mask, canvases, k, keys=("image_id", "layer")):
-    return erode_ellipse(dilate_ellipse(mask, canvases, k, keys), canvases, k, keys)
+def close_ellipse(mask, canvases, k, keys=("image_id", "layer"), iterations: int = 1):
+    """Closing; with ``iterations`` that many dilations, then as many erosions."""
+    return _in_runs(mask, canvases, keys, *[(runs.dilate_runs, ellipse(k))] * iterations, *[(runs.erode_runs, ellipse(k))] * iterations)
 
 
 def open_ellipse(mask, canvases, k, keys=("image_id", "layer")):
-    return dilate_ellipse(erode_ellipse(mask, canvases, k, keys), canvases, k, keys)
+    return _in_runs(mask, canvases, keys, (runs.open_runs, ellipse(k)))
 
 
 # ---- neighbours ------------------------------------------------------------

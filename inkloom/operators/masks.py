@@ -10,14 +10,17 @@ from . import rules
 PX = ["image_id", "y", "x"]
 
 
-def mask_stats(mask: DataFrame, canvases: DataFrame) -> DataFrame:
-    """Pixels, coverage, inclusive box and box share per layer."""
+def mask_stats(mask: DataFrame, canvases: DataFrame, layers: DataFrame | None = None) -> DataFrame:
+    """Pixels, coverage, inclusive box and box share per layer; of ``layers`` (image_id, layer) also those without a pixel."""
     s = mask.groupBy("image_id", "layer").agg(
         F.count(F.lit(1)).alias("pixels"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    if layers is not None:
+        s = layers.select("image_id", "layer").distinct().join(s, ["image_id", "layer"], "left").na.fill(0, ["pixels"])
     area = F.col("h") * F.col("w")
+    box = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) / area
     return s.join(canvases, "image_id").select(
         "image_id", "layer", "pixels", (F.col("pixels") / area).alias("coverage"), "x0", "y0", "x1", "y1",
-        ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) / area).alias("bbox_ratio"))
+        F.coalesce(box, F.lit(0.0)).alias("bbox_ratio"))
 
 
 def half_open_boxes(mask: DataFrame) -> DataFrame:
@@ -78,19 +81,21 @@ def keep_distinct_instances(order: DataFrame, mask: DataFrame, threshold: float
     return rows.select("image_id", F.posexplode(kept).alias("pos", "layer"))
 
 
-def overlap_with_rule(neural: DataFrame, rule: DataFrame) -> DataFrame:
-    """Pixel counts of equally named neural and rule masks and what they share."""
+def overlap_with_rule(neural: DataFrame, rule: DataFrame, layers: DataFrame | None = None) -> DataFrame:
+    """Pixel counts of equally named neural and rule masks and what they share; NULL where there is no rule mask."""
     n = neural.groupBy("image_id", "layer").agg(F.count(F.lit(1)).alias("pixels"))
+    if layers is not None:
+        n = layers.select("image_id", "layer").distinct().join(n, ["image_id", "layer"], "left").na.fill(0, ["pixels"])
     r = rule.groupBy("image_id", "layer").agg(F.count(F.lit(1)).alias("rule_pixels"))
     both = neural.join(rule, ["image_id", "layer", "y", "x"], "left_semi").groupBy("image_id", "layer").agg(F.count(F.lit(1)).alias("inter"))
     return n.join(r, ["image_id", "layer"], "left").join(both, ["image_id", "layer"], "left") \
         .withColumn("inter", F.when(F.col("rule_pixels").isNotNull(), F.coalesce("inter", F.lit(0))))
 
 
-def gate(neural: DataFrame, rule: DataFrame, canvases: DataFrame) -> DataFrame:
-    """Quality and diffuse verdict per layer."""
-    ov = overlap_with_rule(neural, rule)
-    st = mask_stats(neural, canvases).select("image_id", "layer", "bbox_ratio", "coverage")
+def gate(neural: DataFrame, rule: DataFrame, canvases: DataFrame, layers: DataFrame | None = None) -> DataFrame:
+    """Quality and diffuse verdict per layer; a mask of ``layers`` without a pixel is refused as empty."""
+    ov = overlap_with_rule(neural, rule, layers)
+    st = mask_stats(neural, canvases, layers).select("image_id", "layer", "bbox_ratio", "coverage")
     j = ov.join(st, ["image_id", "layer"]).join(canvases, "image_id")
     q = rules.quality_reason(F.col("layer"), F.col("pixels"), F.col("h") * F.col("w"), F.col("rule_pixels"), F.col("inter"))
     return j.select("image_id", "layer", "pixels", "coverage", "bbox_ratio", q.alias("quality_reason"),

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
+from . import runs
 from .components import component_stats, connected_components
-from .grid import close_ellipse, dilate_ellipse, erode_ellipse, gaussian, neighbours, open_ellipse
+from .grid import close_ellipse, dilate_ellipse, ellipse, gaussian, neighbours, open_ellipse
 
 PX = ["image_id", "y", "x"]
 
@@ -24,11 +25,7 @@ def void_pixels(pixels: DataFrame, canvases: DataFrame, *, desk_gray: float = 21
     j = pixels.select(*PX, "gray", "r", "b").join(smooth, PX)
     void = j.where((F.col("gray") > desk_gray) & ((F.col("r") - F.col("b") < 25) | (F.col("lap") < edge_energy))).select(
         "image_id", F.lit("void").alias("layer"), "y", "x")
-    for _ in range(iterations):
-        void = dilate_ellipse(void, canvases, kernel)
-    for _ in range(iterations):
-        void = erode_ellipse(void, canvases, kernel)
-    return void.select(*PX)
+    return close_ellipse(void, canvases, kernel, iterations=iterations).select(*PX)
 
 
 def safe_cut(void: DataFrame, canvases: DataFrame, min_y, max_y, max_tear: float) -> DataFrame:
@@ -67,17 +64,19 @@ def micro_holes(pixels: DataFrame, canvases: DataFrame, valid: DataFrame | None
 
 def trap(spot: DataFrame, canvases: DataFrame, width_px: int, adjacent: DataFrame | None = None, trap_type: str = "spread") -> tuple[DataFrame, DataFrame]:
     """(trapped spot, trap band): spread into neighbouring ink, or choke back the spot."""
-    k = width_px * 2 + 1
+    kernel = ellipse(width_px * 2 + 1)
     key = ["image_id", "layer", "y", "x"]
-    s = spot.select(*key)
+    own = runs.to_runs(spot.select(*key), canvases)
+    pixels = lambda r: runs.to_pixels(r).select(*key)
     if trap_type == "choke":
-        inner = erode_ellipse(s, canvases, k).select(*key)
-        return inner, s.join(inner, key, "left_anti")
-    wide = dilate_ellipse(s, canvases, k).select(*key)
+        inner = runs.erode_runs(own, kernel)
+        return pixels(inner), pixels(runs.subtract_runs(own, inner))
+    wide = runs.dilate_runs(own, kernel)
     if adjacent is None:
-        return wide, wide.join(s, key, "left_anti")
-    band = wide.join(adjacent.select(*PX).distinct(), PX, "left_semi").select(*key)
-    return s.unionByName(band).distinct(), band
+        return pixels(wide), pixels(runs.subtract_runs(wide, own))
+    under = runs.to_runs(adjacent.select(*PX), canvases, ("image_id",)).join(own.select("image_id", "layer").distinct(), "image_id")
+    band = runs.intersect_runs(wide, under)
+    return pixels(runs.union_runs(own, band)), pixels(band)
 
 
 def trap_metrics(trapped: DataFrame, band: DataFrame, canvases: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from ..operators import audit as au
 from ..operators import grid
 from ..operators import manifests as mf
 from ..operators import masks as mk
-from ..operators import rules
+from ..operators import rules, runs
 from . import raster_sql as rs
 from .registry import query
+from .views import MASK_LAYERS
 
 _ST = """st AS (SELECT image_id, layer, pixels, pixels / (h * w) AS coverage, x0, y0, x1, y1, (x1 - x0 + 1) * (y1 - y0 + 1) / (h * w) AS bbox_ratio, h, w FROM
  (SELECT image_id, layer, count(*) AS pixels, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM mask_px GROUP BY 1, 2) JOIN canvases USING (image_id))"""
@@ -47,35 +48,50 @@ def _(v):
 
 
 _RULE = "rule AS (SELECT image_id, layer, y, x FROM mask_px WHERE y >= 20 AND layer <> '10_frame')"
+_NAMES = [*MASK_LAYERS, "06_moon"]  # the last has no pixel anywhere
+_LISTED = f"""lst AS (SELECT image_id, layer FROM canvases, (VALUES {', '.join(f"('{n}')" for n in _NAMES)}) t(layer)),
+ls AS (SELECT image_id, layer, coalesce(pixels, 0) AS pixels, coalesce(coverage, 0) AS coverage, coalesce(bbox_ratio, 0) AS bbox_ratio, c.h, c.w FROM lst JOIN canvases c USING (image_id) LEFT JOIN st USING (image_id, layer))"""
 
 
-@query("mask_gates_p10_p11", f"""WITH {_ST}, {_RULE}, r AS (SELECT image_id, layer, count(*) AS rp FROM rule GROUP BY 1, 2), i AS (SELECT image_id, layer, count(*) AS ip FROM mask_px JOIN rule USING (image_id, layer, y, x) GROUP BY 1, 2)
-SELECT image_id, layer, pixels, round(bbox_ratio, 6) AS bbox_ratio, CASE WHEN pixels / (h * w) > CASE layer WHEN '03_seal_01' THEN 0.015e0 WHEN '03_seal_02' THEN 0.015e0 WHEN '04_trees' THEN 0.2e0 WHEN '05_cliffs' THEN 0.25e0
+def _listed(v):
+    return v.canvases.select("image_id", F.explode(F.array(*[F.lit(n) for n in _NAMES])).alias("layer"))
+
+
+@query("mask_gates_p10_p11", f"""WITH {_ST}, {_LISTED}, {_RULE}, r AS (SELECT image_id, layer, count(*) AS rp FROM rule GROUP BY 1, 2), i AS (SELECT image_id, layer, count(*) AS ip FROM mask_px JOIN rule USING (image_id, layer, y, x) GROUP BY 1, 2)
+SELECT image_id, layer, pixels, round(bbox_ratio, 6) AS bbox_ratio, CASE WHEN pixels = 0 THEN 'empty' WHEN pixels / (h * w) > CASE layer WHEN '03_seal_01' THEN 0.015e0 WHEN '03_seal_02' THEN 0.015e0 WHEN '04_trees' THEN 0.2e0 WHEN '05_cliffs' THEN 0.25e0
  WHEN '08_geese_01' THEN 0.06e0 WHEN '10_frame' THEN 0.35e0 ELSE 0.15e0 END THEN 'over_budget' WHEN rp > 0 AND pixels / rp > 3 AND coalesce(ip, 0) / (pixels + rp - coalesce(ip, 0)) < 0.02 THEN 'drifted' END AS quality_reason,
- CASE WHEN layer <> '10_frame' AND bbox_ratio > 0.5 THEN 'diffuse' END AS diffuse_reason FROM st LEFT JOIN r USING (image_id, layer) LEFT JOIN i USING (image_id, layer)""", V)
+ CASE WHEN layer <> '10_frame' AND bbox_ratio > 0.5 THEN 'diffuse' END AS diffuse_reason FROM ls LEFT JOIN r USING (image_id, layer) LEFT JOIN i USING (image_id, layer)""", V)
 def _(v):
     rule = v.masks.where("y >= 20 AND layer <> '10_frame'")
-    return mk.gate(v.masks, rule, v.canvases).select("image_id", "layer", "pixels", F.round("bbox_ratio", 6).alias("bbox_ratio"), "quality_reason", "diffuse_reason")
+    return mk.gate(v.masks, rule, v.canvases, _listed(v)).select("image_id", "layer", "pixels", F.round("bbox_ratio", 6).alias("bbox_ratio"), "quality_reason", "diffuse_reason")
+
+
+def _against(v, base):
+    """Stats and overlap of every listed layer, also without pixels or baseline, and its IoU."""
+    layers = _listed(v)
+    j = mk.mask_stats(v.masks, v.canvases, layers).drop("pixels").join(mk.overlap_with_rule(v.masks, base, layers), ["image_id", "layer"])
+    return j, F.col("inter") / (F.col("pixels") + F.col("rule_pixels") - F.col("inter"))
 
 
-@query("mask_diagnostics_p26", f"""WITH {_ST}, base AS (SELECT image_id, layer, y, x FROM mask_px WHERE y % 2 = 0), bn AS (SELECT image_id, layer, count(*) AS b FROM base GROUP BY 1, 2)
+_BASE = """bn AS (SELECT image_id, layer, count(*) AS b FROM base GROUP BY 1, 2), bi AS (SELECT image_id, layer, count(*) AS ip FROM mask_px JOIN base USING (image_id, layer, y, x) GROUP BY 1, 2),
+j AS (SELECT *, CASE WHEN b IS NOT NULL THEN coalesce(ip, 0) / (pixels + b - coalesce(ip, 0)) END AS iou FROM ls LEFT JOIN bn USING (image_id, layer) LEFT JOIN bi USING (image_id, layer))"""
+
+
+@query("mask_diagnostics_p26", f"""WITH {_ST}, {_LISTED}, base AS (SELECT image_id, CASE layer WHEN '13_Spot' THEN '06_moon' ELSE layer END AS layer, y, x FROM mask_px WHERE y % 2 = 0 AND layer <> '05_cliffs' AND (layer <> '04_trees' OR x < 2)), {_BASE}
 SELECT image_id, layer, CASE WHEN f = '' THEN 'OK' ELSE f END AS verdict FROM (SELECT image_id, layer, array_to_string(list_filter([CASE WHEN coverage < 1e-5 THEN 'EMPTY' WHEN layer <> '10_frame' AND coverage > 0.15 THEN 'OVERFLOW' END,
- CASE WHEN layer <> '10_frame' AND bbox_ratio > 0.6 THEN 'BBOX_TOO_LARGE' END, CASE WHEN b / pixels < 0.1 THEN 'SEMANTIC_DRIFT' END], lambda s: s IS NOT NULL), ',') AS f FROM st JOIN bn USING (image_id, layer))""", V)
+ CASE WHEN layer <> '10_frame' AND bbox_ratio > 0.6 THEN 'BBOX_TOO_LARGE' END, CASE WHEN iou < 0.1 THEN 'SEMANTIC_DRIFT' END], lambda s: s IS NOT NULL), ',') AS f FROM j)""", V)
 def _(v):
-    base = v.masks.where("y % 2 = 0")
-    ov = mk.overlap_with_rule(v.masks, base)
-    j = mk.mask_stats(v.masks, v.canvases).drop("pixels").join(ov, ["image_id", "layer"]).where("rule_pixels IS NOT NULL")
-    iou = F.col("inter") / (F.col("pixels") + F.col("rule_pixels") - F.col("inter"))
+    base = v.masks.where("y % 2 = 0 AND layer <> '05_cliffs' AND (layer <> '04_trees' OR x < 2)").replace({"13_Spot": "06_moon"}, subset=["layer"])
+    j, iou = _against(v, base)
     return j.select("image_id", "layer", rules.mask_verdicts(F.col("layer"), F.col("coverage"), F.col("bbox_ratio"), iou).alias("verdict"))
 
 
-@query("layer_vs_baseline_p32", f"""WITH {_ST}, base AS (SELECT image_id, layer, y, x FROM mask_px WHERE y < 6), bn AS (SELECT image_id, layer, count(*) AS b FROM base GROUP BY 1, 2)
+@query("layer_vs_baseline_p32", f"""WITH {_ST}, {_LISTED}, base AS (SELECT image_id, CASE layer WHEN '13_Spot' THEN '06_moon' ELSE layer END AS layer, y, x FROM mask_px WHERE y % 16 = 0 AND layer <> '05_cliffs'), {_BASE}
 SELECT image_id, layer, CASE WHEN f = '' THEN 'OK' ELSE f END AS verdict FROM (SELECT image_id, layer, array_to_string(list_filter([CASE WHEN coverage < 1e-5 THEN 'EMPTY' END, CASE WHEN layer <> '10_frame' AND coverage > 0.15 THEN 'OVERFLOW' END,
- CASE WHEN layer <> '10_frame' AND bbox_ratio > 0.6 THEN 'BBOX_TOO_LARGE' END, CASE WHEN b / pixels < 0.1 AND (pixels / b > 10) THEN CASE WHEN layer = '10_frame' THEN 'DRIFT' ELSE 'IMBALANCE' END END], lambda s: s IS NOT NULL), ',') AS f FROM st JOIN bn USING (image_id, layer))""", V)
+ CASE WHEN layer <> '10_frame' AND bbox_ratio > 0.6 THEN 'BBOX_TOO_LARGE' END, CASE WHEN iou < 0.1 AND pixels > 0 AND (pixels / b > 10 OR pixels / b < 0.1) THEN CASE WHEN layer = '10_frame' THEN 'DRIFT' ELSE 'IMBALANCE' END END], lambda s: s IS NOT NULL), ',') AS f FROM j)""", V)
 def _(v):
-    ov = mk.overlap_with_rule(v.masks, v.masks.where("y < 6"))
-    j = mk.mask_stats(v.masks, v.canvases).drop("pixels").join(ov, ["image_id", "layer"]).where("rule_pixels IS NOT NULL")
-    iou = F.col("inter") / (F.col("pixels") + F.col("rule_pixels") - F.col("inter"))
+    base = v.masks.where("y % 16 = 0 AND layer <> '05_cliffs'").replace({"13_Spot": "06_moon"}, subset=["layer"])
+    j, iou = _against(v, base)
     return j.select("image_id", "layer", rules.baseline_verdicts(F.col("layer"), F.col("pixels"), F.col("rule_pixels"), F.col("coverage"), F.col("bbox_ratio"), iou).alias("verdict"))
 
 
@@ -220,41 +236,58 @@ def _(v):
 
 # ---- morphology ------------------------------------------------------------
 
-_M = "src AS (SELECT * FROM mask_px WHERE layer IN ('04_trees', '08_geese_01'))"
+@query("closed_masks_w7", f"WITH {rs.closing('o', 'mask_px', rs.rect(5, 5))} SELECT * FROM o", V)
+def _(v):
+    return grid.closing(v.masks, v.canvases, 5, 5).select("image_id", "layer", "y", "x")
+
+
+@query("opened_masks_w7", f"WITH {rs.opening('o', 'mask_px', rs.rect(2, 2))} SELECT * FROM o", V)
+def _(v):
+    return grid.opening(v.masks, v.canvases, 2, 2).select("image_id", "layer", "y", "x")
 
 
-def _two(v):
-    return v.masks.where("layer IN ('04_trees', '08_geese_01')")
+@query("dilated_ellipse_w8", f"WITH {rs.dilate('o', 'mask_px', rs.ellipse(7))} SELECT * FROM o", V)
+def _(v):
+    return grid.dilate_ellipse(v.masks, v.canvases, 7).select("image_id", "layer", "y", "x")
+
+
+@query("eroded_ellipse_w8", f"WITH {rs.erode('o', 'mask_px', rs.ellipse(3))} SELECT * FROM o", V)
+def _(v):
+    return grid.erode_ellipse(v.masks, v.canvases, 3).select("image_id", "layer", "y", "x")
 
 
-@query("closed_masks_w7", f"WITH {_M}, {rs.closing('o', 'src', rs.rect(5, 5))} SELECT * FROM o", V)
+@query("closed_ellipse_w8", f"WITH {rs.closing('o', 'mask_px', rs.ellipse(5))} SELECT * FROM o", V)
 def _(v):
-    return grid.closing(_two(v), v.canvases, 5, 5).select("image_id", "layer", "y", "x")
+    return grid.close_ellipse(v.masks, v.canvases, 5).select("image_id", "layer", "y", "x")
 
 
-@query("opened_masks_w7", f"WITH {_M}, {rs.opening('o', 'src', rs.rect(2, 2))} SELECT * FROM o", V)
+@query("opened_ellipse_w8", f"WITH {rs.opening('o', 'mask_px', rs.ellipse(3))} SELECT * FROM o", V)
 def _(v):
-    return grid.opening(_two(v), v.canvases, 2, 2).select("image_id", "layer", "y", "x")
+    return grid.open_ellipse(v.masks, v.canvases, 3).select("image_id", "layer", "y", "x")
 
 
-@query("dilated_ellipse_w8", f"WITH {_M}, {rs.dilate('o', 'src', rs.ellipse(7))} SELECT * FROM o", V)
+@query("mask_runs_w8", """
+WITH g AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, layer, y ORDER BY x) AS g FROM mask_px)
+SELECT image_id, layer, y, min(x) AS x0, max(x) AS x1 FROM g GROUP BY image_id, layer, y, g""", V)
 def _(v):
-    return grid.dilate_ellipse(_two(v), v.canvases, 7).select("image_id", "layer", "y", "x")
+    return runs.to_runs(v.masks, v.canvases).select("image_id", "layer", "y", "x0", "x1")
 
 
-@query("eroded_ellipse_w8", f"WITH src AS (SELECT * FROM mask_px WHERE layer = '10_frame'), {rs.erode('o', 'src', rs.ellipse(3))} SELECT * FROM o", V)
+@query("rim_areas_w8", f"""WITH {rs.dilate('wd', 'mask_px', rs.ellipse(5))}, {rs.erode('er', 'mask_px', rs.ellipse(5))}
+SELECT image_id, layer, count(*) AS pixels FROM wd ANTI JOIN er USING (image_id, layer, y, x) GROUP BY 1, 2""", V)
 def _(v):
-    return grid.erode_ellipse(v.masks.where("layer = '10_frame'"), v.canvases, 3).select("image_id", "layer", "y", "x")
+    own = runs.to_runs(v.masks, v.canvases)
+    return runs.run_area(runs.subtract_runs(runs.dilate_runs(own, grid.ellipse(5)), runs.erode_runs(own, grid.ellipse(5))))
 
 
-@query("components_g2", f"WITH RECURSIVE src AS (SELECT * FROM mask_px WHERE layer IN ('03_seal_01', '04_trees')), {rs.components('cc', 'src')}, {rs.stats('st', 'cc')} SELECT image_id, layer, label, area, lft, top, bw, bh, round(cx, 6) AS cx, round(cy, 6) AS cy FROM st", V)
+@query("components_g2", f"WITH RECURSIVE {rs.components('cc', 'mask_px')}, {rs.stats('st', 'cc')} SELECT image_id, layer, label, area, lft, top, bw, bh, round(cx, 6) AS cx, round(cy, 6) AS cy FROM st", V)
 def _(v):
     from ..operators import components as cc
-    st = cc.component_stats(cc.connected_components(v.masks.where("layer IN ('03_seal_01', '04_trees')")))
+    st = cc.component_stats(cc.connected_components(v.masks))
     return st.withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6))
 
 
-@query("small_components_removed_g7", f"WITH RECURSIVE src AS (SELECT * FROM mask_px WHERE layer = '04_trees'), {rs.components('cc', 'src')} SELECT image_id, layer, y, x FROM cc JOIN (SELECT image_id, layer, label FROM cc GROUP BY 1, 2, 3 HAVING count(*) >= 8) USING (image_id, layer, label)", V)
+@query("small_components_removed_g7", f"WITH RECURSIVE {rs.components('cc', 'mask_px')} SELECT image_id, layer, y, x FROM cc JOIN (SELECT image_id, layer, label FROM cc GROUP BY 1, 2, 3 HAVING count(*) >= 8) USING (image_id, layer, label)", V)
 def _(v):
     from ..operators import components as cc
-    return cc.drop_small(v.masks.where("layer = '04_trees'"), 8)
+    return cc.drop_small(v.masks, 8)

@@ -98,11 +98,10 @@ def _(v):
     return de.band_mask(de.ink_density(v.pixels), v.canvases, 0.05, 0.3, (0.1, 0.1, 0.9, 0.9), close=3, open_=2, min_blob=6)
 
 
-@query("refined_masks_g9", f"""WITH {_D}, src AS (SELECT image_id, layer, y, x FROM mask_px JOIN dens USING (image_id, y, x) WHERE d > 0.12e0 AND layer IN ('04_trees', '13_Spot')), {rs.closing('cl', 'src', rs.rect(3, 3))}, {rs.opening('op', 'cl', rs.rect(3, 3))}
-SELECT image_id, layer, pixels, round(br, 6) AS bbox_ratio, CASE WHEN br > 0.5 THEN 'diffuse' END AS diffuse_reason FROM (SELECT image_id, layer, count(*) AS pixels, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) / any_value(h * w) AS br FROM op JOIN canvases USING (image_id) GROUP BY 1, 2)""", M)
+@query("refined_masks_g9", f"""WITH {_D}, src AS (SELECT image_id, layer, y, x FROM mask_px JOIN dens USING (image_id, y, x) WHERE d > 0.12e0), {rs.closing('cl', 'src', rs.rect(3, 3))}, {rs.opening('op', 'cl', rs.rect(3, 3))}
+SELECT image_id, layer, pixels, round(br, 6) AS bbox_ratio, CASE WHEN layer <> '10_frame' AND br > 0.5 THEN 'diffuse' END AS diffuse_reason FROM (SELECT image_id, layer, count(*) AS pixels, (max(x) - min(x) + 1) * (max(y) - min(y) + 1) / any_value(h * w) AS br FROM op JOIN canvases USING (image_id) GROUP BY 1, 2)""", M)
 def _(v):
-    m = v.masks.where("layer IN ('04_trees', '13_Spot')")
-    out = de.recovered_layers(de.refine_masks(m, de.ink_density(v.pixels), v.canvases, close=3, open_=3), v.canvases)
+    out = de.recovered_layers(de.refine_masks(v.masks, de.ink_density(v.pixels), v.canvases, close=3, open_=3), v.canvases)
     return _r(out, "bbox_ratio")
 
 
@@ -318,11 +317,11 @@ def _(v):
     return _zones(v)
 
 
-@query("occlusion_metrics_w11", f"""WITH RECURSIVE {_ZONE}, zp AS (SELECT DISTINCT image_id, y, x FROM zn WHERE layer = '04_trees'), {rs.components('cc', 'zp', 'image_id')}, {rs.stats('st', 'cc', 'image_id')}
+@query("occlusion_metrics_w11", f"""WITH RECURSIVE {_ZONE}, zp AS (SELECT DISTINCT image_id, y, x FROM zn), {rs.components('cc', 'zp', 'image_id')}, {rs.stats('st', 'cc', 'image_id')}
 SELECT c.image_id, coalesce(n, 0) AS reconstruction_pixel_count, round(coalesce(n, 0) / (h * w), 5) AS reconstruction_area_ratio, round(coalesce(d, 0), 2) AS max_component_diameter_px, coalesce(n, 0) / (h * w) <= 0.08 AS controlled FROM canvases c LEFT JOIN (SELECT image_id, count(*) AS n FROM zp GROUP BY 1) USING (image_id)
 LEFT JOIN (SELECT image_id, max(sqrt(bw * bw + bh * bh)) AS d FROM st GROUP BY 1) USING (image_id)""", M)
 def _(v):
-    return pl.occlusion_metrics(_zones(v).where("layer = '04_trees'"), v.canvases)
+    return pl.occlusion_metrics(_zones(v), v.canvases)
 
 
 _SEAM = """sb AS (SELECT image_id, y, x, gray, h, w, CAST(least(32, h // 4) AS INT) AS b FROM pixels JOIN canvases USING (image_id)), tp AS (SELECT image_id, y AS i, x, gray AS t FROM sb WHERE y < b), bt AS (SELECT image_id, y - h + b AS i, y, x, gray AS g, w, b FROM sb WHERE y >= h - b),

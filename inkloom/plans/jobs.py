@@ -126,9 +126,9 @@ def prepress_inks(pixels: DataFrame, limit_pct: float = 300.0, max_k_pct: float
 
 
 def gate_layers(neural: DataFrame, rule: DataFrame, pixels: DataFrame, canvases: DataFrame, *, refine: list[str] | None = None,
-                floor: float = 0.12, close: int = 9, open_: int = 3) -> DataFrame:
+                floor: float = 0.12, close: int = 9, open_: int = 3, layers: DataFrame | None = None) -> DataFrame:
     """Fate of every neural layer: accepted, rejected by a gate, or recovered by refinement."""
-    gated = mk.gate(neural, rule, canvases)
+    gated = mk.gate(neural, rule, canvases, layers)
     fate = F.when(F.col("quality_reason").isNotNull(), F.concat(F.lit("quality:"), F.col("quality_reason"))) \
         .when(F.col("diffuse_reason").isNotNull(), "diffuse").otherwise("accepted")
     gated = gated.withColumn("fate", fate)

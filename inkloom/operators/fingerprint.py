@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..functions.vectors import pad_or_cut
+from ..session import cut_lineage
 from .components import component_stats, connected_components
-from .grid import neighbours
 from .quantiles import join_all
 from .segments import otsu_threshold
+from .tiles import TILE, Tile, on_tiles
 
 EMBEDDING_SIZE = 128
+TAN_22 = 13573  # fixed value: tangent of 22.5 degrees in 15 binary places
 
 
 def lab_pixels(pixels: DataFrame) -> DataFrame:
@@ -63,17 +65,22 @@ def lab_histograms(lab: DataFrame) -> DataFrame:
 GLCM_STEPS = {"a0": (0, 1), "a45": (1, 1), "a90": (1, 0), "a135": (1, -1)}
 
 
-def glcm_features(pixels: DataFrame, value: str = "gray") -> DataFrame:
+def glcm_features(pixels: DataFrame, canvases: DataFrame, value: str = "gray", tile: int = TILE) -> DataFrame:
     """Energy, contrast, homogeneity and correlation per direction of the 16-level co-occurrence table.
 
-    Pairs are counted both ways before anything is shuffled again, so each
-    image and direction ends with at most 256 rows.
+    Pairs are counted inside tiles and then both ways, so what a tile hands on is at most 256 rows a direction.
     """
-    q = pixels.select("image_id", "y", "x", F.floor(F.col(value) / 16).cast("int").alias("q"))
-    nb = neighbours(q, GLCM_STEPS, "q")
-    pairs = nb.select("image_id", "q", F.explode(F.array(*[F.struct(F.lit(n).alias("angle"), F.col(n).alias("o")) for n in GLCM_STEPS])).alias("p")) \
-        .select("image_id", "p.angle", F.col("q").alias("i"), F.col("p.o").alias("j")).where("j IS NOT NULL")
-    c = pairs.groupBy("image_id", "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    def count(t: Tile) -> dict[str, np.ndarray]:
+        q, ok = (t.around(value, 1, "edge") // 16).astype(np.int64), t.inside(1)
+        at = lambda g, dy, dx: g[1 + dy:g.shape[0] - 1 + dy, 1 + dx:g.shape[1] - 1 + dx]
+        pairs = {n: (at(q, 0, 0) * 16 + at(q, *step))[at(ok, 0, 0) & at(ok, *step)] for n, step in GLCM_STEPS.items()}
+        found = {n: np.unique(v, return_counts=True) for n, v in pairs.items()}
+        both = np.concatenate([v for v, _ in found.values()])
+        return {"angle": np.repeat(list(found), [len(v) for v, _ in found.values()]).astype(object), "i": both // 16, "j": both % 16,
+                "n": np.concatenate([n for _, n in found.values()])}
+
+    pairs = on_tiles(pixels, canvases, [value], 1, count, "angle string, i int, j int, n long", tile)
+    c = pairs.groupBy("image_id", "angle", "i", "j").agg(F.sum("n").alias("n"))
     sym = c.unionByName(c.select("image_id", "angle", F.col("j").alias("i"), F.col("i").alias("j"), "n")).groupBy("image_id", "angle", "i", "j").agg(F.sum("n").alias("n"))
     tot = sym.groupBy("image_id", "angle").agg(F.sum("n").alias("t"), (F.sum(F.col("i") * F.col("n")) / F.sum("n")).alias("mu"))
     p = sym.join(tot, ["image_id", "angle"]).withColumn("p", F.col("n") / F.col("t"))
@@ -142,23 +149,43 @@ def lbp_histogram(codes: DataFrame, bins: int = 16) -> DataFrame:
     return n.join(total, "image_id").select("image_id", "bin", (F.col("n") / F.col("_t")).alias("density"))
 
 
-def edge_flags(pixels: DataFrame, value: str = "gray", threshold: float = 150.0) -> DataFrame:
-    """Pixels flagged where the 3x3 gradient is strong; the border repeats its own pixel."""
-    off = {"nw": (-1, -1), "no": (-1, 0), "ne": (-1, 1), "we": (0, -1), "ea": (0, 1), "sw": (1, -1), "so": (1, 0), "se": (1, 1)}
-    nb = neighbours(pixels, off, value)
-    v = lambda n: F.coalesce(F.col(n), F.col(value))
-    gx = v("ne") + 2 * v("ea") + v("se") - v("nw") - 2 * v("we") - v("sw")
-    gy = v("sw") + 2 * v("so") + v("se") - v("nw") - 2 * v("no") - v("ne")
-    return nb.select("image_id", "y", "x", ((F.abs(gx) + F.abs(gy)) > threshold).alias("edge"))
-
+def _thin_edges(t: Tile, value: str, low: float, high: float) -> dict[str, np.ndarray]:
+    """Pixels whose gradient is over ``low`` and largest across the edge, and whether it is over ``high``."""
+    g = t.around(value, 2, "edge").astype(np.int64)
+    col = lambda d: g[:, 1 + d:g.shape[1] - 1 + d]
+    across, along = col(1) - col(-1), col(-1) + 2 * col(0) + col(1)
+    dx, dy = across[:-2] + 2 * across[1:-1] + across[2:], along[2:] - along[:-2]
+    size = np.abs(dx) + np.abs(dy)
+    beyond = lambda a, b, n: (np.arange(a - 1, b + 1) < 0) | (np.arange(a - 1, b + 1) >= n)
+    size[beyond(t.y0, t.y1, t.h)] = 0
+    size[:, beyond(t.x0, t.x1, t.w)] = 0
+    at = lambda oy, ox: size[1 + oy:size.shape[0] - 1 + oy, 1 + ox:size.shape[1] - 1 + ox]
+    m, dx, dy = at(0, 0), dx[1:-1, 1:-1], dy[1:-1, 1:-1]
+    steep, flat = np.abs(dy) << 15, np.abs(dx) * TAN_22
+    level, upright = steep < flat, steep > flat + (np.abs(dx) << 16)
+    falls = (dx < 0) != (dy < 0)
+    top = np.where(level, (m > at(0, -1)) & (m >= at(0, 1)), np.where(upright, (m > at(-1, 0)) & (m >= at(1, 0)), np.where(
+        falls, (m > at(-1, 1)) & (m > at(1, -1)), (m > at(-1, -1)) & (m > at(1, 1)))))
+    hit = top & (m > low)
+    return {**t.pixels(hit), "strong": m[hit] > high}
+
+
+def edge_pixels(pixels: DataFrame, canvases: DataFrame, value: str = "gray", *, low: float = 50, high: float = 150, tile: int = TILE) -> DataFrame:
+    """Thinned edges by hysteresis: pixels over ``low`` that hang together, by corners too, with one over ``high``.
+
+    Gradients and thinning are one pass over tiles with a halo of two; the growth from strong pixels through weak ones is
+    a component question, answered in tiles and then over the labels that meet across borders.
+    """
+    thin = cut_lineage(on_tiles(pixels, canvases, [value], 2, lambda t: _thin_edges(t, value, low, high), "y int, x int, strong boolean", tile))
+    lab = connected_components(thin, ("image_id",), tile=tile)
+    alive = lab.join(thin.where("strong").select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").select("image_id", "label").distinct()
+    return lab.join(alive, ["image_id", "label"], "left_semi").select("image_id", "y", "x")
 
-def edge_density(pixels: DataFrame, value: str = "gray", threshold: float = 150.0) -> DataFrame:
-    """Share of pixels with a strong gradient.
 
-    Stands in for a hysteresis edge detector: no thinning and one threshold, so
-    values are higher than that detector's on the same picture.
-    """
-    return edge_flags(pixels, value, threshold).groupBy("image_id").agg(F.avg(F.col("edge").cast("double")).alias("edge_density"))
+def edge_density(pixels: DataFrame, canvases: DataFrame, value: str = "gray", *, low: float = 50, high: float = 150, tile: int = TILE) -> DataFrame:
+    """Share of edge pixels per image, 0 where there is none."""
+    n = edge_pixels(pixels, canvases, value, low=low, high=high, tile=tile).groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    return canvases.join(n, "image_id", "left").select("image_id", (F.coalesce("_n", F.lit(0)) / (F.col("h") * F.col("w"))).alias("edge_density"))
 
 
 def structure_features(pixels: DataFrame, canvases: DataFrame, value: str = "gray") -> DataFrame:
@@ -169,7 +196,7 @@ def structure_features(pixels: DataFrame, canvases: DataFrame, value: str = "gra
     aspect = F.greatest("bw", "bh") / (F.least("bw", "bh") + 1e-8)
     comp = st.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_components"), F.avg("area").alias("_m"), F.stddev_pop("area").alias("_s"),
                                       F.count_if((aspect > 3) & (aspect < 20) & (F.col("area") > 50)).alias("_t"))
-    j = canvases.join(edge_density(pixels, value), "image_id").join(comp, "image_id", "left").na.fill(0, ["n_components", "_m", "_s", "_t"])
+    j = canvases.join(edge_density(pixels, canvases, value), "image_id").join(comp, "image_id", "left").na.fill(0, ["n_components", "_m", "_s", "_t"])
     area = F.col("h") * F.col("w")
     return j.select("image_id", "edge_density", "n_components", (F.col("_m") / area).alias("area_mean"), (F.col("_s") / area).alias("area_std"),
                     (F.col("_t") / (F.col("n_components") + 1)).alias("text_density"))
@@ -180,10 +207,10 @@ def classifier_inputs(pixels: DataFrame, canvases: DataFrame) -> DataFrame:
     from .rules import histogram_entropy
 
     glob = global_features(lab_pixels(pixels), canvases).select("image_id", "center_l", "center_a", "center_b", "center_saturation")
-    glcm = glcm_features(pixels).groupBy("image_id").agg(F.avg("energy").alias("glcm_energy"))
+    glcm = glcm_features(pixels, canvases).groupBy("image_id").agg(F.avg("energy").alias("glcm_energy"))
     hist = lbp_histogram(lbp_codes(pixels)).groupBy("image_id").agg(F.collect_list("density").alias("_h"))
     ent = hist.select("image_id", histogram_entropy(F.col("_h")).alias("lbp_entropy"))
-    return join_all([glob, glcm, ent, edge_density(pixels)], ["image_id"])
+    return join_all([glob, glcm, ent, edge_density(pixels, canvases)], ["image_id"])
 
 
 # ---- embedding -------------------------------------------------------------

@@ -80,11 +80,44 @@ def english_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda t: F.length(t) >= 4))
 
 
+def best_word_match(names: DataFrame, categories: DataFrame, hot: int = 64) -> DataFrame:
+    """(name, cid, score): the category that shares most words with the ``tokens`` of a name, the smallest id on ties.
+
+    A category's whole Chinese name counts as one word, its English name word by word.  Words of at most ``hot`` categories
+    bring names and categories together one by one, and such a pair is scored over all words at once.  Categories that
+    share nothing but commoner words with a name need not meet it: among all that hold the same common words only the
+    smallest id can win, so those profiles meet the distinct common parts of names, and only of names whose best pair so
+    far does not beat all their common words together.
+    """
+    cats = categories.select(F.col("id").alias("cid"), F.coalesce("name_zh", F.lit("")).alias("zh"), F.array_distinct(F.filter(
+        F.split(F.coalesce("name_en", F.lit("")), r"[_\s]+"), lambda t: t != "")).alias("en"))
+    vocab = cats.select("cid", "zh", "en", F.explode(F.concat(
+        F.transform("en", lambda t: F.struct(t.alias("t"), F.lit(1).alias("src"))),
+        F.when(F.col("zh") != "", F.array(F.struct(F.col("zh").alias("t"), F.lit(0).alias("src"))))
+        .otherwise(F.array().cast("array<struct<t:string,src:int>>")))).alias("w")).select("cid", "zh", "en", "w.t", "w.src")
+    common = vocab.groupBy("t").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("src").alias("most")).where(F.col("_n") > hot).select("t", "most")
+    words = names.select("name", "tokens", F.explode("tokens").alias("t"))
+    score = F.size(F.array_intersect("tokens", "en")) + F.array_contains("tokens", F.col("zh")).cast("int")
+    met = words.join(vocab.join(common, "t", "left_anti"), "t").select("name", "cid", score.alias("score"))
+    order = lambda: F.min_by(F.struct("cid", "score"), F.struct(-F.col("score"), F.col("cid"))).alias("b")
+    rare = met.groupBy("name").agg(order()).select("name", "b.*")
+    # what is shared with common words alone
+    entry = F.array_sort(F.collect_set(F.struct("t", "src")))
+    profiles = vocab.join(common, "t", "left_semi").groupBy("cid").agg(entry.alias("profile")).groupBy("profile").agg(F.min("cid").alias("cid"))
+    part = words.join(common, "t").groupBy("name").agg(F.array_sort(F.collect_set("t")).alias("part"), F.sum("most").alias("most"))
+    part = part.join(rare.select("name", F.col("score").alias("_s")), "name", "left").where(F.col("_s").isNull() | (F.col("_s") <= F.col("most")))
+    held = part.select("part").distinct().select("part", F.explode("part").alias("t")) \
+        .join(profiles.select("cid", F.explode("profile").alias("w")).select("cid", "w.t"), "t")
+    shared = held.groupBy("part", "cid").agg(F.count(F.lit(1)).cast("int").alias("score")).groupBy("part").agg(order()).select("part", "b.*")
+    both = rare.unionByName(part.join(shared, "part").select("name", "cid", "score"))
+    return both.groupBy("name").agg(order()).select("name", "b.*")
+
+
 def resolve_category_ids(names: DataFrame, categories: DataFrame, aliases: DataFrame, name_col: str = "name") -> DataFrame:
     """Name -> category id: alias, then exact name, then most shared words.
 
     Works on distinct names, so a name that fills a third of the input is
-    matched once.
+    matched once; names that an alias or a spelling settles meet no words.
     """
     distinct = names.select(F.col(name_col).alias("name")).where("name <> ''").distinct()
     keyed = distinct.withColumn("key", F.explode(F.array_distinct(F.array(
@@ -96,15 +129,10 @@ def resolve_category_ids(names: DataFrame, categories: DataFrame, aliases: DataF
     spelled = categories.select(F.col("id").alias("cid"), F.explode(F.array_distinct(F.array_compact(
         F.array("name_zh", "name_en", "name_template")))).alias("k"))
     by_name = keyed.join(spelled, "k").select("name", F.lit(1).alias("tier"), "p", F.lit(0).alias("score"), "cid")
-    words = distinct.select("name", F.explode(name_tokens(F.col("name"))).alias("t"))
-    # the whole Chinese name counts as one word, the English name word by word
-    vocab = categories.select(F.col("id").alias("cid"), F.col("name_zh").alias("t"), F.lit(0).alias("src")) \
-        .where("t <> ''").unionByName(
-            categories.select(F.col("id").alias("cid"), F.explode(F.array_distinct(F.filter(
-                F.split("name_en", r"[_\s]+"), lambda t: t != ""))).alias("t"), F.lit(1).alias("src")))
-    by_word = words.join(vocab, "t").groupBy("name", "cid").agg(F.count(F.lit(1)).cast("int").alias("score")) \
-        .select("name", F.lit(2).alias("tier"), F.lit(0).alias("p"), "score", "cid")
-    best = by_alias.unionByName(by_name).unionByName(by_word).groupBy("name").agg(
+    exact = by_alias.unionByName(by_name)
+    open_ = distinct.join(exact.select("name"), "name", "left_anti").select("name", name_tokens(F.col("name")).alias("tokens"))
+    by_word = best_word_match(open_, categories).select("name", F.lit(2).alias("tier"), F.lit(0).alias("p"), "score", "cid")
+    best = exact.unionByName(by_word).groupBy("name").agg(
         F.min_by(F.struct("cid", "tier"), F.struct("tier", "p", -F.col("score"), "cid")).alias("b"))
     return names.select(F.col(name_col).alias("name")).join(
         best.select("name", F.col("b.cid").alias("category_id"), F.col("b.tier").alias("tier")), "name", "left")

@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
 from . import runs
 from .components import component_stats, connected_components
-from .grid import close_ellipse, dilate_ellipse, ellipse, gaussian, neighbours, open_ellipse
+from .grid import close_ellipse, dilate_ellipse, ellipse, gaussian, gaussian_weights, open_ellipse
+from .tiles import TILE, Tile, on_tiles, smooth
 
 PX = ["image_id", "y", "x"]
 
 
 def void_pixels(pixels: DataFrame, canvases: DataFrame, *, desk_gray: float = 215.0, edge_energy: float = 4.0, kernel: int = 7,
-                iterations: int = 2) -> DataFrame:
+                iterations: int = 2, tile: int = TILE) -> DataFrame:
     """Bright background that is cool or has no texture, with pinholes closed."""
-    nb = neighbours(pixels, {"up": (-1, 0), "down": (1, 0), "lf": (0, -1), "rt": (0, 1)}, "gray")
-    m = lambda a, b: F.coalesce(F.col(a), F.col(b), F.col("gray"))
-    lap = nb.select(*PX, F.abs(m("up", "down") + m("down", "up") + m("lf", "rt") + m("rt", "lf") - 4 * F.col("gray")).cast("double").alias("lap"))
-    smooth = gaussian(lap, canvases, "lap", 0.3 * ((kernel - 1) * 0.5 - 1) + 0.8, radius=kernel // 2)
-    j = pixels.select(*PX, "gray", "r", "b").join(smooth, PX)
-    void = j.where((F.col("gray") > desk_gray) & ((F.col("r") - F.col("b") < 25) | (F.col("lap") < edge_energy))).select(
-        "image_id", F.lit("void").alias("layer"), "y", "x")
+    taps = np.asarray(gaussian_weights(0.3 * ((kernel - 1) * 0.5 - 1) + 0.8, radius=kernel // 2))
+    reach = kernel // 2 + 1
+
+    def find(t: Tile) -> dict[str, np.ndarray]:
+        g = t.around("gray", reach)
+        lap = np.abs(g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1])
+        cool = t.around("r") - t.around("b") < 25
+        return t.pixels(t.inside() & (t.around("gray") > desk_gray) & (cool | (smooth(lap, taps) < edge_energy)))
+
+    void = on_tiles(pixels, canvases, ["gray", "r", "b"], reach, find, "y int, x int", tile).withColumn("layer", F.lit("void"))
     return close_ellipse(void, canvases, kernel, iterations=iterations).select(*PX)
 
 
@@ -47,16 +52,19 @@ def safe_cut(void: DataFrame, canvases: DataFrame, min_y, max_y, max_tear: float
 
 
 def micro_holes(pixels: DataFrame, canvases: DataFrame, valid: DataFrame | None = None, *, sigma1: float = 0.9, sigma2: float = 2.0,
-                threshold: float = 4.5, gray_max: float = 225.0) -> DataFrame:
+                threshold: float = 4.5, gray_max: float = 225.0, tile: int = TILE) -> DataFrame:
     """Dark points: local peaks of the difference of two smoothings, with that difference."""
-    g1 = gaussian(pixels, canvases, "gray", sigma1).withColumnRenamed("gray", "g1")
-    g2 = gaussian(pixels, canvases, "gray", sigma2).withColumnRenamed("gray", "g2")
-    dog = g1.join(g2, PX).select(*PX, (F.col("g2") - F.col("g1")).alias("dog"))
-    nb = neighbours(dog, {"up": (-1, 0), "down": (1, 0), "lf": (0, -1), "rt": (0, 1)}, "dog")
-    peak = F.col("dog") > threshold
-    for n in ("up", "down", "lf", "rt"):
-        peak &= F.col("dog") >= F.coalesce(F.col(n), F.col("dog"))
-    hits = nb.where(peak).select(*PX, "dog")
+    w1, w2 = (np.asarray(gaussian_weights(s)) for s in (sigma1, sigma2))
+    reach = max(len(w1), len(w2)) // 2 + 1
+
+    def find(t: Tile) -> dict[str, np.ndarray]:
+        dog = smooth(t.around("gray", len(w2) // 2 + 1), w2) - smooth(t.around("gray", len(w1) // 2 + 1), w1)
+        dog[~t.inside(1)] = -np.inf
+        mid = dog[1:-1, 1:-1]
+        peak = (mid > threshold) & (mid >= dog[:-2, 1:-1]) & (mid >= dog[2:, 1:-1]) & (mid >= dog[1:-1, :-2]) & (mid >= dog[1:-1, 2:])
+        return {**t.pixels(peak), "dog": mid[peak]}
+
+    hits = on_tiles(pixels, canvases, ["gray"], reach, find, "y int, x int, dog double", tile)
     if valid is not None:
         return hits.join(valid.select(*PX), PX, "left_semi")
     return hits.join(pixels.where(F.col("gray") < gray_max).select(*PX), PX, "left_semi")

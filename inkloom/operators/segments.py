@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
 from .components import component_stats, connected_components, keep_components
-from .grid import close_ellipse, closing, islands, neighbours, opening
+from .grid import close_ellipse, closing, islands, opening
 from .masks import keep_distinct_instances
+from .tiles import TILE, Tile, on_tiles
 
 
 def otsu_threshold(pixels: DataFrame, by: str = "image_id", value: str = "gray") -> DataFrame:
@@ -56,15 +58,24 @@ def painting_roi(pixels: DataFrame, canvases: DataFrame, edge_band: int = 12, mi
 
 
 def sample_panel(pixels: DataFrame, canvases: DataFrame, grad: float = 12.0, persistence: float = 0.45, min_side: float = 0.20,
-                 min_inset: float = 0.01) -> DataFrame:
+                 min_inset: float = 0.01, tile: int = TILE) -> DataFrame:
     """Box of a photographed panel from edges that persist along whole rows and columns."""
-    nb = neighbours(pixels, {"right": (0, 1), "down": (1, 0)}, "gray").join(canvases, "image_id").where("h >= 16 AND w >= 16")
-    share = lambda v: F.avg((F.abs(F.col(v) - F.col("gray")) > grad).cast("double"))
-    cols = nb.where("right IS NOT NULL").groupBy("image_id", "h", "w", "x").agg(share("right").alias("s")).where(F.col("s") >= persistence) \
-        .groupBy("image_id", "h", "w").agg(F.min("x").alias("lft"), F.max("x").alias("rgt"), F.count(F.lit(1)).alias("_nx"))
-    rows = nb.where("down IS NOT NULL").groupBy("image_id", "y").agg(share("down").alias("s")).where(F.col("s") >= persistence) \
-        .groupBy("image_id").agg(F.min("y").alias("top"), F.max("y").alias("btm"), F.count(F.lit(1)).alias("_ny"))
-    j = cols.join(rows, "image_id").where("_nx >= 2 AND _ny >= 2")
+    def steps(t: Tile) -> dict[str, np.ndarray]:
+        g, ok = t.around("gray", 1, "edge"), t.inside(1)
+        here, right, down = ok[1:-1, 1:-1], ok[1:-1, 2:], ok[2:, 1:-1]
+        across, along = (np.abs(b - g[1:-1, 1:-1]) > grad for b in (g[1:-1, 2:], g[2:, 1:-1]))
+        count = lambda hit, axis: hit.sum(axis=axis)
+        return {"axis": np.repeat(["x", "y"], [t.x1 - t.x0, t.y1 - t.y0]).astype(object), "p": np.concatenate((np.arange(t.x0, t.x1), np.arange(t.y0, t.y1))),
+                "n": np.concatenate((count(here & right, 0), count(here & down, 1))),
+                "s": np.concatenate((count(here & right & across, 0), count(here & down & along, 1)))}
+
+    large = canvases.where("h >= 16 AND w >= 16")
+    parts = on_tiles(pixels, large, ["gray"], 1, steps, "axis string, p int, n long, s long", tile)
+    lines = parts.groupBy("image_id", "axis", "p").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where(f"n > 0 AND s / n >= {persistence}")
+    end = lambda a, f: f(F.when(F.col("axis") == a, F.col("p")))
+    found = lines.groupBy("image_id").agg(end("x", F.min).alias("lft"), end("x", F.max).alias("rgt"), F.count_if(F.col("axis") == "x").alias("_nx"),
+                                          end("y", F.min).alias("top"), end("y", F.max).alias("btm"), F.count_if(F.col("axis") == "y").alias("_ny"))
+    j = found.join(large, "image_id").where("_nx >= 2 AND _ny >= 2")
     big = (F.col("rgt") - F.col("lft") >= min_side * F.col("w")) & (F.col("btm") - F.col("top") >= min_side * F.col("h"))
     ix, iy = min_inset * F.col("w"), min_inset * F.col("h")
     inset = (F.col("lft") > ix) & (F.col("top") > iy) & (F.col("rgt") < F.col("w") - 1 - ix) & (F.col("btm") < F.col("h") - 1 - iy)
@@ -178,20 +189,19 @@ def component_classes(pixels: DataFrame, ink: DataFrame, canvases: DataFrame, mi
 
 
 def buildings(pixels: DataFrame, ink: DataFrame, canvases: DataFrame, *, edge: float = 40.0, run: int = 11, close: int = 25,
-              min_area: int = 1000) -> tuple[DataFrame, DataFrame]:
+              min_area: int = 1000, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
     """(building ink, its box) from dense straight strokes; the largest envelope of each image."""
-    off = {f"p{dy}{dx}".replace("-", "m"): (dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)}
-    nb = neighbours(pixels, off, "gray")
+    key = ["image_id", "y", "x"]
 
-    def at(dy, dx):
-        name = lambda a, b: F.col("gray") if (a, b) == (0, 0) else F.col(f"p{a}{b}".replace("-", "m"))
-        # mirrored border: the opposite neighbour stands in
-        return F.coalesce(name(dy, dx), name(-dy, dx), name(dy, -dx), name(-dy, -dx))
+    def gradients(t: Tile) -> dict[str, np.ndarray]:
+        g = t.around("gray", 1)
+        col = lambda d: g[:, 1 + d:g.shape[1] - 1 + d]
+        across, along = col(1) - col(-1), col(-1) + 2 * col(0) + col(1)
+        gx, gy = np.abs(across[:-2] + 2 * across[1:-1] + across[2:]), np.abs(along[2:] - along[:-2])
+        hit = t.inside() & ((gx > edge) | (gy > edge))
+        return {**t.pixels(hit), "gx": gx[hit], "gy": gy[hit]}
 
-    gx = at(-1, 1) - at(-1, -1) + 2 * (at(0, 1) - at(0, -1)) + at(1, 1) - at(1, -1)
-    gy = at(1, -1) - at(-1, -1) + 2 * (at(1, 0) - at(-1, 0)) + at(1, 1) - at(-1, 1)
-    key = ["image_id", "y", "x"]
-    grad = nb.select(*key, F.abs(gx).alias("gx"), F.abs(gy).alias("gy")).join(ink.select(*key), key, "left_semi")
+    grad = on_tiles(pixels, canvases, ["gray"], 1, gradients, "y int, x int, gx double, gy double", tile).join(ink.select(*key), key, "left_semi")
     line = lambda c, n: grad.where(F.col(c) > edge).select("image_id", F.lit(n).alias("layer"), "y", "x")
     flat, tall = opening(line("gy", "h"), canvases, 1, run), opening(line("gx", "v"), canvases, run, 1)
     dense = flat.unionByName(tall).select("image_id", F.lit("env").alias("layer"), "y", "x").distinct()

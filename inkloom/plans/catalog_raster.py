@@ -459,7 +459,7 @@ gl AS (SELECT image_id, angle, sqrt(sum(pow(n / t, 2))) AS energy, sum(n / t * (
 
 @query("glcm_features_c13", f"WITH {_GLCM} SELECT image_id, angle, round(energy, 6) AS energy, round(contrast, 6) AS contrast, round(homogeneity, 6) AS homogeneity, round(correlation, 6) AS correlation FROM gl", P)
 def _(v):
-    return _r(fp.glcm_features(v.pixels), "energy", "contrast", "homogeneity", "correlation")
+    return _r(fp.glcm_features(v.pixels, v.canvases), "energy", "contrast", "homogeneity", "correlation")
 
 
 def _lbp_sql():
@@ -482,21 +482,34 @@ def _(v):
     return _r(fp.lbp_histogram(fp.lbp_codes(v.pixels)), "density")
 
 
-@query("structure_features_c15", f"""WITH RECURSIVE oh AS (SELECT image_id, gray, count(*) AS n FROM pixels GROUP BY 1, 2), oc AS (SELECT image_id, gray, sum(n) OVER w AS w0, sum(n * gray) OVER w AS s0, sum(n) OVER (PARTITION BY image_id) AS w, sum(n * gray) OVER (PARTITION BY image_id) AS s FROM oh WINDOW w AS (PARTITION BY image_id ORDER BY gray)),
-ot AS (SELECT image_id, min_by(gray, (-round(CASE WHEN w > w0 THEN CAST(w0 AS DOUBLE) * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) ELSE 0 END / w / w, 9), gray)) AS t FROM oc GROUP BY 1), fg AS (SELECT image_id, y, x FROM pixels JOIN ot USING (image_id) WHERE gray > t + 60), {rs.components('cc', 'fg', 'image_id')}, {rs.stats('st', 'cc', 'image_id')},
-ks AS (SELECT image_id, count(*) AS n, avg(area) AS m, stddev_pop(area) AS s FROM st GROUP BY 1) SELECT image_id, n AS n_components, round(m / (h * w), 6) AS area_mean, round(s / (h * w), 6) AS area_std FROM ks JOIN canvases USING (image_id)""", P)
+_CANNY = f"""cs AS (SELECT c.image_id, c.y, c.x, CAST(sum(p.gray * k.wx) AS INT) AS dx, CAST(sum(p.gray * k.wy) AS INT) AS dy FROM (SELECT * FROM pixels JOIN canvases USING (image_id)) c
+ CROSS JOIN (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) k(dy, dx, wx, wy)
+ JOIN pixels p ON p.image_id = c.image_id AND p.y = greatest(0, least(c.h - 1, c.y + k.dy)) AND p.x = greatest(0, least(c.w - 1, c.x + k.dx)) GROUP BY 1, 2, 3),
+cm AS (SELECT *, abs(dx) + abs(dy) AS m FROM cs), cd AS (SELECT *, CASE WHEN abs(dy) * 32768 < abs(dx) * 13573 THEN 0 WHEN abs(dy) * 32768 > abs(dx) * 79109 THEN 2 WHEN (dx < 0) <> (dy < 0) THEN 3 ELSE 1 END AS dir FROM cm WHERE m > 50),
+ca AS (SELECT d.image_id, d.y, d.x, d.m > 150 AS strong FROM cd d LEFT JOIN cm a ON a.image_id = d.image_id AND a.y = d.y - CASE dir WHEN 0 THEN 0 ELSE 1 END AND a.x = d.x + CASE dir WHEN 0 THEN -1 WHEN 1 THEN -1 WHEN 2 THEN 0 ELSE 1 END
+ LEFT JOIN cm b ON b.image_id = d.image_id AND b.y = d.y + CASE dir WHEN 0 THEN 0 ELSE 1 END AND b.x = d.x + CASE dir WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END
+ WHERE d.m > coalesce(a.m, 0) AND CASE WHEN dir % 2 = 1 THEN d.m > coalesce(b.m, 0) ELSE d.m >= coalesce(b.m, 0) END),
+{rs.components('ec', 'ca', 'image_id')}, ed AS (SELECT image_id, y, x FROM ec WHERE (image_id, label) IN (SELECT image_id, label FROM ec JOIN ca USING (image_id, y, x) WHERE strong)),
+de AS (SELECT image_id, coalesce(n, 0) / (h * w) AS edge_density FROM canvases LEFT JOIN (SELECT image_id, count(*) AS n FROM ed GROUP BY 1) USING (image_id))"""
+
+
+@query("edge_pixels_c15", f"WITH RECURSIVE {_CANNY} SELECT image_id, y, x FROM ed", P)
+def _(v):
+    return fp.edge_pixels(v.pixels, v.canvases)
+
+
+@query("edge_density_c15", f"WITH RECURSIVE {_CANNY} SELECT image_id, round(edge_density, 6) AS edge_density FROM de", P)
 def _(v):
-    from ..operators.components import component_stats, connected_components
-    thr = sg.otsu_threshold(v.pixels)
-    fg = v.pixels.join(thr, "image_id").where("gray > threshold + 60").select("image_id", "y", "x")
-    st = component_stats(connected_components(fg, ("image_id",)), ("image_id",)).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_components"), F.avg("area").alias("m"), F.stddev_pop("area").alias("s"))
-    return _r(st.join(v.canvases, "image_id").select("image_id", "n_components", (F.col("m") / (F.col("h") * F.col("w"))).alias("area_mean"), (F.col("s") / (F.col("h") * F.col("w"))).alias("area_std")), "area_mean", "area_std")
+    return _r(fp.edge_density(v.pixels, v.canvases), "edge_density")
 
 
-@query("edge_density_c15", "WITH " + _SOBEL + " SELECT image_id, round(avg(CASE WHEN gx + gy > 150 THEN 1e0 ELSE 0e0 END), 6) AS edge_density FROM sob JOIN canvases USING (image_id) WHERE y > 0 AND x > 0 AND y < h - 1 AND x < w - 1 GROUP BY 1", P)
+@query("structure_features_c15", f"""WITH RECURSIVE {_CANNY}, oh AS (SELECT image_id, gray, count(*) AS n FROM pixels GROUP BY 1, 2), oc AS (SELECT image_id, gray, sum(n) OVER w AS w0, sum(n * gray) OVER w AS s0, sum(n) OVER (PARTITION BY image_id) AS w, sum(n * gray) OVER (PARTITION BY image_id) AS s FROM oh WINDOW w AS (PARTITION BY image_id ORDER BY gray)),
+ot AS (SELECT image_id, min_by(gray, (-round(CASE WHEN w > w0 THEN CAST(w0 AS DOUBLE) * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2) ELSE 0 END / w / w, 9), gray)) AS t FROM oc GROUP BY 1), fg AS (SELECT image_id, y, x FROM pixels JOIN ot USING (image_id) WHERE gray > t), {rs.components('cc', 'fg', 'image_id')}, {rs.stats('st', 'cc', 'image_id')},
+ks AS (SELECT image_id, count(*) AS n, avg(area) AS m, stddev_pop(area) AS s, count(*) FILTER (greatest(bw, bh) / (least(bw, bh) + 1e-8) > 3 AND greatest(bw, bh) / (least(bw, bh) + 1e-8) < 20 AND area > 50) AS t FROM st GROUP BY 1)
+SELECT image_id, round(edge_density, 6) AS edge_density, coalesce(n, 0) AS n_components, round(coalesce(m, 0) / (h * w), 6) AS area_mean, round(coalesce(s, 0) / (h * w), 6) AS area_std, round(coalesce(t, 0) / (coalesce(n, 0) + 1), 6) AS text_density
+FROM de JOIN canvases USING (image_id) LEFT JOIN ks USING (image_id)""", P)
 def _(v):
-    nb = fp.edge_flags(v.pixels).join(v.canvases, "image_id").where("y > 0 AND x > 0 AND y < h - 1 AND x < w - 1")
-    return _r(nb.groupBy("image_id").agg(F.avg(F.col("edge").cast("double")).alias("edge_density")), "edge_density")
+    return _r(fp.structure_features(v.pixels, v.canvases), "edge_density", "area_mean", "area_std", "text_density")
 
 
 @query("embeddings_c16", """

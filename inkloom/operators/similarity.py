@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,56 +13,174 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-def _packed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows of a partition packed batch by batch: (ids, vecs), vecs normalised and without zero vectors."""
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(m, axis=1)
-            keep = norms > 0
-            if keep.any():
-                yield pd.DataFrame({"ids": [pdf[id_col][keep].tolist()], "vecs": [(m[keep] / norms[keep, None]).tobytes()]})
+MARGIN = 1e-6  # radians, for rounding in the bounds
+PACK = 256     # vectors of a pack
 
-    ids = T.ArrayType(vectors.schema[id_col].dataType)
-    return vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(
-        pack, T.StructType([T.StructField("ids", ids), T.StructField("vecs", T.BinaryType())]))
 
+@dataclass
+class CellIndex:
+    """Stored packs (cell, ids, vecs, n, lo, hi) of normalised vectors, and what is known of the cells.
 
-def top_similar(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str, id_col: str = "task_id",
-                vec_col: str = "embedding", top_k: int = 5, min_similarity: float = 0.7,
-                only_audited: bool = True, block_rows: int = 512) -> DataFrame:
+    A cell holds the vectors nearest to one pivot; ``lo`` and ``hi`` are the least and largest angle to it.
+    """
+
+    packs: DataFrame
+    pivots: np.ndarray
+    size: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    id_type: T.DataType
+
+
+def _unit(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have a direction, their normalised vectors)."""
+    m = np.stack(column.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(m, axis=1)
+    keep = norms > 0
+    return keep, m[keep] / norms[keep, None]
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def build_index(index: DataFrame, *, id_col: str = "task_id", vec_col: str = "embedding", pivots: int = 64, pack: int = PACK) -> CellIndex:
+    """Packs of at most ``pack`` vectors of one cell, made inside the tasks and stored once.
+
+    The pivots are ``pivots`` vectors chosen by hash; they and one row per cell are all that reaches the driver.
+    """
+    rows = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where("v IS NOT NULL")
+    chosen = rows.orderBy(F.xxhash64("id", "v"), "id").limit(pivots).select("v").toPandas()
+    kept, centres = _unit(chosen["v"]) if len(chosen) else (None, np.zeros((0, 0)))
+    id_type = index.schema[id_col].dataType
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("vecs", T.BinaryType()),
+                           T.StructField("n", T.LongType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
+    if not len(centres):
+        empty = index.sparkSession.createDataFrame([], schema)
+        return CellIndex(empty, centres, *[np.zeros(0)] * 3, id_type)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+
+        def packed(cell: int) -> pd.DataFrame:
+            ids, vecs, far = zip(*held.pop(cell))
+            return pd.DataFrame({"cell": [cell], "ids": [list(ids)], "vecs": [np.stack(vecs).tobytes()], "n": [len(ids)], "lo": [min(far)], "hi": [max(far)]})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keep, m = _unit(pdf["v"])
+            angle = _angles(m, centres)
+            cell = angle.argmin(axis=1)
+            for i, (name, c) in enumerate(zip(pdf["id"].to_numpy()[keep].tolist(), cell.tolist())):
+                held.setdefault(c, []).append((name, m[i], angle[i, c]))
+                if len(held[c]) == pack:
+                    yield packed(c)
+        for c in list(held):
+            yield packed(c)
+
+    packs = cut_lineage(rows.mapInPandas(make, schema))
+    size, low, high = np.zeros(len(centres), dtype=np.int64), np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
+    for r in packs.groupBy("cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
+        size[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["lo"], r["hi"]
+    return CellIndex(packs, centres, size, low, high, id_type)
+
+
+def _routed(queries: DataFrame, built: CellIndex, parts: np.ndarray, query_id: str, query_vec: str, top_k: int, min_similarity: float,
+            block_rows: int) -> DataFrame:
+    """(cell, part, qids, qvecs, within): queries packed for each cell that may hold one of their best rows.
+
+    The cells' counts and largest angles alone bound the angle of the k-th best row of a query (``within``); a cell whose
+    least possible angle is larger is skipped.
+    """
+    limit = np.arccos(np.clip(min_similarity, -1.0, 1.0))
+    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()),
+                           T.StructField("qids", T.ArrayType(queries.schema[query_id].dataType)), T.StructField("qvecs", T.BinaryType()),
+                           T.StructField("within", T.ArrayType(T.DoubleType()))])
+    full = built.size > 0
+    pivots, size, low, high = built.pivots[full], built.size[full], built.low[full], built.high[full]
+    numbers, copies = np.flatnonzero(full), parts[full]
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), block_rows):
+                pdf = whole.iloc[at:at + block_rows]
+                keep, q = _unit(pdf["v"])
+                ids, angle = pdf["id"].to_numpy()[keep], _angles(q, pivots)
+                worst = np.sort(angle + high, axis=1)
+                enough = np.cumsum(size[np.argsort(angle + high, axis=1)], axis=1) >= top_k
+                within = np.where(enough.any(axis=1), worst[np.arange(len(q)), enough.argmax(axis=1)], np.pi)
+                within = np.minimum(within, limit) + MARGIN
+                near = np.maximum(0, np.maximum(angle - high, low - angle)) <= within[:, None]
+                for c in np.flatnonzero(near.any(axis=0)):
+                    mine = near[:, c]
+                    yield pd.DataFrame([{"cell": int(numbers[c]), "part": p, "qids": ids[mine].tolist(), "qvecs": q[mine].tobytes(),
+                                         "within": within[mine].tolist()} for p in range(int(copies[c]))])
+
+    return queries.select(F.col(query_id).alias("id"), F.col(query_vec).alias("v")).where("v IS NOT NULL").mapInPandas(route, schema)
+
+
+def search(queries: DataFrame, built: CellIndex, *, query_id: str, query_vec: str, id_col: str = "task_id", top_k: int = 5, min_similarity: float = 0.7,
+           block_rows: int = 512, spread: int = 64, held: int = 50_000) -> DataFrame:
     """Top-k most similar index rows per query vector; exact.
 
-    Index and queries are both packed into rows of one batch of vectors, queries
-    in steps of ``block_rows``.  Every pack of queries meets every pack of the
-    index once, in the tasks; a meeting keeps the best rows of each query, ties
-    included, and only those go to the ranking.  Nothing passes the driver, and
-    the plan is the same for any number of queries.
+    Queries go to the cells that their bound leaves and meet the packs there by an equal join; a cell of more than
+    ``spread`` packs is dealt into parts, so a direction that fills the index is no hot task.  Inside a task the k-th best
+    row so far tightens each query's bound, packs out of reach are not multiplied, and only the best k rows of a query
+    leave the task (at the latest when ``held`` queries are held).
     """
-    if only_audited:
-        index = index.where("audit_passed")
-    left = cut_lineage(_packed(queries, query_id, query_vec)).select(F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"))
-    right = _packed(index, id_col, vec_col)  # packed again for each 128 MB of queries at most
-    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id_col, index.schema[id_col].dataType),
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(id_col, built.id_type),
                            T.StructField("similarity", T.DoubleType())])
+    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.asc(id_col))
+    if not len(built.pivots):
+        return built.packs.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
+    parts = np.maximum(1, -(-built.size // (PACK * spread))).astype(int)
+    part = F.pmod(F.xxhash64("ids"), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)).cast("int")
+    asked = _routed(queries, built, parts, query_id, query_vec, top_k, min_similarity, block_rows)
+    pivots = built.pivots
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[object, list[tuple[float, object]]] = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(q, i, -s) for q, found in best.items() for s, i in found]
+            best.clear()
+            return pd.DataFrame(rows, columns=[query_id, id_col, "similarity"])
+
         for pdf in batches:
-            for qids, qvecs, ids, vecs in zip(pdf["qids"], pdf["qvecs"], pdf["ids"], pdf["vecs"]):
-                q = np.frombuffer(qvecs).reshape(len(qids), -1)
-                m, ids = np.frombuffer(vecs).reshape(len(ids), -1), np.asarray(ids)
-                for lo in range(0, len(qids), block_rows):
-                    sims = q[lo:lo + block_rows] @ m.T
-                    cut = np.full(len(sims), -2.0) if sims.shape[1] <= top_k else np.partition(sims, -top_k, axis=1)[:, -top_k]
-                    j, hit = np.nonzero((sims >= cut[:, None]) & (sims >= min_similarity))
-                    if len(hit):
-                        yield pd.DataFrame({query_id: np.asarray(qids)[lo + j], id_col: ids[hit], "similarity": sims[j, hit]})
-
-    scored = right.crossJoin(left).mapInPandas(score, schema)  # packs of a stated query set against packs of the index
-    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.asc(id_col))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+            for cell, qids, qvecs, within, ids, vecs, lo, hi in zip(*(pdf[c] for c in ("cell", "qids", "qvecs", "within", "ids", "vecs", "lo", "hi"))):
+                qids, q = list(qids), np.frombuffer(qvecs).reshape(len(qids), -1)
+                angle, within = _angles(q, pivots[cell:cell + 1])[:, 0], np.array(within)
+                for j, name in enumerate(qids):
+                    if len(best.get(name, ())) == top_k:
+                        within[j] = min(within[j], np.arccos(np.clip(-best[name][-1][0], -1.0, 1.0)) + MARGIN)
+                near = np.flatnonzero(np.maximum(0, np.maximum(angle - hi, lo - angle)) <= within)
+                if not len(near):
+                    continue
+                ids, m = list(ids), np.frombuffer(vecs).reshape(len(ids), -1)
+                sims = np.round(q[near] @ m.T, 12)  # the same however vectors are packed
+                cut = np.full(len(near), -2.0) if len(ids) <= top_k else np.partition(sims, -top_k, axis=1)[:, -top_k]
+                for j, row, least in zip(near.tolist(), sims, cut):
+                    hits = np.flatnonzero((row >= least) & (row >= min_similarity))
+                    if len(hits):
+                        best[qids[j]] = sorted(best.get(qids[j], []) + [(-row[i], ids[i]) for i in hits])[:top_k]
+            if len(best) > held:
+                yield out()
+        if best:
+            yield out()
+
+    met = built.packs.withColumn("part", part).join(asked, ["cell", "part"]).select("cell", "qids", "qvecs", "within", "ids", "vecs", "lo", "hi")
+    return met.mapInPandas(score, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
+def top_similar(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str, id_col: str = "task_id",
+                vec_col: str = "embedding", top_k: int = 5, min_similarity: float = 0.7,
+                only_audited: bool = True, block_rows: int = 512, pivots: int = 64) -> DataFrame:
+    """Top-k most similar index rows per query vector, from an index built for this call; exact."""
+    if only_audited:
+        index = index.where("audit_passed")
+    built = build_index(index, id_col=id_col, vec_col=vec_col, pivots=pivots)
+    return search(queries, built, query_id=query_id, query_vec=query_vec, id_col=id_col, top_k=top_k, min_similarity=min_similarity, block_rows=block_rows)
 
 
 def family_centroids(index: DataFrame, family: str = "family", vec_col: str = "embedding") -> DataFrame:

@@ -22,6 +22,18 @@ def _(v):
     return out.select(F.col("family").cast("int"), "task_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+_SELF = "round(list_dot_product(q.v, e.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(e.v, e.v)), 12)"
+
+
+@query("every_similar_episode_j7", f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query, e.vec_id AS task_id, {_SELF} AS s FROM e q, e WHERE e.label % 2 = 0 AND {_SELF} >= 0.2)
+SELECT query, task_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, task_id) AS INT) AS rank FROM s QUALIFY rank <= 5""")
+def _(v):
+    built = sim.build_index(v.episode_index.where("audit_passed"), pivots=16)
+    out = sim.search(v.embeddings.select(F.col("vec_id").alias("query"), "embedding"), built, query_id="query", query_vec="embedding", min_similarity=0.2)
+    return out.select("query", "task_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("similarity_hit_message_p28", f"""{_CENTROIDS}
 SELECT family, 'reuse ' || task_id || ' (similarity ' || printf('%.2f', s) || ')' AS message FROM (
  SELECT c.family, e.vec_id AS task_id, {_SIM} AS s, row_number() OVER (PARTITION BY c.family ORDER BY {_SIM} DESC, e.vec_id) AS rank

@@ -41,7 +41,7 @@ class Tile:
         self._grids = {}
         for v in values:
             self._grids[v] = np.zeros(shape)
-            self._grids[v][cells] = table.column(v).to_numpy()
+            np.add.at(self._grids[v], cells, table.column(v).to_numpy())
 
     def _pick(self, n: int, border: str):
         if border == "mirror":
@@ -78,7 +78,10 @@ def smooth(grid: np.ndarray, taps: np.ndarray) -> np.ndarray:
 
 def on_tiles(df: DataFrame, canvases: DataFrame, values: list[str], halo: int, fn: Callable[[Tile], dict[str, np.ndarray]], columns: str,
              tile: int = TILE) -> DataFrame:
-    """(image_id, ``columns``) of all tiles; ``fn`` turns a tile into its columns. A tile is at least four halos wide."""
+    """(image_id, ``columns``) of all tiles; ``fn`` turns a tile into its columns.
+
+    A tile is at least four halos wide.  Values given several times for one place add up.
+    """
     size = max(tile, 4 * halo)
     span = lambda c, n: F.explode(F.sequence(
         F.greatest(F.lit(0), F.floor((F.col(c) - halo) / size)).cast("int"), F.least(F.floor((F.col(n) - 1) / size), F.floor((F.col(c) + halo) / size)).cast("int")))

@@ -24,31 +24,71 @@ M = ("mask_px", "canvases", "pixels")
 K = ep.DIM_KEYS
 
 
+# Five pictures, so that every dimension passes for some and fails for others: 0 has no source, 1 a box that is too tall and
+# an almost empty base, 2 a layer twice and an inverted rendering, 3 no base, 4 a hidden layer, a base that kept everything
+# and a layer the manifest does not know; only 1, 3 and 4 have the same seal twice.
 def _audit_inputs(v):
-    layers = mk.half_open_boxes(v.masks).withColumn("position", F.substring("layer", 1, 2).cast("int")).withColumn("visible", F.lit(True))
-    layers = layers.withColumn("layer", F.when((F.col("layer") == "10_frame") & (F.col("image_id") != 3), "10_Base_Ground").otherwise(F.col("layer")))
-    mask = v.masks.withColumn("layer", F.when((F.col("layer") == "10_frame") & (F.col("image_id") != 3), "10_Base_Ground").otherwise(F.col("layer")))
-    base = v.pixels.select("image_id", "y", "x", F.col("b"), (F.col("g") * 0).alias("g"), F.col("r"))
-    comp = v.pixels.select("image_id", F.col("r").alias("r1"), F.floor(F.col("r") * 0.9).alias("r2"), F.col("g").alias("g1"), F.col("g").alias("g2"), F.col("b").alias("b1"), F.col("b").alias("b2"))
+    named = F.when((F.col("layer") == "10_frame") & (F.col("image_id") != 3), "10_Base_Ground").otherwise(F.col("layer"))
+    mask = v.masks.where("NOT (layer = '03_seal_02' AND image_id IN (0, 2))").withColumn("layer", named)
+    layers = mk.half_open_boxes(mask).withColumn("position", F.substring("layer", 1, 2).cast("int")) \
+        .withColumn("visible", F.expr("NOT (image_id = 4 AND layer = '08_geese_01')")).withColumn("btm", F.expr("btm + CASE WHEN image_id = 1 AND layer = '04_trees' THEN 1 ELSE 0 END"))
+    twice = F.explode(F.sequence(F.lit(1), F.expr("CASE WHEN image_id = 2 AND layer = '05_cliffs' THEN 2 ELSE 1 END")))
+    layers = layers.withColumn("_t", twice).drop("_t")
+    base = v.pixels.where("image_id <> 1 OR (x = 0 AND y = 0)").select("image_id", "y", "x", "b", F.expr("CASE WHEN image_id = 4 THEN g ELSE 0 END").alias("g"), "r")
+    seen = lambda c, e: F.expr(f"CASE WHEN image_id = 2 THEN 255 - {c} ELSE {e} END").cast("int").alias(c)
+    comp = v.pixels.select("image_id", "y", "x", seen("b", "b"), seen("g", "g"), seen("r", "floor(r * 0.9)"))
     facts = v.canvases.select("image_id", F.expr("CASE WHEN image_id % 2 = 0 THEN 'cmyk' ELSE 'rgb' END").alias("color_mode"), (300 + 5 * F.col("image_id")).alias("tac_max_pct"),
-                              (F.col("image_id") != 2).alias("plate_purity_ok"), F.lit(0.0).alias("generated_ratio"), (F.col("image_id") != 1).alias("has_manifest"))
-    return layers, mask, v.pixels, base, v.canvases, comp, facts, layers.where("NOT (image_id = 4 AND layer = '04_trees')")
-
-
-_AUDIT = f"""mk2 AS (SELECT image_id, CASE WHEN layer = '10_frame' AND image_id <> 3 THEN '10_Base_Ground' ELSE layer END AS layer, y, x FROM mask_px),
-med AS (SELECT image_id, quantile_cont(gray, 0.5) AS m FROM pixels GROUP BY 1), fl AS (SELECT image_id, gray < m - 12 AS i, g > 40 AS e, EXISTS (SELECT 1 FROM mk2 k WHERE k.image_id = p.image_id AND k.y = p.y AND k.x = p.x AND k.layer NOT IN ('10_Base_Ground', '13_Spot')) AS u FROM pixels p JOIN med USING (image_id)),
-ls AS (SELECT image_id, count(*) FILTER (i AND e AND NOT u) / greatest(1, count(*) FILTER (i)) <= 0.02 AS ok FROM fl GROUP BY 1),
-rm AS (SELECT image_id, sqrt(avg(pow(r - floor(r * 0.9e0), 2) / 3)) <= 60 AS ok FROM pixels GROUP BY 1),
-dims AS (SELECT image_id AS artifact, '{K[0]}' AS dim, true AS passed, true AS evaluated, false AS na, NULL AS issue FROM canvases UNION ALL SELECT image_id, '{K[1]}', true, true, false, NULL FROM canvases
-UNION ALL SELECT image_id, '{K[2]}', false, true, false, 'repeated instances' FROM canvases UNION ALL SELECT image_id, '{K[3]}', ok, true, false, CASE WHEN NOT ok THEN 'content lost' END FROM ls
-UNION ALL SELECT image_id, '{K[4]}', ok, true, false, CASE WHEN NOT ok THEN 'composite differs' END FROM rm UNION ALL SELECT image_id, '{K[5]}', image_id <> 3, true, false, CASE WHEN image_id = 3 THEN 'no base layer' END FROM canvases
+                              (F.col("image_id") != 2).alias("plate_purity_ok"), F.lit(0.0).alias("generated_ratio"), (F.col("image_id") != 1).alias("has_manifest"),
+                              (F.col("image_id") != 0).alias("has_source"))
+    return layers, mask, v.pixels, base, v.canvases, comp, facts, layers.where("NOT (image_id = 4 AND layer = '04_trees')").select("image_id", "layer")
+
+
+def _long(dim: int, metrics: dict[str, str], src: str) -> str:
+    return " UNION ALL ".join(f"SELECT image_id AS artifact, '{K[dim]}' AS dim, '{k}' AS metric, CAST({e} AS DOUBLE) AS value FROM {src}" for k, e in metrics.items())
+
+
+_AUDIT = f"""mk2 AS (SELECT image_id, CASE WHEN layer = '10_frame' AND image_id <> 3 THEN '10_Base_Ground' ELSE layer END AS layer, y, x FROM mask_px WHERE NOT (layer = '03_seal_02' AND image_id IN (0, 2))),
+lb AS (SELECT image_id, layer, max(y) - min(y) + 1 AS ph, max(x) - min(x) + 1 AS pw, count(*) AS n, layer <> '10_Base_Ground' AS content FROM mk2 GROUP BY 1, 2),
+ly AS (SELECT *, ph + CASE WHEN image_id = 1 AND layer = '04_trees' THEN 1 ELSE 0 END AS bh, NOT (image_id = 4 AND layer = '08_geese_01') AS visible FROM lb, unnest(range(0, CASE WHEN image_id = 2 AND layer = '05_cliffs' THEN 2 ELSE 1 END)) t(i)),
+q1 AS (SELECT image_id, count(*) AS layer_count, count(*) FILTER (content) AS content_layers, count(*) - count(DISTINCT layer) AS duplicate_names, count(*) FILTER (NOT visible) AS invisible_layers, count(*) FILTER (content AND bh <> ph) AS res_mismatch,
+ count(DISTINCT layer) AS actual, count(DISTINCT layer) FILTER (NOT (image_id = 4 AND layer = '04_trees')) AS declared FROM ly GROUP BY 1),
+q3 AS (SELECT image_id, count(*) AS pairs FROM (SELECT a.image_id, count(*) AS i FROM mk2 a JOIN mk2 b USING (image_id, y, x) WHERE a.layer = '03_seal_01' AND b.layer = '03_seal_02' GROUP BY 1) JOIN lb n1 USING (image_id) JOIN lb n2 USING (image_id)
+ WHERE n1.layer = '03_seal_01' AND n2.layer = '03_seal_02' AND i / (n1.n + n2.n - i) > 0.9 GROUP BY 1),
+bs AS (SELECT image_id, y, x, b, CASE WHEN image_id = 4 THEN g ELSE 0 END AS g, r, floor(0.114e0 * b + 0.587e0 * (CASE WHEN image_id = 4 THEN g ELSE 0 END) + 0.299e0 * r + 0.5) AS gr FROM pixels WHERE image_id <> 1 OR (x = 0 AND y = 0)),
+med AS (SELECT image_id, quantile_cont(gray, 0.5) AS m FROM pixels GROUP BY 1), fl AS (SELECT p.image_id, p.gray < m - 12 AS i, greatest(abs(coalesce(s.b, 255) - p.b), abs(coalesce(s.g, 255) - p.g), abs(coalesce(s.r, 255) - p.r)) > 40 AS e,
+ EXISTS (SELECT 1 FROM mk2 k WHERE k.image_id = p.image_id AND k.y = p.y AND k.x = p.x AND k.layer NOT IN ('10_Base_Ground', '13_Spot')) AS u FROM pixels p JOIN med USING (image_id) LEFT JOIN bs s ON s.image_id = p.image_id AND s.y = p.y AND s.x = p.x),
+q4 AS (SELECT image_id, greatest(1, count(*) FILTER (i)) AS ink_px, count(*) FILTER (i AND e AND NOT u) AS lost_px, count(*) FILTER (e) AS e, count(*) FILTER (u) AS u, count(*) FILTER (i AND e) AS ie, count(*) AS n FROM fl GROUP BY 1),
+df AS (SELECT image_id, y, x, CASE WHEN image_id = 2 THEN 255 - 2 * b ELSE 0 END AS b, CASE WHEN image_id = 2 THEN 255 - 2 * g ELSE 0 END AS g, CASE WHEN image_id = 2 THEN 255 - 2 * r ELSE floor(r * 0.9e0) - r END AS r FROM pixels),
+{', '.join(rs.gauss('l' + c, 'df', c, sigma=16.0) for c in 'bgr')},
+q5 AS (SELECT image_id, sqrt(avg((pow(df.b, 2) + pow(df.g, 2) + pow(df.r, 2)) / 3)) AS raw, sqrt(avg((pow(lb.b, 2) + pow(lg.g, 2) + pow(lr.r, 2)) / 3)) AS low FROM df JOIN lb2 lb USING (image_id, y, x) JOIN lg USING (image_id, y, x) JOIN lr USING (image_id, y, x) GROUP BY 1),
+bm AS (SELECT image_id, quantile_cont(gr, 0.5) AS m FROM bs GROUP BY 1), bd AS (SELECT image_id, count(*) AS n, avg(CASE WHEN gr < m - 20 THEN 1e0 ELSE 0e0 END) AS dark FROM bs JOIN bm USING (image_id) GROUP BY 1),
+q6 AS (SELECT image_id, 100e0 * bd.n / (bh * pw) AS opaque, dark FROM bd JOIN ly USING (image_id) WHERE layer = '10_Base_Ground'),
+dims AS (SELECT image_id AS artifact, '{K[0]}' AS dim, duplicate_names + invisible_layers = 0 AS passed, true AS evaluated, false AS na, CASE WHEN duplicate_names + invisible_layers > 0 THEN 'duplicate or invisible layers' END AS issue FROM q1
+UNION ALL SELECT image_id, '{K[1]}', res_mismatch = 0, true, false, CASE WHEN res_mismatch > 0 THEN 'layer size differs from its box' END FROM q1
+UNION ALL SELECT image_id, '{K[2]}', pairs IS NULL, true, false, CASE WHEN pairs IS NOT NULL THEN 'repeated instances' END FROM canvases LEFT JOIN q3 USING (image_id)
+UNION ALL SELECT image_id, '{K[3]}', ok, image_id <> 0, false, CASE WHEN NOT ok THEN 'content lost' END FROM (SELECT image_id, image_id IN (0, 3) OR lost_px / ink_px <= 0.02 AS ok FROM q4)
+UNION ALL SELECT image_id, '{K[4]}', ok, image_id <> 0, false, CASE WHEN NOT ok THEN 'composite differs' END FROM (SELECT image_id, image_id = 0 OR (raw <= 60 AND low <= 25) AS ok FROM q5)
+UNION ALL SELECT image_id, '{K[5]}', coalesce(opaque >= 1, false), true, false, CASE WHEN opaque IS NULL THEN 'no base layer' WHEN opaque < 1 THEN 'empty base layer' END FROM canvases LEFT JOIN q6 USING (image_id)
 UNION ALL SELECT image_id, '{K[6]}', NOT (image_id % 2 = 0 AND (300 + 5 * image_id > 310 OR image_id = 2)), image_id % 2 = 0, image_id % 2 = 1, CASE WHEN image_id = 2 THEN 'impure' WHEN image_id = 4 THEN 'tac_over_limit' END FROM canvases
-UNION ALL SELECT image_id, '{K[7]}', image_id <> 4, image_id <> 1, false, CASE WHEN image_id = 4 THEN 'layer lists differ' END FROM canvases)"""
+UNION ALL SELECT image_id, '{K[7]}', declared = actual OR image_id = 1, image_id <> 1, false, CASE WHEN declared <> actual AND image_id <> 1 THEN 'layer lists differ' END FROM q1)""".replace("lb_w", "lb2_w").replace("lb_h", "lb2_h").replace("lb AS (SELECT p.image_id", "lb2 AS (SELECT p.image_id")
+_METRICS = " UNION ALL ".join([
+    _long(0, {c: c for c in ("layer_count", "content_layers", "duplicate_names", "invisible_layers")}, "q1"), _long(1, {"res_mismatch": "res_mismatch"}, "q1"),
+    _long(2, {"duplicate_pairs": "coalesce(pairs, 0)"}, "canvases LEFT JOIN q3 USING (image_id)"),
+    _long(3, {"ink_px": "ink_px", "lost_px": "lost_px", "lost_ratio": "round(lost_px / ink_px, 6)", "erased_pct": "round(100e0 * e / n, 2)", "union_pct": "round(100e0 * u / n, 2)",
+              "ink_erased_pct": "round(100e0 * ie / ink_px, 3)"}, "q4 WHERE image_id NOT IN (0, 3)"),
+    _long(4, {"rmse_raw": "round(raw, 2)", "rmse_lowfreq": "round(low, 2)"}, "q5 WHERE image_id <> 0"),
+    _long(5, {"opaque_pct": "round(opaque, 1)", "dark_ratio_all": "round(100 * dark, 2)"}, "q6"), _long(6, {"tac_max_pct": "300 + 5 * image_id"}, "canvases WHERE image_id % 2 = 0"),
+    _long(6, {"generated_pixel_ratio": "0"}, "canvases WHERE image_id <> 1"), _long(7, {"declared": "declared", "actual": "actual"}, "q1 WHERE image_id <> 1")])
 
 
 @query("delivery_audit_x1", f"WITH {_AUDIT} SELECT * FROM dims", M)
 def _(v):
-    return jobs.delivery_audit(*_audit_inputs(v))
+    return jobs.delivery_audit(*_audit_inputs(v)).drop("metrics")
+
+
+@query("delivery_metrics_x1", f"WITH {_AUDIT} {_METRICS}", M)
+def _(v):
+    return jobs.delivery_audit(*_audit_inputs(v)).select("artifact", "dim", F.explode("metrics").alias("metric", "value"))
 
 
 @query("delivery_verdict_x1_m21", f"""WITH {_AUDIT} SELECT artifact, bool_and(passed) AS passed, count(*) FILTER (NOT passed) AS failed_dims, count(*) FILTER (evaluated) AS evaluated_dims, count(*) FILTER (na) AS na_dims,

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import audit as au
+from ..operators import delivery as dl
 from ..operators import density as de
 from ..operators import episodes as ep
 from ..operators import feedback as fb
@@ -17,50 +16,58 @@ from ..operators import lexicon as lx
 from ..operators import masks as mk
 from ..operators import rules
 from ..operators import similarity as sim
+from ..operators.quantiles import join_all
 from ..session import cut_lineage
 
 
-def _dim(df: DataFrame, i: int, passed, evaluated=True, na=False, issue=None) -> DataFrame:
-    lit = lambda v: v if isinstance(v, F.Column) else F.lit(v)
-    return df.select(F.col("image_id").alias("artifact"), F.lit(ep.DIM_KEYS[i]).alias("dim"), lit(passed).alias("passed"),
-                     lit(evaluated).alias("evaluated"), lit(na).alias("na"),
-                     (F.lit(None).cast("string") if issue is None else issue).alias("issue"))
-
-
 def delivery_audit(layers: DataFrame, mask: DataFrame, pixels: DataFrame, base: DataFrame, canvases: DataFrame,
                    composite: DataFrame, facts: DataFrame, declared: DataFrame) -> DataFrame:
-    """Long table of the eight dimensions per artifact; :func:`au.verdict` sums it up.
+    """Long table of the eight dimensions per artifact, each with its metrics; :func:`au.verdict` sums it up.
 
-    ``base`` holds the base layer's colours, ``composite`` joined pixel pairs,
-    ``facts`` the manifest figures (color_mode, tac_max_pct, plate_purity_ok,
-    generated_ratio, has_manifest) and ``declared`` the manifest's layer names.
+    ``layers`` holds name, position, visibility and box, ``base`` the base layer's opaque pixels (elsewhere it is white),
+    ``composite`` the rendered picture, ``facts`` the manifest figures (color_mode, tac_max_pct, plate_purity_ok,
+    generated_ratio, has_manifest) and, if given, ``has_source``; ``declared`` the manifest's layer names.  Without a
+    source picture dimensions four and five pass unevaluated; without a base layer the fourth has nothing to judge.
     """
-    content = mask.where(~rules.has_any(F.col("layer"), rules.SUPPORT_LAYERS))
-    props = au.layer_properties(layers)
-    d1 = _dim(props, 0, F.col("passed"), issue=F.when(~F.col("passed"), "duplicate or invisible layers"))
-    size = au.size_mismatches(layers, mask)
-    d2 = _dim(size, 1, F.col("passed"), issue=F.when(~F.col("passed"), "layer size differs from its box"))
-    dup = canvases.select("image_id").join(mk.duplicate_instances(content).groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")), "image_id", "left")
-    d3 = _dim(dup, 2, F.col("_n").isNull(), issue=F.when(F.col("_n").isNotNull(), "repeated instances"))
-    med = pixels.groupBy("image_id").agg(F.percentile("gray", 0.5).alias("_med"))
-    ink = pixels.join(med, "image_id").where(F.col("gray") < F.col("_med") - au.INK_GRAY_DELTA).select("image_id", "y", "x")
-    pair = pixels.select("image_id", "y", "x", "b", "g", "r").join(
-        base.select("image_id", "y", "x", F.col("b").alias("b0"), F.col("g").alias("g0"), F.col("r").alias("r0")), ["image_id", "y", "x"], "left")
-    off = lambda a, z: F.abs(F.coalesce(F.col(z), F.lit(255)) - F.col(a))
-    erased = pair.where(F.greatest(off("b", "b0"), off("g", "g0"), off("r", "r0")) > 40).select("image_id", "y", "x")
-    loss = mk.content_loss(ink, erased, content, canvases, au.CONTENT_LOSS_MAX)
-    d4 = _dim(loss, 3, F.col("passed"), issue=F.when(~F.col("passed"), "content lost"))
-    raw = au.rmse(composite, [("r1", "r2"), ("g1", "g2"), ("b1", "b2")], ["image_id"])
-    d5 = _dim(raw, 4, F.col("rmse_raw") <= au.RMSE_RAW_MAX, issue=F.when(F.col("rmse_raw") > au.RMSE_RAW_MAX, "composite differs"))
-    found = canvases.select("image_id").join(au.base_layer(layers, rules.BASE_LAYER_WORDS), "image_id", "left")
-    d6 = _dim(found, 5, F.col("base_layer").isNotNull(), issue=F.when(F.col("base_layer").isNull(), "no base layer"))
-    plate = au.plate_compliance(facts.withColumnRenamed("image_id", "run_id")).withColumnRenamed("run_id", "image_id")
-    d7 = _dim(plate, 6, F.col("passed"), F.col("evaluated"), F.col("na"), F.nullif(F.col("issues"), F.lit("")))
-    names = lambda df: df.select("image_id", F.col("layer").alias("name"))
-    cons = au.manifest_consistency(names(declared), names(layers), "image_id").join(facts.select("image_id", "has_manifest"), "image_id")
-    d8 = _dim(cons, 7, F.col("passed") | ~F.col("has_manifest"), F.col("has_manifest"),
-              issue=F.when(~F.col("passed") & F.col("has_manifest"), "layer lists differ"))
-    return reduce(DataFrame.unionByName, [d1, d2, d3, d4, d5, d6, d7, d8])
+    lists = cut_lineage(dl.layer_lists(layers, declared))
+    figures = dl.image_facts(dl.pixel_counts(dl.pixel_table(mask, lists, pixels, base, composite)), lists)
+    plate = au.plate_compliance(facts.withColumnRenamed("image_id", "run_id")).select(
+        F.col("run_id").alias("image_id"), F.col("passed").alias("_plate"), F.col("evaluated").alias("_checked"), "na", F.nullif(F.col("issues"), F.lit("")).alias("_why"))
+    has_source = F.col("has_source") if "has_source" in facts.columns else F.lit(True)
+    known = facts.select("image_id", "has_manifest", "tac_max_pct", "generated_ratio", has_source.alias("has_source"))
+    j = join_all([canvases, lists.drop("content", "boxes"), figures, dl.lowfreq_rmse(pixels, composite, canvases), plate, known], ["image_id"])
+    area, n_ink = F.col("h") * F.col("w"), F.greatest(F.lit(1), F.col("ink_px"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    ground, lost, opaque = F.col("base_layer").isNotNull(), zero("lost_px") / n_ink, 100.0 * zero("opaque_px") / F.greatest(F.lit(1), F.col("base_area"))
+    apart = (F.col("rmse_lowfreq") > au.RMSE_LOWFREQ_MAX) | (F.col("rmse_raw") > au.RMSE_RAW_MAX)
+    listed = (zero("undeclared") == 0) & (zero("absent") == 0)
+
+    def dim(i, passed, issue, metrics, evaluated=None, na=None):
+        no = F.lit(False)
+        values = F.map_filter(F.create_map(*[x for k, v in metrics.items() for x in (F.lit(k), v.cast("double"))]), lambda k, v: v.isNotNull())
+        passed = F.coalesce(passed, no)
+        return F.struct(F.lit(ep.DIM_KEYS[i]).alias("dim"), passed.alias("passed"), (F.lit(True) if evaluated is None else F.coalesce(evaluated, no)).alias("evaluated"),
+                        (no if na is None else F.coalesce(na, no)).alias("na"), F.when(~passed, issue).alias("issue"), values.alias("metrics"))
+
+    cols = lambda *names: {c: F.col(c) for c in names}
+    with_base = lambda v: F.when(ground & F.col("has_source"), v)
+    dims = [
+        dim(0, (zero("duplicate_names") == 0) & (zero("invisible_layers") == 0), F.lit("duplicate or invisible layers"),
+            cols("layer_count", "content_layers", "duplicate_names", "invisible_layers")),
+        dim(1, zero("res_mismatch") == 0, F.lit("layer size differs from its box"), cols("res_mismatch")),
+        dim(2, zero("duplicate_pairs") == 0, F.lit("repeated instances"), cols("duplicate_pairs")),
+        dim(3, ~F.col("has_source") | ~ground | (lost <= au.CONTENT_LOSS_MAX), F.lit("content lost"),
+            {"ink_px": with_base(n_ink), "lost_px": with_base(zero("lost_px")), "lost_ratio": with_base(F.round(lost, 6)),
+             "erased_pct": with_base(F.round(100.0 * zero("erased_px") / area, 2)), "union_pct": with_base(F.round(100.0 * zero("union_px") / area, 2)),
+             "ink_erased_pct": with_base(F.round(100.0 * zero("ink_erased_px") / n_ink, 3))}, F.col("has_source")),
+        dim(4, ~F.col("has_source") | ~F.coalesce(apart, F.lit(False)), F.lit("composite differs"),
+            {c: F.when(F.col("has_source"), F.round(c, 2)) for c in ("rmse_raw", "rmse_lowfreq")}, F.col("has_source") & F.col("rmse_raw").isNotNull()),
+        dim(5, ground & (opaque >= 1), F.when(ground, "empty base layer").otherwise("no base layer"),
+            {"opaque_pct": F.when(ground, F.round(opaque, 1)), "dark_ratio_all": F.when(ground, F.round(100.0 * F.col("dark_ratio"), 2))}),
+        dim(6, F.col("_plate"), F.col("_why"), {"tac_max_pct": F.when(F.col("_checked"), F.col("tac_max_pct")), "generated_pixel_ratio": F.when(F.col("has_manifest"), F.col("generated_ratio"))},
+            F.col("_checked"), F.col("na")),
+        dim(7, ~F.col("has_manifest") | listed, F.lit("layer lists differ"), {c: F.when(F.col("has_manifest"), F.col(c)) for c in ("declared", "actual")}, F.col("has_manifest"))]
+    return j.select(F.col("image_id").alias("artifact"), F.explode(F.array(*dims)).alias("d")).select("artifact", "d.*")
 
 
 def learn(detections: DataFrame, prompts: DataFrame | None) -> DataFrame:

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .lexicon import ancestors, learned_weight
-from .quantiles import exact_percentiles
+from .rollup import lift, lifted_moments, lifted_percentiles
 
 # The eight audit dimensions in report order.
 DIM_KEYS = ("① 层属性", "② 分辨率真实性", "③ 实例重复", "④ 内容承载",
@@ -136,25 +137,16 @@ def _shape_columns(boxes: DataFrame) -> DataFrame:
 def category_priors(boxes: DataFrame, edges: DataFrame | None = None, min_samples: int = 3) -> DataFrame:
     """Area band, shape moments and usual instance count per category.
 
-    With ``edges`` every box also counts for all ancestors: raw values are
-    aggregated again, summaries are never averaged.
+    With ``edges`` every box also counts for all ancestors: states of the leaves are lifted and merged, so the figures are
+    those over all boxes below a category, though no box is copied.
     """
-    counts = boxes.where("category_id <> ''").groupBy("episode_id", "category_id").agg(F.count(F.lit(1)).alias("c"))
+    up = None if edges is None else cut_lineage(ancestors(edges).select(F.col("id").alias("category_id"), "ancestor"))
     shapes = _shape_columns(boxes)
-    if edges is not None:
-        up = ancestors(edges).select(F.col("id").alias("category_id"), "ancestor")
-
-        def lift(df):
-            return df.unionByName(df.join(up, "category_id").drop("category_id").withColumnRenamed("ancestor", "category_id"))
-
-        shapes, counts = lift(shapes), lift(counts)
-    bands = exact_percentiles(shapes, ["category_id"], "area", {"area_budget_min": 0.1, "area_budget_max": 0.9})
-    moments = shapes.groupBy("category_id").agg(
-        F.avg("elongation").alias("elongation_mean"), F.stddev_pop("elongation").alias("elongation_std"),
-        F.avg("compactness").alias("compactness_mean"), F.stddev_pop("compactness").alias("compactness_std"),
-        F.count(F.lit(1)).alias("n_samples"))
+    bands = lifted_percentiles(shapes, up, {"area_budget_min": 0.1, "area_budget_max": 0.9}, value="area")
+    moments = lifted_moments(shapes, up, ["elongation", "compactness"])
     # most frequent count, the smaller one on ties; counting first keeps the state small
-    freq = counts.groupBy("category_id", "c").agg(F.count(F.lit(1)).alias("f"))
+    counts = boxes.where("category_id <> ''").groupBy("episode_id", "category_id").agg(F.count(F.lit(1)).alias("c"))
+    freq = lift(cut_lineage(counts.groupBy("category_id", "c").agg(F.count(F.lit(1)).alias("f"))), up, ["c"], ["f"])
     mode = freq.groupBy("category_id").agg(F.min_by("c", F.struct(-F.col("f"), F.col("c"))).alias("n_components_mode"))
     return moments.where(F.col("n_samples") >= min_samples).join(bands, "category_id").join(mode, "category_id", "left")
 

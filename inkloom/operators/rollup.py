@@ -40,7 +40,7 @@ def lifted_percentiles(values: DataFrame, closure: DataFrame | None, probs: dict
     bins or the distinct values of one fine bin, whatever the number of rows below the root.
     """
     rows = values.where(F.col(value) > 0).select(key, F.col(value).cast("double").alias("v")).withColumn("b1", F.floor(F.log2("v") * bins).cast("int"))
-    counted = cut_lineage(rows.groupBy(key, "b1").agg(F.count(F.lit(1)).alias("n")))
+    counted = rows.groupBy(key, "b1").agg(F.count(F.lit(1)).alias("n"))
     lifted = lift(counted, closure, ["b1"], ["n"], key)
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("i"), F.lit(float(p)).alias("p"), F.lit(s).alias("side")) for n, p in probs.items() for s in (0, 1)]))
     totals = lifted.groupBy(key).agg(F.sum("n").alias("_n")).select(key, "_n", wanted.alias("t")).select(key, "t.i", "t.side", (F.col("t.p") * (F.col("_n") - 1)).alias("pos"))
@@ -50,7 +50,7 @@ def lifted_percentiles(values: DataFrame, closure: DataFrame | None, probs: dict
     if closure is not None:
         pairs = pairs.unionByName(pairs.join(closure.select(F.col(key).alias("_leaf"), F.col("ancestor").alias(key)), key).select(F.col("_leaf").alias(key), "b1")).distinct()
     inner = F.floor((F.col("v") / F.pow(F.lit(2.0), F.col("b1") / bins) - 1) * fine)
-    bracket = cut_lineage(rows.join(pairs, [key, "b1"], "left_semi").withColumn("b2", inner).groupBy(key, "b1", "b2", "v").agg(F.count(F.lit(1)).alias("n")))
+    bracket = rows.join(pairs, [key, "b1"], "left_semi").withColumn("b2", inner).groupBy(key, "b1", "b2", "v").agg(F.count(F.lit(1)).alias("n"))
     second = _at_rank(lift(bracket, closure, ["b1", "b2"], ["n"], key), first, key, ["b1"], "b2")
     third = _at_rank(lift(bracket, closure, ["b1", "b2", "v"], ["n"], key), second, key, ["b1", "b2"], "v")
     end = lambda n, s: F.max(F.when((F.col("i") == n) & (F.col("side") == s), F.col("v")))
@@ -63,7 +63,7 @@ def lifted_moments(rows: DataFrame, closure: DataFrame | None, columns: list[str
 
     Leaf means and squared deviations are merged around the joint mean, not from raw squares.
     """
-    leaf = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(p + c) for c in columns for f, p in ((F.avg, "m_"), (F.var_pop, "q_"))]))
+    leaf = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(p + c) for c in columns for f, p in ((F.avg, "m_"), (F.var_pop, "q_"))])
     sums = leaf.select(key, "n", *[(F.col("m_" + c) * F.col("n")).alias("s_" + c) for c in columns])
     top = lift(sums, closure, [], ["n", *["s_" + c for c in columns]], key).select(
         key, F.col("n").alias("n_samples"), *[(F.col("s_" + c) / F.col("n")).alias(c + "_mean") for c in columns])

@@ -24,6 +24,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 32_768   # characters; longer texts are cut
 CHUNK = 16_384
 FAN = 64         # matrices multiplied by one task at a level
-_KEEP = 120_000  # runs a worker remembers, and as many from before, about 70 MB; four times as many pairs, 60 MB
+_KEEP = 250_000  # runs a worker remembers, about 45 MB, and as many pairs, 30 MB
+_AT_ONCE = 50_000  # runs looked up at once
+_TEXTS = 64        # texts decoded at once
 _MARK = "▁"
 _START = 0       # node before the first piece
 _EDGE = 63       # node of a cut that is itself a free place
@@ -84,8 +87,10 @@ class Lattice:
         self.cut = re.compile(f"(?<!{_MARK})(?={_MARK})|(?<=[{one}])|(?=[{one}])|(?<=[{word}])(?=[{sign}])|(?<=[{sign}])(?=[{word}])")
         self._fits: dict[int, bool] = {}
         self._steps: dict[str, list[tuple[float, str, str]]] = {}
-        self._known: dict[str, array] = {}
-        self._before: dict[str, array] = {}
+        self._forget()
+        lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self._bytes, self._byte_end = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8), np.cumsum(lengths)
+        self._byte_len = lengths
         self.pieces = {p: i for p, i in self.ids.items() if len(p) == 1 or self.steps(p)[-1:] and self.steps(p)[-1][1] == p}
 
     def steps(self, piece: str) -> list[tuple[float, str, str]]:
@@ -146,7 +151,7 @@ class Lattice:
                 if left >= 0:
                     good = known.get(left << 22 | own)
                     if good is None:
-                        if len(known) > 4 * _KEEP:
+                        if len(known) > _KEEP:
                             known.clear()
                         good = known[left << 22 | own] = self.fits(text[y - last[y]:y], text[y:x])
                     if not good:
@@ -155,6 +160,39 @@ class Lattice:
                 break
         return last
 
+    def run_path(self, run: str) -> list[str]:
+        """Pieces of a run on its own: ``forward`` and ``back`` from place 0, from where every place has one path.
+
+        As only one piece can end at a place, the order of trial is free: first the last piece grown by a character.
+        """
+        pieces, width, known, fits = self.pieces, self.width, self._fits, self.fits
+        if len(known) > _KEEP:
+            known.clear()
+        size = len(run)
+        last, code = [0] * (size + 1), [-1] * (size + 1)
+        for x in range(1, size + 1):
+            grown = x - 1 - last[x - 1]
+            for y in (grown, *range(x - 1, max(0, x - width) - 1, -1)) if grown < x - 1 else range(x - 1, max(0, x - width) - 1, -1):
+                own = pieces.get(run[y:x])
+                if own is None:
+                    if y < x - 1:
+                        continue
+                    own = self.code(run[y:x])
+                left = code[y]
+                if left >= 0:
+                    good = known.get(left << 22 | own)
+                    if good is None:
+                        good = known[left << 22 | own] = fits(run[y - last[y]:y], run[y:x])
+                    if not good:
+                        continue
+                last[x], code[x] = x - y, own
+                break
+        out, at = [], size
+        while at:
+            out.append(run[at - last[at]:at])
+            at -= last[at]
+        return out[::-1]
+
     def code(self, piece: str) -> int:
         """Number of a piece; characters outside the vocabulary have numbers of their own."""
         got = self.pieces.get(piece)
@@ -176,30 +214,87 @@ class Lattice:
             at -= n
         return out[::-1]
 
-    def run_ids(self, run: str) -> array:
-        got = self._known.get(run)
-        if got is None:
-            got = self._before.get(run)
-            if got is None:
-                seed = {0: 0}
-                got = self.to_ids(self.back(run, self.forward(run, seed, 0, len(run)), len(run), seed, 0))
-            if len(run) <= 64:
-                if len(self._known) >= _KEEP:  # what was not asked for since the last turn is forgotten
-                    self._before, self._known = self._known, {}
-                self._known[run] = got
-        return got
-
-    def encode(self, text: str) -> array:
-        out = array("i")
-        if text:
-            for run in self.runs.findall(normal(text)):
-                out.extend(self._known.get(run) or self.run_ids(run))
-        return out
+    def _forget(self) -> None:
+        """Keeps the remembered runs that were asked for most, half of the room; their counts are halved."""
+        index = getattr(self, "_index", {})
+        least = np.sort(self._asked[list(index.values())])[-(_KEEP // 2)] if len(index) > _KEEP // 2 else 0
+        kept = [(run, self._ids_of(n), self._asked[n] // 2) for run, n in index.items() if self._asked[n] > least]
+        self._index: dict[str, int] = {}
+        self._flat, self._ends = array("i"), array("q", [0])  # ids of run n are flat[ends[n]:ends[n + 1]]
+        self._asked = np.zeros(_KEEP, dtype=np.int32)
+        for run, ids, asked in kept:
+            self._asked[self._remember(run, ids)] = asked
+
+    def _ids_of(self, n: int) -> array:
+        return self._flat[self._ends[n]:self._ends[n + 1]]
+
+    def _remember(self, run: str, ids: array) -> int:
+        self._index[run] = n = len(self._ends) - 1
+        self._flat.extend(ids)
+        self._ends.append(len(self._flat))
+        if n >= len(self._asked):
+            self._asked = np.concatenate((self._asked, np.zeros(len(self._asked), dtype=np.int32)))
+        return n
+
+    def run_ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the runs one after the other, how many there are up to the end of each run)."""
+        if len(self._index) > _KEEP or len(self._flat) > 16 * _KEEP:
+            self._forget()
+        number = np.fromiter(map(self._index.get, runs, repeat(-1)), dtype=np.int64, count=len(runs))
+        passing = []
+        for i in np.flatnonzero(number < 0).tolist():
+            run = runs[i]
+            n = self._index.get(run)
+            if n is None:
+                n = self._remember(run, self.to_ids(self.run_path(run)))
+                if len(run) > 64:
+                    passing.append(run)
+            number[i] = n
+        np.add.at(self._asked, number, 1)
+        ends = np.frombuffer(self._ends, dtype=np.int64)
+        start, size = ends[number], ends[number + 1] - ends[number]
+        upto = np.cumsum(size)
+        ids = np.frombuffer(self._flat, dtype=np.int32)[_spread(start, size, upto)] if len(runs) and upto[-1] else np.zeros(0, dtype=np.int32)
+        for run in passing:  # long runs hardly come again
+            del self._index[run]
+        return ids, upto
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many there are up to the end of each text); a null text has none."""
+        parts, counts, runs, ends = [], [], [], []
+
+        def flush():
+            ids, upto = self.run_ids(runs)
+            before = np.concatenate(([0], upto))[np.concatenate(([0], ends))]
+            parts.append(ids)
+            counts.append(np.diff(before))
+            runs.clear()
+            ends.clear()
+
+        for text in texts:
+            if text:
+                runs.extend(self.runs.findall(normal(text)))
+            ends.append(len(runs))
+            if len(runs) > _AT_ONCE:
+                flush()
+        if ends:
+            flush()
+        return np.concatenate(parts or [np.zeros(0, dtype=np.int32)]), np.cumsum(np.concatenate(counts or [np.zeros(0, dtype=np.int64)]))
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of id lists; the bytes are gathered for all at once, text by text only the decoding is left."""
+        size = self._byte_len[ids]
+        upto = np.cumsum(size)
+        raw = self._bytes[_spread(self._byte_end[ids] - size, size, upto)].tobytes() if len(ids) and upto[-1] else b""
+        at = np.concatenate(([0], upto))[offsets].tolist()
+        return [raw[a + (raw[a:a + 1] == b" " and a < b):b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
 
     def decode(self, ids) -> str:
-        of = self.bytes_of
-        raw = b"".join([of[i] for i in ids])
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        ids = np.asarray(ids, dtype=np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
 
     # -- chunks: nodes are coded (place beyond the cut) * 64 + length; _START stands before the text
 
@@ -263,8 +358,7 @@ class Lattice:
             return self.to_ids(self.back(text, self._ahead(text, seeds, begin, end), end + right // 64, seeds, begin))
         head = self.back(text, self.forward(text, seeds, begin, free[0]), free[0], seeds, begin)
         out = self.to_ids(head)
-        for run in self.runs.findall(text[free[0]:free[1]]):
-            out.extend(self._known.get(run) or self.run_ids(run))
+        out.frombytes(self.run_ids(self.runs.findall(text[free[0]:free[1]]))[0].tobytes())
         start = {free[1]: 0}
         if right != _EDGE:
             out.extend(self.to_ids(self.back(text, self._ahead(text, start, free[1], end), end + right // 64, start, free[1])))
@@ -275,6 +369,11 @@ def normal(text: str) -> str:
     return _MARK + text.replace(" ", _MARK)
 
 
+def _spread(start: np.ndarray, size: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Places start[0], start[0] + 1, ... of every stretch, one stretch after the other."""
+    return np.repeat(start - (upto - size), size) + np.arange(upto[-1])
+
+
 @lru_cache(maxsize=2)
 def lattice(path: str) -> Lattice:
     return Lattice(path)
@@ -308,7 +407,10 @@ def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", model
 
     def plain(texts: pa.Array) -> dict:
         lat = lattice(model)
-        return {"ids": _int_lists([None if t is None else lat.encode(t) for t in texts.to_pylist()])}
+        known = texts.to_pylist()
+        ids, upto = lat.encode_all(known)
+        mask = pa.array([t is None for t in known]) if texts.null_count else None
+        return {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)).astype(np.int32)), pa.array(ids), mask=mask)}
 
     small = with_columns(docs.where(size <= giant), IDS, plain, text)
     k1, k2 = row_keys(text, id_col)
@@ -422,8 +524,12 @@ def decode(df: DataFrame, *, model: str = MODEL, ids: str = "ids", into: str = "
         lat = lattice(model)
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        offsets, flat, known = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_pylist()
-        return {into: [lat.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), known)]}
+        offsets, known = column.offsets.to_numpy(), column.is_valid().to_pylist()
+        out = []
+        for lo in range(0, len(column), _TEXTS):
+            part = offsets[lo:lo + _TEXTS + 1]
+            out += lat.decode_all(column.values.slice(part[0], part[-1] - part[0]).to_numpy(zero_copy_only=False).astype(np.int64), part - part[0])
+        return {into: [t if ok else None for t, ok in zip(out, known)]}
 
     return with_columns(df, T.StructType([T.StructField(into, T.StringType())]), run, ids)
 

@@ -9,14 +9,14 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered_once():
-    assert [sum(n.startswith(f"op{i}_") for n in entry.queries()) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in entry.queries()) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cols = sorted(catalog.QUERIES[name](spark, SF).columns)
     got = sorted(str(tuple(r[c] for c in cols)) for r in catalog.QUERIES[name](spark, SF).collect())

@@ -98,6 +98,17 @@ def _(v):
     return lx.resolve_category_ids(v.layer_names, v.categories, v.aliases)
 
 
+# one word in every name and every category: all pairs would share it
+_COMMON_SQL = "WITH ln AS (SELECT name || '_shared' AS name FROM layer_names), ct AS (SELECT id, name_zh, name_en || '_shared' AS name_en, name_template FROM categories), " \
+    + _RESOLVE_SQL.strip()[len("WITH "):].replace("FROM layer_names", "FROM ln").replace("categories", "ct")
+
+
+@query("resolve_common_words_j6", _COMMON_SQL, ("layer_names", "categories", "aliases"))
+def _(v):
+    names = v.layer_names.select(F.concat("name", F.lit("_shared")).alias("name"))
+    return lx.resolve_category_ids(names, v.categories.withColumn("name_en", F.concat("name_en", F.lit("_shared"))), v.aliases)
+
+
 @query("learned_weights_j14", """
 SELECT d.episode_id, d.seq, d.category_id, d.prompt, w.old_weight, w.old_weight IS NULL AS unknown
 FROM detections d LEFT JOIN (SELECT category_id, prompt, max(weight) AS old_weight FROM prompts WHERE source <> 'shadow'

@@ -199,22 +199,7 @@ def open_ellipse(mask, canvases, k, keys=("image_id", "layer")):
     return _in_runs(mask, canvases, keys, (runs.open_runs, ellipse(k)))
 
 
-# ---- neighbours ------------------------------------------------------------
-
-def neighbours(df: DataFrame, offsets: dict[str, tuple[int, int]], value: str, keys=("image_id",)) -> DataFrame:
-    """One column per named (dy, dx) offset with the value found there, in one shuffle.
-
-    Each pixel sends its value to the pixels that look at it; missing ones are NULL.
-    """
-    ks = list(keys)
-    arms = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                               for n, (dy, dx) in {"_self": (0, 0), **offsets}.items()]))
-    sent = df.select(*ks, "y", "x", F.col(value).alias("_v"), arms.alias("_o")).select(
-        *ks, (F.col("y") - F.col("_o.dy")).alias("y"), (F.col("x") - F.col("_o.dx")).alias("x"), F.col("_o.n").alias("_n"), "_v")
-    pick = lambda n: F.max(F.when(F.col("_n") == n, F.col("_v")))
-    out = sent.groupBy(*ks, "y", "x").agg(pick("_self").alias(value), *[pick(n).alias(n) for n in offsets])
-    return out.where(F.col(value).isNotNull())
-
+# ---- lines and sizes -------------------------------------------------------
 
 def islands(df: DataFrame, keys: list[str], pos: str = "y", tile: int = 65536) -> DataFrame:
     """Runs of consecutive integer positions: (keys, start, end).

@@ -7,16 +7,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ranking import fill_forward
+from ..operators.ranking import fill_forward, running_max
 from ..operators.rules import PRESET_SECONDS, stage_of
 
 LOG_SCHEMA = "task_id string, seq long, ts timestamp, message string, preset string"
 OUT_SCHEMA = "task_id string, seq long, stage string, progress int, message string, heartbeat boolean"
-STATE_SCHEMA = "stage string, start_ms double, progress int, estimate int"
+OUT_COLUMNS = ["task_id", "seq", "stage", "progress", "message", "heartbeat"]
 DEFAULT_SECONDS = 240
 MAX_PERCENT = 95
 HEARTBEAT_MS = 10_000
+TTL_MS = 24 * 3600 * 1000
+FINAL = ("completed", "failed", "cancelled")
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "")
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: str = LOG_SCHEMA, files_per_batch: int = 1) -> DataFrame:
@@ -30,43 +34,104 @@ def estimate_seconds(preset: str = "preset") -> F.Column:
 
 
 def progress_batch(lines: DataFrame) -> DataFrame:
-    """Stage and percent per log line: the result a stream of the same lines ends with."""
-    staged = fill_forward(lines.withColumn("_st", stage_of(F.col("message"))), ["task_id"], "seq", "_st", "stage")
-    start = lines.groupBy("task_id").agg(F.min("ts").alias("_start"))
+    """Stage and percent per log line: the result a stream of the same lines ends with.
+
+    The clock starts at the first line and the percent never falls, also where a line's time lies before the one above
+    it.  Empty and null messages are no lines.  A final ``status`` is not looked at: one task id is one run here.
+    """
+    kept = lines.where("message <> ''")
+    start = kept.groupBy("task_id").agg(F.min_by(F.struct(F.col("ts").alias("_start"), estimate_seconds().alias("_est")), "seq").alias("_f")).select("task_id", "_f.*")
     secs = F.col("ts").cast("double") - F.col("_start").cast("double")
-    pct = F.least(F.lit(MAX_PERCENT), F.floor(secs / F.greatest(F.lit(1), estimate_seconds()) * 100).cast("int"))
-    return staged.join(start, "task_id").select("task_id", "seq", F.coalesce("stage", F.lit("处理中")).alias("stage"), pct.alias("progress"), "message")
+    pct = F.greatest(F.lit(0), F.least(F.lit(MAX_PERCENT), F.floor(secs / F.greatest(F.lit(1), F.col("_est")) * 100).cast("int")))
+    timed = kept.join(start, "task_id").select("task_id", "seq", "message", stage_of(F.col("message")).alias("_st"), pct.alias("_pct"))
+    staged = fill_forward(timed, ["task_id"], "seq", "_st", "stage")
+    risen = running_max(staged, ["task_id"], "seq", "_pct", "progress")
+    return risen.select("task_id", "seq", F.coalesce("stage", F.lit("处理中")).alias("stage"), "progress", "message")
+
+
+class Progress(StatefulProcessor):
+    """Start, clock, stage and percent of a task, each a value of its own, and one timer for silence.
+
+    The clock is that of the log: a heartbeat adds the time since the last line arrived to that line's own time.  A line
+    with a final status removes all of it, its timer included; a task whose end never comes goes after ``ttl_ms``.
+    """
+
+    def __init__(self, heartbeat_ms: int, ttl_ms: int) -> None:
+        self.heartbeat_ms, self.ttl_ms = heartbeat_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.begun = handle.getValueState("begun", "start_ms double, estimate int", self.ttl_ms)
+        self.clock = handle.getValueState("clock", "line_ms double, arrived_ms long", self.ttl_ms)
+        self.stage = handle.getValueState("stage", "stage string", self.ttl_ms)
+        self.percent = handle.getValueState("percent", "progress int", self.ttl_ms)
+
+    def _restart_timer(self, at: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        start, estimate = self.begun.get() if self.begun.exists() else (None, DEFAULT_SECONDS)
+        stage = self.stage.get()[0] if self.stage.exists() else None
+        progress = self.percent.get()[0] if self.percent.exists() else 0
+        ms, out = None, []
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            ms = row.ts.timestamp() * 1000.0
+            if start is None:
+                start, estimate = ms, int(row.estimate)
+            stage = row.stage if isinstance(row.stage, str) else stage
+            progress = max(progress, percent_at(ms - start, estimate))
+            out.append((key[0], row.seq, stage or "处理中", progress, row.message, False))
+            if row.final:
+                start, estimate, stage, progress = None, DEFAULT_SECONDS, None, 0
+        if start is None:  # ended: nothing is kept
+            for state in (self.begun, self.clock, self.stage, self.percent):
+                state.clear()
+            self._restart_timer(None)
+        else:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            self.begun.update((start, estimate))
+            self.clock.update((ms, now))
+            self.stage.update((stage,))
+            self.percent.update((progress,))
+            self._restart_timer(now + self.heartbeat_ms)
+        yield pd.DataFrame(out, columns=OUT_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not (self.begun.exists() and self.clock.exists()):  # gone by its time to live: the timer ends with it
+            return
+        now = timerValues.getCurrentProcessingTimeInMs()
+        (start, estimate), (line_ms, arrived) = self.begun.get(), self.clock.get()
+        stage = self.stage.get()[0] if self.stage.exists() else None
+        before = self.percent.get()[0] if self.percent.exists() else 0
+        progress = max(before, percent_at(line_ms - start + (now - arrived), estimate))
+        if progress > before:
+            self.percent.update((progress,))
+        self.handle.registerTimer(now + self.heartbeat_ms)
+        yield pd.DataFrame([(key[0], None, stage or "计算中", progress, None, True)], columns=OUT_COLUMNS)
 
+    def close(self) -> None:
+        pass
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    stage, start, progress, estimate = state.get if state.exists else (None, None, 0, DEFAULT_SECONDS)
-    if state.hasTimedOut:
-        # silence: repeat the state, never step back
-        now = state.getCurrentProcessingTimeMs()
-        progress = max(progress, min(MAX_PERCENT, int((now - start) / 1000.0 / max(1, estimate) * 100)))
-        yield pd.DataFrame([(key[0], None, stage or "计算中", progress, None, True)], columns=OUT_COLUMNS)
-    else:
-        for pdf in batches:
-            out = []
-            for row in pdf.sort_values("seq").itertuples(index=False):
-                ms = row.ts.timestamp() * 1000.0
-                if start is None:
-                    start, estimate = ms, int(row.estimate)
-                stage = row.stage if isinstance(row.stage, str) else stage
-                progress = min(MAX_PERCENT, int((ms - start) / 1000.0 / max(1, estimate) * 100))
-                out.append((key[0], row.seq, stage or "处理中", progress, row.message, False))
-            yield pd.DataFrame(out, columns=OUT_COLUMNS)
-    state.update((stage, start, progress, estimate))
-    state.setTimeoutDuration(HEARTBEAT_MS)
 
+def percent_at(elapsed_ms: float, estimate: int) -> int:
+    return max(0, min(MAX_PERCENT, int(elapsed_ms / 1000.0 / max(1, estimate) * 100)))
 
-OUT_COLUMNS = ["task_id", "seq", "stage", "progress", "message", "heartbeat"]
 
+def progress_stream(lines: DataFrame, heartbeat_ms: int = HEARTBEAT_MS, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Progress events of a stream of log lines, with a heartbeat after ``heartbeat_ms`` of silence until a task ends.
 
-def progress_stream(lines: DataFrame) -> DataFrame:
-    """Progress events of a stream of log lines, with a heartbeat after ten silent seconds."""
-    staged = lines.where("message <> ''").select("task_id", "seq", "ts", "message", stage_of(F.col("message")).alias("stage"), estimate_seconds().alias("estimate"))
-    return staged.groupBy("task_id").applyInPandasWithState(_advance, OUT_SCHEMA, STATE_SCHEMA, "append", "ProcessingTimeTimeout")
+    A task ends with a line whose ``status`` is one of ``FINAL``, where the lines have that column; a later line of the
+    same id starts it anew.  Needs the RocksDB state store, as every query with timers.
+    """
+    if "RocksDB" not in lines.sparkSession.conf.get(*STATE_STORE):
+        raise RuntimeError(f"set {STATE_STORE[0]} to the RocksDB provider")
+    final = F.coalesce(F.col("status").isin(*FINAL), F.lit(False)) if "status" in lines.columns else F.lit(False)
+    staged = lines.where("message <> ''").select("task_id", "seq", "ts", "message", stage_of(F.col("message")).alias("stage"),
+                                                 estimate_seconds().alias("estimate"), final.alias("final"))
+    return staged.groupBy("task_id").transformWithStateInPandas(Progress(heartbeat_ms, ttl_ms), OUT_SCHEMA, "append", "processingTime")
 
 
 def replay(lines: DataFrame, n: int = 20) -> DataFrame:

@@ -25,22 +25,75 @@ def drain(stream, name, tmp_path, mode="append"):
 LINES = ["引擎启动", "x", "GroundingDINO 加载完成", "[SAM2] 级联分割执行中", "plain", "写盘 result.psb"]
 
 
+def watch(spark, stream, name, tmp_path, until):
+    """Rows of a query that timers keep running: stopped once ``until(table)`` holds."""
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp_{name}")).trigger(processingTime="1 second").start()
+    end = time.time() + 90
+    while time.time() < end and q.isActive and not until(spark.table(name)):
+        time.sleep(0.5)
+    state = q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress else None
+    q.stop()
+    assert q.exception() is None
+    return spark.table(name), state
+
+
 def test_progress_stream_equals_batch(spark, tmp_path):
-    rows = [{"task_id": f"t{k}", "seq": i * 2 + k, "ts": f"2024-01-01T00:0{i}:1{k}Z", "message": m, "preset": "textile_damask"}
+    # the fourth line is dated before the third: the percent must not fall
+    rows = [{"task_id": f"t{k}", "seq": i * 2 + k, "ts": f"2024-01-01T00:0{i if i != 3 else 1}:1{k}Z", "message": m, "preset": "textile_damask"}
             for i, m in enumerate(LINES) for k in range(2)]
     write_parts(tmp_path / "log", rows)
-    out = pr.progress_stream(pr.read_log_stream(spark, str(tmp_path / "log")))
-    # timers keep such a query running for ever: wait for its rows, then stop it
-    q = out.writeStream.format("memory").queryName("progress_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
-    end = time.time() + 60
-    while time.time() < end and q.isActive and spark.table("progress_out").where("NOT heartbeat").count() < len(rows):
-        time.sleep(0.5)
-    q.stop()
-    got = spark.table("progress_out").where("NOT heartbeat").select("task_id", "seq", "stage", "progress")
+    got, _ = watch(spark, pr.progress_stream(pr.read_log_stream(spark, str(tmp_path / "log"))), "progress_out", tmp_path,
+                   lambda t: t.where("NOT heartbeat").count() >= len(rows))
+    got = got.where("NOT heartbeat").select("task_id", "seq", "stage", "progress")
     want = pr.progress_batch(spark.read.schema(pr.LOG_SCHEMA).json(str(tmp_path / "log"))).select("task_id", "seq", "stage", "progress")
     assert got.count() == len(rows)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     assert want.where("progress > 95").count() == 0
+    rises = [r.progress for r in want.where("task_id = 't0'").orderBy("seq").collect()]
+    assert rises == sorted(rises) and rises[3] == rises[2] > 0
+
+
+def test_heartbeats_follow_the_log_and_end_with_the_task(spark, tmp_path):
+    # an old log: the machine's clock would put every heartbeat at the cap at once
+    rows = [{"task_id": t, "seq": i, "ts": f"2020-01-01T00:00:{10 * i:02d}Z", "message": m, "preset": "other", "status": s}
+            for t, end in (("open", None), ("done", "completed")) for i, (m, s) in enumerate([("seed = 1", None), ("x", None), ("y", end)])]
+    write_parts(tmp_path / "log", rows, 2)
+    src = pr.read_log_stream(spark, str(tmp_path / "log"), pr.LOG_SCHEMA + ", status string")
+    got, kept = watch(spark, pr.progress_stream(src, heartbeat_ms=2000), "beats_out", tmp_path,
+                      lambda t: t.where("heartbeat AND task_id = 'open'").count() >= 2 and t.where("NOT heartbeat").count() == len(rows))
+    beats = got.where("heartbeat").collect()
+    last = 20 * 100 // 240  # the third line, twenty seconds in
+    after = [r.progress for r in beats if r.task_id == "open"]
+    assert len(after) >= 2 and after == sorted(after) and all(r.stage == "初始化引擎" for r in beats)
+    assert all(p < 95 for p in after) and after[-1] >= last
+    ended = got.where("task_id = 'done' AND NOT heartbeat").orderBy("seq").collect()
+    assert [r.progress for r in ended] == [0, 10 * 100 // 240, last]
+    # the four values and the timer of the open task (and its index entry) are all that is left
+    assert kept is not None and 0 < kept <= 8
+
+
+def test_tasks_go_after_their_time_to_live(spark, tmp_path):
+    write_parts(tmp_path / "log", [{"task_id": "lost", "seq": 0, "ts": "2020-01-01T00:00:00Z", "message": "seed = 1", "preset": "other"}], 1)
+    out = pr.progress_stream(pr.read_log_stream(spark, str(tmp_path / "log")), heartbeat_ms=1000, ttl_ms=4000)
+    seen = {"n": -1, "same": 0}
+
+    def quiet(t):
+        n = t.count()
+        seen["same"], seen["n"] = (seen["same"] + 1 if n == seen["n"] and n else 0), n
+        return seen["same"] > 12
+    got, kept = watch(spark, out, "lost_out", tmp_path, quiet)
+    assert seen["same"] > 12 and got.where("heartbeat").count() >= 1
+
+
+def test_percent_keeps_its_height_over_chunks(spark):
+    from inkloom.operators.ranking import running_max
+    rows = [("t", i, (i * 37) % 101) for i in range(200)] + [("u", i, 200 - i) for i in range(50)]
+    got = {(r.k, r.o): r.m for r in running_max(spark.createDataFrame(rows, "k string, o long, v int"), ["k"], "o", "v", "m", chunk=16).collect()}
+    best = {}
+    for k, o, v in rows:
+        best[k] = max(best.get(k, v), v)
+        assert got[k, o] == best[k]
+    assert len(got) == len(rows)
 
 
 def test_stage_rules(spark):

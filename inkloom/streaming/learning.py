@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.episodes import admission_reason, attributions, weight_updates
 from ..operators.ranking import previous_value
+from ..sources.index import index_rows, upsert_index
 
 BUSY = ("queued", "running", "completed")
 DECISION_SCHEMA = "episode_id string, seq long, decision string"
@@ -97,3 +98,16 @@ def finalize(episodes: DataFrame, audits: DataFrame, wait: str = "1 day") -> Dat
     on = (F.col("episode_id") == F.col("_id")) & (F.col("audited_at") >= F.col("ts")) & bound
     j = e.join(a, on).drop("_id")
     return j.withColumn("reason", admission_reason(F.col("dims"), F.col("output_mode"))).withColumn("admitted", F.col("reason") == "ok")
+
+
+def refresh_index(finalized: DataFrame, path: str, checkpoint: str, size: int = 128):
+    """Writer that puts every finalized episode into the stored index at ``path``, one upsert per micro-batch.
+
+    An episode audited twice in a batch counts as its last audit says; one that fails a later audit stays in the index
+    as not audited, so searches leave it out.  ``checkpoint`` names the stream, as its batches are counted from there.
+    """
+    def step(batch: DataFrame, epoch: int) -> None:
+        last = batch.groupBy("episode_id").agg(F.max_by(F.struct("embedding", "reason"), F.struct("audited_at", "reason")).alias("_r")).select("episode_id", "_r.*")
+        upsert_index(index_rows(last, size), path, epoch, checkpoint)
+
+    return finalized.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

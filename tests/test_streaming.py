@@ -162,3 +162,47 @@ def test_finalize_stream_equals_batch(spark, tmp_path):
 def test_replay_keeps_the_last_lines(spark):
     df = spark.createDataFrame([("t", i) for i in range(50)], "task_id string, seq long")
     assert sorted(r.seq for r in pr.replay(df).collect()) == list(range(30, 50))
+
+
+def test_admitted_episodes_are_found_after_one_batch(spark, tmp_path):
+    from inkloom.operators import similarity as sim
+    from inkloom.operators.episodes import DIM_KEYS
+    from inkloom.sources import index as ix
+    from inkloom.sources.versions import VersionLog
+    ok = {k: {"passed": True, "evaluated": True, "na": False} for k in DIM_KEYS}
+    bad = {**ok, DIM_KEYS[0]: {"passed": False, "evaluated": True, "na": False}}
+    eps = [{"episode_id": f"e{i}", "ts": "2024-01-01T00:00:00Z", "embedding": [float(j == i) for j in range(8)]} for i in range(4)]
+    auds = [{"episode_id": "e0", "ts": "2024-01-01T01:00:00Z", "dims": ok, "output_mode": "plate"},
+            {"episode_id": "e1", "ts": "2024-01-01T02:00:00Z", "dims": bad, "output_mode": "plate"},
+            {"episode_id": "e2", "ts": "2024-01-01T02:00:00Z", "dims": ok, "output_mode": "plate"},
+            {"episode_id": "e2", "ts": "2024-01-01T03:00:00Z", "dims": bad, "output_mode": "plate"}]
+    write_parts(tmp_path / "eps", eps, 1)
+    write_parts(tmp_path / "aud", auds[:3], 1)
+    s1 = "episode_id string, ts timestamp, embedding array<float>, output_mode string"
+    s2 = "episode_id string, ts timestamp, dims map<string,struct<passed:boolean,evaluated:boolean,na:boolean>>, output_mode string"
+    path, cp = str(tmp_path / "index"), str(tmp_path / "cp")
+
+    def refresh():
+        done = le.finalize(pr.read_log_stream(spark, str(tmp_path / "eps"), s1), pr.read_log_stream(spark, str(tmp_path / "aud"), s2))
+        q = le.refresh_index(done, path, cp, size=8).trigger(availableNow=True).start()
+        assert q.awaitTermination(90) and q.exception() is None
+
+    def found():
+        ask = spark.createDataFrame([(f"q{i}", [float(j == i) for j in range(8)]) for i in range(4)], "q string, v array<float>")
+        return {(r.q, r.task_id) for r in sim.top_similar(ask, ix.load_index(spark, path), query_id="q", query_vec="v").collect()}
+
+    assert ix.load_index(spark, path).count() == 0
+    refresh()
+    assert found() == {("q0", "e0"), ("q2", "e2")}
+    # a later audit fails: the row is replaced
+    (tmp_path / "aud" / "99.json").write_text(json.dumps(auds[3], ensure_ascii=False))
+    refresh()
+    assert found() == {("q0", "e0")}
+    assert {(r.task_id, r.audit_passed) for r in ix.load_index(spark, path).collect()} == {("e0", True), ("e1", False), ("e2", False)}
+    # a batch that comes again changes nothing, neither rows nor the published number
+    number, entry = VersionLog(spark, path).current()
+    again = spark.createDataFrame([("e9", [1.0] * 8, True)], ix.INDEX_SCHEMA)
+    assert not ix.upsert_index(again, path, entry["batches"][cp], cp)
+    assert VersionLog(spark, path).current() == (number, entry)
+    assert ix.upsert_index(again, path, 0, "another stream")
+    assert ix.load_index(spark, path).count() == 4

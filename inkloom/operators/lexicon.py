@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ranking import previous_row
 
 # Categories that are always searched for, in insertion order.
 CORE_CATEGORIES = ("seal", "calligraphy", "repair_marks")
@@ -293,20 +294,14 @@ def inherit_priors(categories: DataFrame, priors: DataFrame) -> DataFrame:
 
 # ---- version chain ---------------------------------------------------------
 
-def version_parents(versions: DataFrame, bucket: int = 86400) -> DataFrame:
+def version_parents(versions: DataFrame) -> DataFrame:
     """Each version's parent: its own or else the latest created before it.
 
-    Time buckets keep every window small; the first version of a bucket takes
-    the last one of the bucket before it, found on one row per bucket.
+    The total order is range-partitioned and one row per partition is carried on, so no pile of versions of one day or
+    second meets in a task.
     """
-    tagged = versions.withColumn("_b", F.floor(F.col("created_at") / bucket))
-    order = ("created_at", "version_id")
-    prev = F.lag("version_id").over(Window.partitionBy("_b").orderBy(*order))
-    edge = tagged.groupBy("_b").agg(F.max_by("version_id", F.struct(*order)).alias("_last"))
-    edge = edge.withColumn("_before", F.lag("_last").over(Window.orderBy("_b"))).select("_b", "_before")
-    joined = tagged.withColumn("_prev", prev).join(edge, "_b")
-    return joined.withColumn("parent_version_id", F.coalesce("parent_version_id", "_prev", "_before")) \
-        .select(*versions.columns)
+    return previous_row(versions, ["created_at", "version_id"], "version_id", "_before") \
+        .withColumn("parent_version_id", F.coalesce("parent_version_id", "_before")).select(*versions.columns)
 
 
 def activate_version(versions: DataFrame, version_id: str, now: int) -> DataFrame:

@@ -22,6 +22,20 @@ def global_rank(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame
     return parts.withColumn("_l", local).join(before, "_p").withColumn(name, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before")
 
 
+def previous_row(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the value of the row before in the total order of ``order``, NULL for the first.
+
+    Rows are range-partitioned and stored as in :func:`global_rank`; the first row of a partition takes the last one of
+    the partition before it, found on one row per partition.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    last = parts.groupBy("_p").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_e"))
+    carry = last.withColumn("_c", F.lag("_e").over(Window.orderBy("_p"))).select("_p", "_c")
+    inner = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("_p").orderBy(*order))
+    return parts.withColumn("_i", inner).join(carry, "_p").withColumn(
+        name, F.when(F.col("_i").isNotNull(), F.col("_i.v")).otherwise(F.col("_c.v"))).drop("_p", "_i", "_c")
+
+
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
     """Adds the value of the row before, per key, ordered by the number ``order``.
 

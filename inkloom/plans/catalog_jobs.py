@@ -7,7 +7,10 @@ from ..operators import episodes as ep
 from ..operators import masks as mk
 from ..operators import rules
 from ..operators import similarity as sim
+from ..session import new_folder
 from ..sources import index as ix
+from ..sources import lexicon_store as ls
+from ..sources import logs
 from ..sources import presets as ps
 from ..streaming import learning as le
 from ..streaming import progress as pr
@@ -208,6 +211,45 @@ def _(v):
     return ix.index_rows(e, 64).select("task_id", "audit_passed", F.size("embedding").cast("long").alias("n"))
 
 
+@query("published_index_s7_t9", f"SELECT e.vec_id AS task_id, e.vec_id % 5 <> 0 AND {_admit_sql()} = 'ok' AS audit_passed, len(e.embedding) AS n FROM embeddings e JOIN episodes ON seq = e.vec_id", ("episodes",))
+def _(v):
+    e = _dims(v).join(v.embeddings.select(F.col("vec_id").alias("seq"), "embedding"), "seq")
+    rows = ix.index_rows(e.select(F.col("seq").alias("episode_id"), "embedding", ep.admission_reason(F.col("dims"), F.col("output_mode")).alias("reason")), 64)
+    path, failed = new_folder(v.spark), rows.where("task_id % 5 = 0").withColumn("audit_passed", F.lit(False))
+    for batch in range(3):
+        ix.upsert_index(rows.where(F.pmod("task_id", F.lit(3)) == batch), path, batch, "audits")
+    ix.upsert_index(failed, path, 3, "audits")  # later audits of the same episodes
+    ix.upsert_index(rows, path, 2, "audits")    # a batch that comes again changes nothing
+    return ix.load_index(v.spark, path).select("task_id", "audit_passed", F.size("embedding").cast("long").alias("n"))
+
+
+@query("stored_episodes_s4_s5", """WITH p AS (SELECT l_orderkey AS seq, arg_max('p' || l_partkey, l_linenumber * 10000000 + l_partkey) FILTER (l_returnflag = 'R') AS preset, arg_max('a' || l_partkey, l_linenumber * 10000000 + l_partkey) AS artifact FROM lineitem GROUP BY 1)
+SELECT episode_id, e.seq, output_mode, coalesce(p.preset, e.preset) AS preset, p.artifact FROM episodes e LEFT JOIN p USING (seq)""", ("episodes",))
+def _(v):
+    path, rows = new_folder(v.spark), v.episodes.select("episode_id", "seq", "output_mode", "preset")
+    for mode in ("plate", "design", "both"):
+        logs.append_episodes(rows.where(F.col("output_mode") == mode), path)
+    logs.patch_episodes(v.lineitem.select(F.concat(F.lit("ep_"), "l_orderkey").alias("episode_id"), F.expr("l_linenumber * 10000000L + l_partkey").alias("seq"),
+                                          F.expr("CASE WHEN l_returnflag = 'R' THEN 'p' || l_partkey END").alias("preset"), F.concat(F.lit("a"), "l_partkey").alias("artifact")), path)
+    return logs.stored_episodes(v.spark, path).select("episode_id", "seq", "output_mode", "preset", "artifact")
+
+
+@query("published_prompts_s17_g10", """SELECT 'v1' AS version_id, true AS active, 'v1,v2' AS kept, category_id, prompt, weight, source FROM prompts
+UNION ALL SELECT 'v2', false, 'v1,v2', category_id, prompt, weight * 0.5e0, source FROM prompts""", ("prompts",))
+def _(v):
+    path, t = new_folder(v.spark), 1_700_000_000
+    ls.create_version(v.spark, path, "v1", {"categories": v.categories, "affinity": v.affinity, "prompts": v.prompts}, t, activate=True)
+    ls.create_version(v.spark, path, "v2", {"prompts": v.prompts.withColumn("weight", F.col("weight") * 0.5)}, t + 100, activate=True)
+    ls.create_version(v.spark, path, "v3", {"prompts": v.prompts.where("weight >= 0.3")}, t + 200)
+    ls.roll_back(v.spark, path, "v2", t + 300)
+    ls.expire(v.spark, path, t + 400)  # v3 was never activated
+    kept = ",".join(sorted(r["version_id"] for r in ls.versions(v.spark, path).select("version_id").collect()))
+    active = ls.active_version(v.spark, path).first()["version_id"]
+    rows = [ls.load(v.spark, path, named)["prompts"].select(F.lit(name).alias("version_id"), F.lit(name == active).alias("active"), F.lit(kept).alias("kept"),
+                                                            "category_id", "prompt", "weight", "source") for name, named in (("v1", None), ("v2", "v2"))]
+    return rows[0].unionByName(rows[1])
+
+
 def _baseline(v):
     m = _metrics(v).withColumn("metrics", F.when(F.col("has_report"), F.col("metrics")))
     return ix.extract_baseline(v.episodes.select("episode_id"), m.select("episode_id", "metrics", "passed"), "episode_id")

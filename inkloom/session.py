@@ -44,6 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[app]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Name of a folder nobody uses, in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/inkloom-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -51,6 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     every earlier round.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/inkloom-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

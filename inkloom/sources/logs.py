@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.episodes import patch_records
 from ..schemas import EPISODE_SCHEMA
+from .versions import VersionLog, part_folders, union
 
 # Manifest files by preference.
 MANIFEST_NAMES = ("result.plate.manifest.json", "result.design.manifest.json", "result.manifest.json", "manifest.json")
@@ -70,6 +72,40 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def append_episodes(episodes: DataFrame, path: str) -> None:
+    """Add records to a stored episode log; readers see all of them or none."""
+    log = VersionLog(episodes.sparkSession, path)
+    number, entry = log.current()
+    log.publish(number + 1, {"parts": log.with_part(entry.get("parts", []), episodes, union)})
+
+
+def stored_episodes(spark: SparkSession, path: str) -> DataFrame:
+    log = VersionLog(spark, path)
+    return union([log.read(p["folder"]) for p in log.current()[1]["parts"]])
+
+
+def patch_episodes(patch: DataFrame, path: str, key: str = "episode_id", order: str = "seq", keep: int = 2) -> int:
+    """Publish the log with patched records and give the number of ids that were found.
+
+    Fields that a patch leaves NULL stay; of several patches of an id the last value by ``order`` counts, field by
+    field.  Fields the log lacks are added.  The ``keep`` newest states stay on disk.
+    """
+    spark = patch.sparkSession
+    log = VersionLog(spark, path)
+    number, entry = log.current()
+    base = stored_episodes(spark, path)
+    fields = [c for c in patch.columns if c not in (key, order)]
+    merged = patch.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields])
+    for c in fields:
+        if c not in base.columns:
+            base = base.withColumn(c, F.lit(None).cast(patch.schema[c].dataType))
+    found = merged.select(key).join(base.select(key), key, "left_semi").count()
+    if found:
+        log.publish(number + 1, {"parts": [log.part(patch_records(base, merged, key))]})
+        log.forget(keep, part_folders)
+    return found
+
+
 def page_with_total(df: DataFrame, limit: int, offset: int = 0, order: str = "seq") -> DataFrame:
     """Newest rows of one page, each with the total row count.
 

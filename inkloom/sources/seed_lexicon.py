@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import VERSION_SCHEMA
+from . import lexicon_store
+
 # Families in column order of the affinity table below.
 FAMILIES = ("金地屏风", "宣纸水墨", "绢本工笔", "油画布", "其他")
 # Id, Chinese name, English name, template, confidence, affinity per family.
@@ -80,6 +83,11 @@ LEAF_PARENTS = (
 )
 
 
+PRIOR_SCHEMA = "category_id string, area_budget_min double, area_budget_max double, elongation_mean double, elongation_std double, " \
+               "compactness_mean double, compactness_std double, n_components_mode int, n_samples int, updated_at long"
+NEGATIVE_SCHEMA = "id long, category_id string, prompt string, context_fingerprint array<float>, reject_reason string, created_at long"
+
+
 def insert_missing(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Existing rows plus those new ones whose key is not there yet."""
     return existing.unionByName(new.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
@@ -111,11 +119,19 @@ def build(spark: SparkSession, now: int) -> dict[str, DataFrame]:
                                     "id long, category_id string, prompt string, weight double, lang string, source string, n_hits int, "
                                     "n_accept int, n_reject int, n_images int, last_hit_at long, created_at long")
     aliases = spark.createDataFrame([(c, p, k) for c, p, k in ALIASES], "category_id string, preset_name string, priority int")
-    versions = spark.createDataFrame([("v0-seed", None, "initial lexicon", "passed", now, now)],
-                                     "version_id string, parent_version_id string, changeset string, regression_status string, "
-                                     "created_at long, activated_at long")
-    return {"categories": attach_tree(insert_missing(cats, nodes), leaves), "affinity": aff, "prompts": prompts,
-            "aliases": aliases, "versions": versions}
+    # The row of the first version.
+    versions = spark.createDataFrame([("v0-seed", None, '{"categories": 20, "prompts": 50, "affinity": 100, "source": "human_curated"}',
+                                       "初始化：20 类目 + 50 提示词 + 100 材质亲和度", "人工校准种子数据", "passed", now, now)], VERSION_SCHEMA)
+    return {"categories": attach_tree(insert_missing(cats, nodes), leaves), "affinity": aff, "prompts": prompts, "aliases": aliases,
+            "priors": spark.createDataFrame([], PRIOR_SCHEMA), "negative_samples": spark.createDataFrame([], NEGATIVE_SCHEMA), "versions": versions}
+
+
+def publish(spark: SparkSession, path: str, now: int) -> None:
+    """Store a fresh lexicon as its first, active version."""
+    tables = build(spark, now)
+    first = tables.pop("versions").first()
+    lexicon_store.create_version(spark, path, first["version_id"], tables, now, changeset=first["changeset"], evidence=first["evidence"],
+                                 status=first["regression_status"], activate=True)
 
 
 def save(tables: dict[str, DataFrame], path: str) -> None:
@@ -124,4 +140,4 @@ def save(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("categories", "affinity", "prompts", "aliases", "versions")}
+    return {n: spark.read.parquet(f"{path}/{n}") for n in (*lexicon_store.TABLES, "versions")}

@@ -60,10 +60,17 @@ def task_outcomes(tasks: DataFrame, detections: DataFrame, prompts: DataFrame) -
 
 
 def run_tasks(decisions: DataFrame, detections: DataFrame, prompts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Learn for every queued task of each micro-batch and hand the status rows to ``sink``."""
+    """Learn for every queued task of each micro-batch; ``sink`` gets its rows as running, then with their outcome.
+
+    Only detections of the batch's episodes are aggregated.  A batch that comes again gives the same rows.
+    """
     def step(batch: DataFrame, epoch: int) -> None:
-        queued = batch.where("decision = 'queued'").select("episode_id").distinct()
-        sink(task_outcomes(queued, detections, prompts), epoch)
+        queued = batch.where("decision = 'queued'").select("episode_id").distinct().persist()
+        if not queued.isEmpty():
+            none = F.lit(0).cast("long")
+            sink(queued.select("episode_id", F.lit("running").alias("status"), none.alias("n_suggestions"), none.alias("n_unknown")), epoch)
+            sink(task_outcomes(queued, detections.join(queued, "episode_id", "left_semi"), prompts), epoch)
+        queued.unpersist()
 
     return decisions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 

@@ -121,13 +121,20 @@ def test_learning_runs_per_batch(spark, tmp_path):
                                 "episode_id string, seq long, category_id string, layer_name string, prompt string, quality_gate_passed boolean, diffuse_gate_passed boolean") \
         .withColumn("quality_gate_reason", F.lit(None).cast("string")).withColumn("diffuse_gate_reason", F.lit(None).cast("string"))
     prompts = spark.createDataFrame([("a", "p", 1.0, "seed")], "category_id string, prompt string, weight double, source string")
-    got = {}
+    got, seen = {}, []
+
+    def sink(df, _epoch):
+        rows = df.collect()
+        seen.extend((r.episode_id, r.status) for r in rows)
+        got.update({r.episode_id: (r.status, r.n_suggestions, r.n_unknown) for r in rows})
+
     src = pr.read_log_stream(spark, str(tmp_path / "dec"), "episode_id string, seq long, decision string")
-    q = le.run_tasks(src, det, prompts, lambda df, _e: got.update({r.episode_id: (r.status, r.n_suggestions, r.n_unknown) for r in df.collect()}), str(tmp_path / "cp")) \
+    q = le.run_tasks(src, det, prompts, sink, str(tmp_path / "cp")) \
         .trigger(availableNow=True).start()
     assert q.awaitTermination(90)
     q.stop()
     assert got == {"1": ("completed", 1, 0), "2": ("no_op", 0, 1), "9": ("failed", 0, 0)}
+    assert len(seen) == 6 and all(seen.index((e, "running")) < seen.index((e, got[e][0])) for e in got)
 
 
 def test_requests_close_in_a_stream(spark, tmp_path):

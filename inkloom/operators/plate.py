@@ -12,6 +12,7 @@ from ..functions import color
 from . import runs
 from .components import component_stats, connected_components
 from .grid import close_ellipse, dilate_ellipse, ellipse, gaussian, gaussian_weights, open_ellipse
+from .phase import phase_shift
 from .tiles import TILE, Tile, on_tiles, smooth
 
 PX = ["image_id", "y", "x"]
@@ -154,18 +155,16 @@ def occlusion_metrics(zones: DataFrame, canvases: DataFrame, max_ratio: float =
 # ---- cyclic seam -----------------------------------------------------------
 
 def seam_shift(pixels: DataFrame, canvases: DataFrame, band: int = 32, max_shift: int = 16) -> DataFrame:
-    """Whole-pixel shift that best lines the bottom band up with the top band.
+    """Whole-pixel shift that lines the bottom band up with the top band, by phase correlation; 0 beyond ``max_shift``.
 
-    The largest circular correlation replaces phase correlation; the two may
-    differ below one pixel.
+    Images of fewer than four rows, or without pixels in the bands, have the shift 0.
     """
-    j = pixels.select(*PX, "gray").join(canvases, "image_id").withColumn("_b", F.least(F.lit(band), F.floor(F.col("h") / 4)))
-    top = j.where(F.col("y") < F.col("_b")).select("image_id", F.col("y").alias("i"), "x", F.col("gray").alias("t"))
-    bot = j.where(F.col("y") >= F.col("h") - F.col("_b")).select("image_id", (F.col("y") - F.col("h") + F.col("_b")).alias("i"), "x", "w", F.col("gray").alias("g"))
-    moved = bot.withColumn("s", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift)))).select(
-        "image_id", "i", F.pmod(F.col("x") + F.col("s"), F.col("w")).alias("x"), "s", "g")
-    corr = moved.join(top, ["image_id", "i", "x"]).groupBy("image_id", "s").agg(F.sum(F.col("g").cast("long") * F.col("t")).alias("c"))
-    return corr.groupBy("image_id").agg(F.min_by("s", F.struct(-F.col("c"), F.abs("s"), F.col("s"))).alias("shift_x"))
+    j = pixels.select(*PX, "gray").join(canvases, "image_id").withColumn("rows", F.least(F.lit(band), F.floor(F.col("h") / 4)).cast("int"))
+    top, low = F.col("y") < F.col("rows"), F.col("h") - F.col("rows")
+    cut = j.where(top | (F.col("y") >= low)).select("image_id", F.when(top, F.col("y")).otherwise(F.col("y") - low).alias("i"), "x", "rows", "w",
+                                                     F.when(top, 0).otherwise(F.col("gray")).alias("a"), F.when(top, F.col("gray")).otherwise(0).alias("b"))
+    found = phase_shift(cut.where("rows > 0"), max_shift)
+    return canvases.select("image_id").join(found, "image_id", "left").select("image_id", F.coalesce("shift_x", F.lit(0)).alias("shift_x"))
 
 
 def harmonize_seam(pixels: DataFrame, canvases: DataFrame, shifts: DataFrame | None = None, band: int = 32, channel: str = "gray") -> DataFrame:

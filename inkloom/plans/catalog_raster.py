@@ -324,11 +324,22 @@ def _(v):
     return pl.occlusion_metrics(_zones(v), v.canvases)
 
 
+# the band's two-dimensional transform, one direction after the other; the surface's peak is the centroid of 5 x 5 places
 _SEAM = """sb AS (SELECT image_id, y, x, gray, h, w, CAST(least(32, h // 4) AS INT) AS b FROM pixels JOIN canvases USING (image_id)), tp AS (SELECT image_id, y AS i, x, gray AS t FROM sb WHERE y < b), bt AS (SELECT image_id, y - h + b AS i, y, x, gray AS g, w, b FROM sb WHERE y >= h - b),
-cr AS (SELECT bt.image_id, s, CAST(sum(g * t) AS BIGINT) AS c FROM bt, generate_series(-5, 5) z(s), tp WHERE tp.image_id = bt.image_id AND tp.i = bt.i AND tp.x = ((bt.x + s) % w + w) % w GROUP BY 1, 2), shf AS (SELECT image_id, min_by(s, (-c, abs(s), s)) AS shift_x FROM cr GROUP BY 1)"""
-
-
-@query("seam_shift_w12", f"WITH {_SEAM} SELECT image_id, CAST(shift_x AS INT) AS shift_x FROM shf", P)
+smooth AS (SELECT CAST(pow(2, p) * pow(3, q) * pow(5, r) AS BIGINT) AS v FROM generate_series(0, 12) a(p), generate_series(0, 8) c(q), generate_series(0, 5) d(r)),
+sz AS (SELECT image_id, (SELECT min(v) FROM smooth WHERE v >= w) AS n, (SELECT min(v) FROM smooth WHERE v >= least(32, h // 4)) AS m FROM canvases WHERE h >= 4),
+bd AS (SELECT image_id, i, x, sum(g) AS g, sum(t) AS t FROM (SELECT image_id, i, x, g, 0 AS t FROM bt UNION ALL SELECT image_id, i, x, 0, t FROM tp) GROUP BY 1, 2, 3),
+f1 AS (SELECT image_id, i, k, n, m, sum(g * cos(u)) AS gr, -sum(g * sin(u)) AS gi, sum(t * cos(u)) AS tr, -sum(t * sin(u)) AS ti FROM (SELECT *, 2 * pi() * (k * x % n) / n AS u FROM (SELECT bd.*, n, m, unnest(range(n)) AS k FROM bd JOIN sz USING (image_id))) GROUP BY 1, 2, 3, 4, 5),
+f2 AS (SELECT image_id, q, k, n, m, sum(gr * cos(u) + gi * sin(u)) AS ar, sum(gi * cos(u) - gr * sin(u)) AS ai, sum(tr * cos(u) + ti * sin(u)) AS br, sum(ti * cos(u) - tr * sin(u)) AS bi FROM (SELECT *, 2 * pi() * (q * i % m) / m AS u FROM (SELECT *, unnest(range(m)) AS q FROM f1)) GROUP BY 1, 2, 3, 4, 5),
+f3 AS (SELECT image_id, q, k, n, m, pr * sqrt(pr * pr + pi * pi) / (pr * pr + pi * pi + 1.1920929e-07) AS cr, pi * sqrt(pr * pr + pi * pi) / (pr * pr + pi * pi + 1.1920929e-07) AS ci FROM (SELECT *, ar * br + ai * bi AS pr, ai * br - ar * bi AS pi FROM f2)),
+f4 AS (SELECT image_id, r, k, n, m, sum(cr * cos(u) - ci * sin(u)) / m AS cr, sum(cr * sin(u) + ci * cos(u)) / m AS ci FROM (SELECT *, 2 * pi() * (q * r % m) / m AS u FROM (SELECT *, unnest(range(m)) AS r FROM f3)) GROUP BY 1, 2, 3, 4, 5),
+f5 AS (SELECT image_id, n, (r + m // 2) % m AS y, (z + n // 2) % n AS x, round(sum(cr * cos(u) - ci * sin(u)) / n, 9) AS v FROM (SELECT *, 2 * pi() * (k * z % n) / n AS u FROM (SELECT *, unnest(range(n)) AS z FROM f4)) GROUP BY 1, 2, 3, 4),
+pk AS (SELECT image_id, n, y AS py, x AS px FROM f5 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) = 1),
+ce AS (SELECT image_id, round_even(any_value(pk.n) // 2 - sum(v * x) / (sum(v) + 2.220446049250313e-16), 0) AS s FROM f5 JOIN pk USING (image_id) WHERE abs(y - py) <= 2 AND abs(x - px) <= 2 GROUP BY 1),
+shf AS (SELECT image_id, CAST(CASE WHEN abs(s) <= 5 THEN s ELSE 0 END AS INT) AS shift_x FROM canvases LEFT JOIN ce USING (image_id))"""
+
+
+@query("seam_shift_w12", f"WITH {_SEAM} SELECT image_id, coalesce(shift_x, 0) AS shift_x FROM shf", P)
 def _(v):
     return pl.seam_shift(v.pixels, v.canvases, max_shift=5)
 

@@ -59,13 +59,3 @@ def fill_forward(df: DataFrame, keys: list[str], order: str, value: str, name: s
     carry = ends.withColumn("_c", F.last("_e", ignorenulls=True).over(back)).select(*keys, "_k", "_c")
     return t.withColumn("_i", F.last(value, ignorenulls=True).over(w)).join(carry, [*keys, "_k"]).withColumn(
         name, F.coalesce("_i", "_c")).drop("_k", "_i", "_c")
-
-
-def running_max(df: DataFrame, keys: list[str], order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
-    """Adds the largest value up to each row, per key, by the same chunks."""
-    t = df.withColumn("_k", F.floor(F.col(order) / chunk))
-    w = Window.partitionBy(*keys, "_k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ends = t.groupBy(*keys, "_k").agg(F.max(value).alias("_e"))
-    back = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.withColumn("_c", F.max("_e").over(back)).select(*keys, "_k", "_c")
-    return t.withColumn("_i", F.max(value).over(w)).join(carry, [*keys, "_k"]).withColumn(name, F.greatest("_i", "_c")).drop("_k", "_i", "_c")

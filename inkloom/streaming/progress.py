@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ranking import fill_forward, running_max
 from ..operators.rules import PRESET_SECONDS, stage_of
 
 LOG_SCHEMA = "task_id string, seq long, ts timestamp, message string, preset string"
@@ -33,20 +32,28 @@ def estimate_seconds(preset: str = "preset") -> F.Column:
     return F.coalesce(table[F.col(preset)], F.lit(DEFAULT_SECONDS))
 
 
-def progress_batch(lines: DataFrame) -> DataFrame:
+def progress_batch(lines: DataFrame, chunk: int = 4096) -> DataFrame:
     """Stage and percent per log line: the result a stream of the same lines ends with.
 
     The clock starts at the first line and the percent never falls, also where a line's time lies before the one above
     it.  Empty and null messages are no lines.  A final ``status`` is not looked at: one task id is one run here.
+
+    Windows run inside chunks of the line number; one row per chunk carries the last stage, the latest time and the
+    task's first line on, so a task with most of the lines is split.
     """
-    kept = lines.where("message <> ''")
-    start = kept.groupBy("task_id").agg(F.min_by(F.struct(F.col("ts").alias("_start"), estimate_seconds().alias("_est")), "seq").alias("_f")).select("task_id", "_f.*")
-    secs = F.col("ts").cast("double") - F.col("_start").cast("double")
-    pct = F.greatest(F.lit(0), F.least(F.lit(MAX_PERCENT), F.floor(secs / F.greatest(F.lit(1), F.col("_est")) * 100).cast("int")))
-    timed = kept.join(start, "task_id").select("task_id", "seq", "message", stage_of(F.col("message")).alias("_st"), pct.alias("_pct"))
-    staged = fill_forward(timed, ["task_id"], "seq", "_st", "stage")
-    risen = running_max(staged, ["task_id"], "seq", "_pct", "progress")
-    return risen.select("task_id", "seq", F.coalesce("stage", F.lit("处理中")).alias("stage"), "progress", "message")
+    kept = lines.where("message <> ''").select("task_id", "seq", "ts", "message", stage_of(F.col("message")).alias("_st"), estimate_seconds().alias("_est"),
+                                               F.floor(F.col("seq") / chunk).alias("_k"))
+    ends = kept.groupBy("task_id", "_k").agg(F.max_by("_st", F.when(F.col("_st").isNotNull(), F.col("seq"))).alias("_last"), F.max("ts").alias("_high"),
+                                             F.min_by(F.struct("ts", "_est"), "seq").alias("_head"))
+    order = Window.partitionBy("task_id").orderBy("_k")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("task_id", "_k", F.last("_last", ignorenulls=True).over(before).alias("_stage"), F.max("_high").over(before).alias("_until"),
+                        F.first("_head").over(order).alias("_first"))
+    here = Window.partitionBy("task_id", "_k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    j = kept.withColumns({"_here": F.last("_st", ignorenulls=True).over(here), "_now": F.max("ts").over(here)}).join(carry, ["task_id", "_k"])
+    secs = F.greatest("_now", "_until").cast("double") - F.col("_first.ts").cast("double")
+    pct = F.greatest(F.lit(0), F.least(F.lit(MAX_PERCENT), F.floor(secs / F.greatest(F.lit(1), F.col("_first._est")) * 100).cast("int")))
+    return j.select("task_id", "seq", F.coalesce("_here", "_stage", F.lit("处理中")).alias("stage"), pct.alias("progress"), "message")
 
 
 class Progress(StatefulProcessor):

@@ -85,15 +85,18 @@ def test_tasks_go_after_their_time_to_live(spark, tmp_path):
     assert seen["same"] > 12 and got.where("heartbeat").count() >= 1
 
 
-def test_percent_keeps_its_height_over_chunks(spark):
-    from inkloom.operators.ranking import running_max
-    rows = [("t", i, (i * 37) % 101) for i in range(200)] + [("u", i, 200 - i) for i in range(50)]
-    got = {(r.k, r.o): r.m for r in running_max(spark.createDataFrame(rows, "k string, o long, v int"), ["k"], "o", "v", "m", chunk=16).collect()}
-    best = {}
-    for k, o, v in rows:
-        best[k] = max(best.get(k, v), v)
-        assert got[k, o] == best[k]
-    assert len(got) == len(rows)
+def test_progress_is_the_same_over_chunks(spark):
+    rows = [("t", i, f"2024-01-01 00:{(i * 7) % 40 // 10:02d}:{(i * 37) % 60:02d}", LINES[i % 6] if i % 5 == 0 else "plain" if i % 7 else "", "other") for i in range(120)]
+    lines = spark.createDataFrame(rows, "task_id string, seq long, ts string, message string, preset string").withColumn("ts", F.to_timestamp("ts"))
+    whole, cut = ({(r.seq, r.stage, r.progress) for r in pr.progress_batch(lines, chunk=c).collect()} for c in (4096, 8))
+    assert whole == cut and len(cut) == sum(r[3] != "" for r in rows)
+    secs = [(i, int(t[14:16]) * 60 + int(t[17:])) for _, i, t, m, _ in rows if m]
+    best, want = 0, {}
+    for i, s in secs:
+        best = max(best, min(95, (s - secs[0][1]) * 100 // 240))
+        want[i] = best
+    assert {i: p for i, _, p in cut} == want
+    assert pr.progress_batch(lines.limit(0)).count() == 0
 
 
 def test_stage_rules(spark):

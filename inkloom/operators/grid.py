@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import runs
+from .images import with_image
 
 TILE = 1024
 SIZE_OF = {"y": "h", "x": "w"}
@@ -228,11 +229,12 @@ def resample(px: DataFrame, src: DataFrame, dst: DataFrame, value: str = "gray")
     """
     sizes = src.select("image_id", F.col("h").alias("_h0"), F.col("w").alias("_w0")).join(
         dst.select("image_id", F.col("h").alias("_h1"), F.col("w").alias("_w1")), "image_id")
-    df = px.select("image_id", "y", "x", value).join(sizes, "image_id")
-    span = lambda p, a, b: F.sequence(F.ceil(F.col(p) * F.col(b) / F.col(a)).cast("int"),
-                                      (F.ceil((F.col(p) + 1) * F.col(b) / F.col(a)) - 1).cast("int"))
+    df = with_image(px.select("image_id", "y", "x", value), sizes, F.col("_h0") - 1)
+    # products of a position and a size pass the range of int
+    first = lambda p, a, b: F.expr(f"(({p}) * cast({b} as bigint) + {a} - 1) div {a}")
+    span = lambda p, a, b: F.sequence(first(p, a, b).cast("int"), (first(f"{p} + 1", a, b) - 1).cast("int"))
+    cell = lambda p, a, b: F.expr(f"{p} * cast({b} as bigint) div {a}").cast("int").alias(p)
     up = df.where("_w1 >= _w0").withColumn("_x", F.explode(span("x", "_w0", "_w1"))).withColumn("_y", F.explode(span("y", "_h0", "_h1"))) \
         .select("image_id", F.col("_y").alias("y"), F.col("_x").alias("x"), F.col(value).cast("double").alias(value))
-    down = df.where("_w1 < _w0").groupBy("image_id", F.floor(F.col("y") * F.col("_h1") / F.col("_h0")).cast("int").alias("y"),
-                                          F.floor(F.col("x") * F.col("_w1") / F.col("_w0")).cast("int").alias("x")).agg(F.avg(value).alias(value))
+    down = df.where("_w1 < _w0").groupBy("image_id", cell("y", "_h0", "_h1"), cell("x", "_w0", "_w1")).agg(F.avg(value).alias(value))
     return up.unionByName(down)

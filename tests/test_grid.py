@@ -187,3 +187,11 @@ def test_trap_width(spark):
     from inkloom.operators.rules import trap_width_px
     df = spark.createDataFrame([(0.2, 150.0), (0.4, 300.0)], "mm double, ppi double")
     assert [r[0] for r in df.select(trap_width_px(F.col("mm"), F.col("ppi"))).collect()] == [1, 5]
+
+
+@pytest.mark.parametrize("dst,want", [((180_000, 6), {(0, 0, 5.0), (1, 2, 5.0), (179_998, 3, 7.0), (179_999, 5, 7.0)}), ((45_000, 1), {(0, 0, 5.0), (44_999, 0, 7.0)})])
+def test_resample_of_images_with_very_many_lines(spark, dst, want):
+    src = spark.createDataFrame([(0, 90_000, 2)], "image_id int, h int, w int")
+    tall = spark.createDataFrame([(0, 0, 0, 5), (0, 89_999, 1, 7)], PIX)
+    got = {(r.y, r.x, r.gray) for r in grid.resample(tall, src, spark.createDataFrame([(0, *dst)], src.schema)).collect()}
+    assert want <= got and len(got) == (12 if dst[1] == 6 else 2)

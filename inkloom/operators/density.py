@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .components import component_stats, connected_components, drop_small
 from .grid import closing, gaussian, opening
+from .images import with_image
 from .masks import in_regions, mask_stats
 from .quantiles import exact_percentiles
 from .rules import diffuse_reason
@@ -16,9 +17,9 @@ from .rules import diffuse_reason
 
 def ink_density(pixels: DataFrame, gold_percentile: float = 88.0) -> DataFrame:
     """Density ``d`` of every pixel against the whole image's bright ground."""
-    gold = pixels.groupBy("image_id").agg(F.greatest(F.percentile("gray", gold_percentile / 100.0) / 255.0, F.lit(1e-6)).alias("_g"))
+    gold = pixels.groupBy("image_id").agg(F.greatest(F.percentile("gray", gold_percentile / 100.0) / 255.0, F.lit(1e-6)).alias("_g"), F.max("y").alias("_last"))
     t = F.greatest(F.lit(0.01), F.least(F.lit(1.0), F.col("gray") / 255.0 / F.col("_g")))
-    return pixels.join(gold, "image_id").select("image_id", "y", "x", (F.lit(0.0) - F.ln(t) / math.log(50.0)).alias("d"))
+    return with_image(pixels, gold, F.col("_last")).select("image_id", "y", "x", (F.lit(0.0) - F.ln(t) / math.log(50.0)).alias("d"))
 
 
 def density_map(pixels: DataFrame, canvases: DataFrame, gold_percentile: float = 88.0, sigma: float = 4.0) -> DataFrame:
@@ -33,7 +34,7 @@ def global_percentiles(density: DataFrame, probs: dict[str, float] | None = None
 def block_means(density: DataFrame, canvases: DataFrame, block: int = 256) -> DataFrame:
     """Mean density per block; edges are evenly spaced and truncated to pixels."""
     n = lambda s: F.greatest(F.lit(1), F.floor(F.col(s) / block))
-    j = density.join(canvases, "image_id").withColumn("gy", n("h")).withColumn("gx", n("w"))
+    j = with_image(density, canvases).withColumn("gy", n("h")).withColumn("gx", n("w"))
     at = lambda p, s, g: (F.ceil((F.col(p) + 1) * F.col(g) / F.col(s)) - 1).cast("int")
     return j.groupBy("image_id", "gy", "gx", at("y", "h", "gy").alias("by"), at("x", "w", "gx").alias("bx")).agg(F.avg("d").alias("mean_d"))
 

@@ -83,7 +83,7 @@ def gaussian(df: DataFrame, canvases: DataFrame, value: str, sigma: float, *, ei
     """
     weights = gaussian_weights(sigma, eight_bit, radius)
     ks = list(keys)
-    base = df.select(*ks, "y", "x", F.col(value).cast("double").alias(value)).join(canvases, "image_id")
+    base = with_image(df.select(*ks, "y", "x", F.col(value).cast("double").alias(value)), canvases)
     return _smooth_tiles(base, ks, value, weights).select(*ks, "y", "x", value)
 
 
@@ -119,7 +119,7 @@ def _erode_axis(mask: DataFrame, axis: str, keys: list[str], lo: int, hi: int, t
 
 
 def _with_size(mask: DataFrame, canvases: DataFrame) -> DataFrame:
-    return mask if "w" in mask.columns else mask.join(canvases, "image_id")
+    return mask if "w" in mask.columns else with_image(mask, canvases)
 
 
 def dilate(mask: DataFrame, canvases: DataFrame, kh: int, kw: int, keys=("image_id", "layer"), tile: int = TILE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rules
+from .images import with_image
 
 PX = ["image_id", "y", "x"]
 
@@ -127,8 +128,8 @@ def ink_pixels(pixels: DataFrame, mask: DataFrame, rejected: DataFrame | None =
 
     The seam is taken off before rejected ink is added, so rejected pixels stay.
     """
-    med = pixels.groupBy("image_id").agg(F.percentile("gray", 0.5).alias("_med"))
-    dark = pixels.select(*PX, "gray").join(med, "image_id").where(F.col("gray") < F.col("_med") - delta).select(*PX)
+    med = pixels.groupBy("image_id").agg(F.percentile("gray", 0.5).alias("_med"), F.max("y").alias("_last"))
+    dark = with_image(pixels.select(*PX, "gray"), med, F.col("_last")).where(F.col("gray") < F.col("_med") - delta).select(*PX)
     low = F.lower("layer")
     seam = F.contains(low, F.lit("seam")) | F.contains(low, F.lit("fold"))
     fg = mask.where(~seam & ~F.contains(low, F.lit("frame"))).select(*PX)
@@ -202,7 +203,7 @@ def missing_core(core: DataFrame, detected: DataFrame) -> DataFrame:
 
 def in_regions(px: DataFrame, canvases: DataFrame, regions: list[tuple[str, float, float, float, float]]) -> DataFrame:
     """Pixels with each region they lie in; borders are truncated pixel positions."""
-    j = px.join(canvases, "image_id")
+    j = with_image(px, canvases)
     cut = lambda v, n: F.floor(F.lit(float(v)) * F.col(n))
     arms = [F.when((F.col("x") >= cut(x0, "w")) & (F.col("x") < cut(x1, "w")) & (F.col("y") >= cut(y0, "h")) & (F.col("y") < cut(y1, "h")),
                    F.lit(name)) for name, x0, y0, x1, y1 in regions]

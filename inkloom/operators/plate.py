@@ -12,6 +12,7 @@ from ..functions import color
 from . import runs
 from .components import component_stats, connected_components
 from .grid import close_ellipse, dilate_ellipse, ellipse, gaussian, gaussian_weights, open_ellipse
+from .images import with_image
 from .phase import phase_shift
 from .tiles import TILE, Tile, on_tiles, smooth
 
@@ -39,12 +40,13 @@ def safe_cut(void: DataFrame, canvases: DataFrame, min_y, max_y, max_tear: float
 
     No scan is needed: the first bad row bounds the answer.
     """
-    rows = void.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("_n")).join(canvases, "image_id")
+    rows = void.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("_n"))
+    rows = with_image(rows, canvases)
     bad = rows.where((F.col("y") >= min_y) & (F.col("y") < F.least(F.lit(max_y), F.col("h"))) & (F.col("_n") / F.col("w") > max_tear)) \
         .groupBy("image_id").agg(F.min("y").alias("_bad"))
     end = F.least(F.coalesce("_bad", F.lit(max_y)), F.lit(max_y), F.col("h"))
     cut = canvases.join(bad, "image_id", "left").select("image_id", "h", "w", F.greatest(F.lit(min_y), end - 1).cast("int").alias("safe_bottom_y"))
-    above = void.join(cut, "image_id").groupBy("image_id").agg(
+    above = with_image(void, cut).groupBy("image_id").agg(
         F.count_if(F.col("y") < F.col("safe_bottom_y")).alias("_a"), F.count_if(F.col("y") == F.col("safe_bottom_y")).alias("_c"))
     j = cut.join(above, "image_id", "left")
     area = F.greatest(F.lit(1), F.col("safe_bottom_y") * F.col("w"))
@@ -83,7 +85,7 @@ def trap(spot: DataFrame, canvases: DataFrame, width_px: int, adjacent: DataFram
     wide = runs.dilate_runs(own, kernel)
     if adjacent is None:
         return pixels(wide), pixels(runs.subtract_runs(wide, own))
-    under = runs.to_runs(adjacent.select(*PX), canvases, ("image_id",)).join(own.select("image_id", "layer").distinct(), "image_id")
+    under = with_image(runs.to_runs(adjacent.select(*PX), canvases, ("image_id",)), own.select("image_id", "layer", F.col("h").alias("_h")).distinct(), F.col("_h") - 1)
     band = runs.intersect_runs(wide, under)
     return pixels(runs.union_runs(own, band)), pixels(band)
 
@@ -159,7 +161,7 @@ def seam_shift(pixels: DataFrame, canvases: DataFrame, band: int = 32, max_shift
 
     Images of fewer than four rows, or without pixels in the bands, have the shift 0.
     """
-    j = pixels.select(*PX, "gray").join(canvases, "image_id").withColumn("rows", F.least(F.lit(band), F.floor(F.col("h") / 4)).cast("int"))
+    j = with_image(pixels.select(*PX, "gray"), canvases).withColumn("rows", F.least(F.lit(band), F.floor(F.col("h") / 4)).cast("int"))
     top, low = F.col("y") < F.col("rows"), F.col("h") - F.col("rows")
     cut = j.where(top | (F.col("y") >= low)).select("image_id", F.when(top, F.col("y")).otherwise(F.col("y") - low).alias("i"), "x", "rows", "w",
                                                      F.when(top, 0).otherwise(F.col("gray")).alias("a"), F.when(top, F.col("gray")).otherwise(0).alias("b"))
@@ -169,7 +171,7 @@ def seam_shift(pixels: DataFrame, canvases: DataFrame, band: int = 32, max_shift
 
 def harmonize_seam(pixels: DataFrame, canvases: DataFrame, shifts: DataFrame | None = None, band: int = 32, channel: str = "gray") -> DataFrame:
     """Bottom band sheared by the shift and blended toward the top band; other rows unchanged."""
-    j = pixels.select(*PX, F.col(channel).alias("v")).join(canvases, "image_id").withColumn("_b", F.least(F.lit(band), F.floor(F.col("h") / 4)).cast("int"))
+    j = with_image(pixels.select(*PX, F.col(channel).alias("v")), canvases).withColumn("_b", F.least(F.lit(band), F.floor(F.col("h") / 4)).cast("int"))
     j = j.withColumn("i", (F.col("y") - F.col("h") + F.col("_b")).cast("int"))
     bottom = j.where("i >= 0")
     if shifts is not None:
@@ -191,7 +193,7 @@ def harmonize_seam(pixels: DataFrame, canvases: DataFrame, shifts: DataFrame | N
 
 def seam_rmse(pixels: DataFrame, canvases: DataFrame, value: str = "gray") -> DataFrame:
     """Root mean square jump between the first and the last row."""
-    j = pixels.select(*PX, F.col(value).alias("v")).join(canvases, "image_id").where("y = 0 OR y = h - 1")
+    j = with_image(pixels.select(*PX, F.col(value).alias("v")), canvases).where("y = 0 OR y = h - 1")
     pair = j.groupBy("image_id", "x").agg(F.max(F.when(F.col("y") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("y") == F.col("h") - 1, F.col("v"))).alias("b"))
     return pair.groupBy("image_id").agg(F.round(F.sqrt(F.avg(F.pow(F.col("a") - F.col("b"), 2))), 3).alias("seam_rmse"))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .images import with_image
+
 KEYS = ("image_id", "layer")
 Kernel = dict[int, tuple[int, int]]  # dy -> first and last dx
 
@@ -22,11 +24,16 @@ def rectangle(kh: int, kw: int) -> Kernel:
 
 def to_runs(mask: DataFrame, canvases: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Runs of a pixel mask; a pixel given twice counts once."""
-    m = mask if "w" in mask.columns else mask.join(canvases, "image_id")
     line = [*keys, "y"]
-    place = F.dense_rank().over(Window.partitionBy(*line).orderBy("x"))
-    return m.select(*line, "x", "h", "w", (F.col("x") - place).alias("_g")).groupBy(*line, "_g").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("h").alias("h"), F.first("w").alias("w")).drop("_g")
+    size = [c for c in ("h", "w") if "w" in mask.columns]
+    order = Window.partitionBy(*line).orderBy("x")
+    near = mask.select(*line, "x", *size, F.lag("x").over(order).alias("_was"), F.lead("x").over(order).alias("_next"))
+    # of a run, its first and its last pixel stay: next to each other in the same order, so no group is kept in memory
+    first, last = F.coalesce(F.col("_was") < F.col("x") - 1, F.lit(True)), F.coalesce(F.col("_next") > F.col("x") + 1, F.lit(True))
+    ends = near.withColumns({"_first": first, "_last": last}).where("_first OR _last")
+    x1 = F.when(F.col("_last"), F.col("x")).otherwise(F.lead("x").over(order))
+    found = ends.withColumn("x1", x1).where("_first").select(*line, F.col("x").alias("x0"), "x1", *size)
+    return found if size else with_image(found, canvases.select("image_id", "h", "w")).select(*line, "x0", "x1", "h", "w")
 
 
 def to_pixels(runs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from .components import component_stats, connected_components, keep_components
 from .grid import close_ellipse, closing, islands, opening
+from .images import with_image
 from .masks import keep_distinct_instances
 from .tiles import TILE, Tile, on_tiles
 
@@ -33,7 +34,7 @@ def painting_roi(pixels: DataFrame, canvases: DataFrame, edge_band: int = 12, mi
     A line belongs to the picture when its mean is nearer to the centre's grey
     than to the border's, for at least ``min_run`` lines in a row.
     """
-    j = pixels.select("image_id", "y", "x", "gray").join(canvases, "image_id")
+    j = with_image(pixels.select("image_id", "y", "x", "gray"), canvases)
     lines = j.select("image_id", "h", "w", "gray", F.explode(F.array(
         F.struct(F.lit("y").alias("axis"), F.col("y").alias("p"), F.col("h").alias("n")),
         F.struct(F.lit("x").alias("axis"), F.col("x").alias("p"), F.col("w").alias("n")))).alias("l"))
@@ -84,7 +85,7 @@ def sample_panel(pixels: DataFrame, canvases: DataFrame, grad: float = 12.0, per
 
 def fold_seams(pixels: DataFrame, roi: DataFrame, canvases: DataFrame, panels: int = 6, reach: int = 30, margin: int = 50) -> DataFrame:
     """Darkest column near each expected fold."""
-    j = pixels.select("image_id", "y", "x", "gray").join(roi, "image_id").join(canvases, "image_id")
+    j = with_image(pixels.select("image_id", "y", "x", "gray"), roi.join(canvases, "image_id"))
     fold = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), (F.col("lft") + F.floor((F.col("rgt") - F.col("lft")) * (i / panels))).alias("c"))
                                for i in range(1, panels)]))
     cand = j.where((F.col("y") >= F.col("top") + margin) & (F.col("y") < F.col("btm") - margin)).withColumn("_f", fold).where(
@@ -96,7 +97,7 @@ def fold_seams(pixels: DataFrame, roi: DataFrame, canvases: DataFrame, panels: i
 def blob_instances(pixels: DataFrame, canvases: DataFrame, configs: list[dict], name: str = "blob") -> DataFrame:
     """Separate dark blobs in preset regions, numbered from left to right."""
     med = pixels.groupBy("image_id").agg(F.percentile("gray", 0.5).alias("_med"))
-    base = pixels.select("image_id", "y", "x", "gray").join(med, "image_id").join(canvases, "image_id")
+    base = with_image(pixels.select("image_id", "y", "x", "gray"), med.join(canvases, "image_id"))
     arms = []
     for i, c in enumerate(configs):
         x0, y0, x1, y1 = c["region"]
@@ -150,7 +151,7 @@ def seals(pixels: DataFrame, roi_px: DataFrame | None = None, min_area: int = 50
 def inscriptions(ink: DataFrame, canvases: DataFrame, min_area: int = 6, max_area: int = 3000) -> DataFrame:
     """Small components in the upper part of the outer quarters."""
     lab = connected_components(ink, ("image_id",))
-    st = component_stats(lab, ("image_id",)).join(canvases, "image_id")
+    st = with_image(component_stats(lab, ("image_id",)).withColumn("y", F.col("top")), canvases)
     side = (F.col("lft") > F.floor(F.col("w") * 0.75)) | (F.col("lft") < F.floor(F.col("w") * 0.25))
     keep = st.where(F.col("area").between(min_area, max_area) & (F.col("top") < F.floor(F.col("h") * 0.45))
                     & (F.greatest("bw", "bh") < 150) & side)
@@ -160,7 +161,7 @@ def inscriptions(ink: DataFrame, canvases: DataFrame, min_area: int = 6, max_are
 def birds(ink: DataFrame, canvases: DataFrame, min_area: int = 6, max_area: int = 400) -> DataFrame:
     """Small components in the upper half, away from the right column."""
     lab = connected_components(ink, ("image_id",))
-    st = component_stats(lab, ("image_id",)).join(canvases, "image_id")
+    st = with_image(component_stats(lab, ("image_id",)).withColumn("y", F.col("top")), canvases)
     keep = st.where(F.col("area").between(min_area, max_area) & (F.col("top") < F.floor(F.col("h") * 0.5))
                     & (F.greatest("bw", "bh") <= 60) & (F.col("lft") < F.floor(F.col("w") * 0.75)))
     return keep_components(lab, keep, ("image_id",)).drop("label")
@@ -174,8 +175,8 @@ def component_classes(pixels: DataFrame, ink: DataFrame, canvases: DataFrame, mi
     at = ["image_id", "y", "x"]
 
     def enough(px, least):
-        big = px.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select("image_id")
-        return px.join(big, "image_id", "left_semi")
+        big = px.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"), F.max("y").alias("_last")).where(F.col("_n") > least)
+        return with_image(px, big, F.col("_last")).select(*at)
 
     seal = seals(pixels, min_area=seal_min)
     named = seal.withColumn("layer", F.lit("seal"))
@@ -216,7 +217,7 @@ def buildings(pixels: DataFrame, ink: DataFrame, canvases: DataFrame, *, edge: f
 
 def figures_near(ink: DataFrame, boxes: DataFrame, canvases: DataFrame) -> DataFrame:
     """Ink in the lower left part of a building's box."""
-    j = ink.join(boxes, "image_id").join(canvases, "image_id")
+    j = with_image(ink, boxes.join(canvases, "image_id"))
     y0, y1 = F.col("top") + F.floor(F.col("bh") * 0.25), F.least(F.col("h"), F.col("top") + F.col("bh"))
     return j.where((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= F.col("lft")) & (F.col("x") < F.col("lft") + F.floor(F.col("bw") * 0.65))) \
         .select("image_id", "y", "x")
@@ -224,7 +225,7 @@ def figures_near(ink: DataFrame, boxes: DataFrame, canvases: DataFrame) -> DataF
 
 def distant_wash(pixels: DataFrame, ink: DataFrame, canvases: DataFrame, kernel: int = 21) -> DataFrame:
     """Pale ink between 45 and 12 codes under the ground, bridged."""
-    med = pixels.groupBy("image_id").agg(F.percentile("gray", 0.5).alias("_med"))
-    pale = pixels.join(med, "image_id").where((F.col("gray") >= F.col("_med") - 45) & (F.col("gray") < F.col("_med") - 12)) \
+    med = pixels.groupBy("image_id").agg(F.percentile("gray", 0.5).alias("_med"), F.max("y").alias("_last"))
+    pale = with_image(pixels, med, F.col("_last")).where((F.col("gray") >= F.col("_med") - 45) & (F.col("gray") < F.col("_med") - 12)) \
         .select("image_id", F.lit("wash").alias("layer"), "y", "x").join(ink.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi")
     return close_ellipse(pale.select("image_id", "layer", "y", "x"), canvases, kernel).select("image_id", "layer", "y", "x")

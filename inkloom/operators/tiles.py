@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .images import with_image
+
 TILE = 256
 
 
@@ -86,7 +88,7 @@ def on_tiles(df: DataFrame, canvases: DataFrame, values: list[str], halo: int, f
     span = lambda c, n: F.explode(F.sequence(
         F.greatest(F.lit(0), F.floor((F.col(c) - halo) / size)).cast("int"), F.least(F.floor((F.col(n) - 1) / size), F.floor((F.col(c) + halo) / size)).cast("int")))
     named = df.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(v).cast("double").alias(v) for v in values])
-    cut = named.join(canvases.select("image_id", "h", "w"), "image_id").withColumn("_ty", span("y", "h")).withColumn("_tx", span("x", "w"))
+    cut = with_image(named, canvases.select("image_id", "h", "w")).withColumn("_ty", span("y", "h")).withColumn("_tx", span("x", "w"))
     out = T.StructType([df.schema["image_id"], *T.StructType.fromDDL(columns).fields])
     arrow = to_arrow_schema(out)
 

@@ -114,3 +114,23 @@ def test_traps(spark, some):
         near = np.any([s for (i, _), s in side.items() if i == k[0]], axis=0)
         for got, want in ((thin, inner), (rim, a & ~inner), (full, a | (wide & near)), (band, wide & near), (free, wide), (edge, wide & ~a)):
             assert (of(got, *k, a.shape) == want).all()
+
+
+def test_steps_on_one_large_image_run_in_many_tasks(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    tall = spark.range(4000).select(F.lit(0).alias("image_id"), F.lit("m").alias("layer"), F.col("id").cast("int").alias("y"), F.lit(3).alias("x"))
+    canvas = spark.createDataFrame([(0, 4000, 9)], "image_id int, h int, w int")
+    kernel = grid.ellipse(3)
+    own = runs.to_runs(tall, canvas)
+    trapped, band = plate.trap(tall, canvas, 1, tall.withColumn("x", F.lit(4)).drop("layer"))
+    try:
+        for k, value in conf.items():
+            spark.conf.set(k, value)
+        for made in (own, runs.subtract_runs(runs.dilate_runs(own, kernel), own), grid.closing(tall, canvas, 3, 3), band, trapped,
+                     grid.gaussian(tall.withColumn("v", F.col("y")), canvas, "v", 1.0)):
+            sizes = [r["count"] for r in made.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            assert max(sizes) < 0.7 * sum(sizes)
+    finally:
+        for k, value in kept.items():
+            spark.conf.set(k, value)

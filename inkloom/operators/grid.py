@@ -140,12 +140,12 @@ def erode(mask: DataFrame, canvases: DataFrame, kh: int, kw: int, keys=("image_i
     return m.select(*ks, "y", "x", "h", "w")
 
 
-def opening(mask: DataFrame, canvases: DataFrame, kh: int, kw: int, keys=("image_id", "layer"), tile: int = TILE) -> DataFrame:
-    return dilate(erode(mask, canvases, kh, kw, keys, tile), canvases, kh, kw, keys, tile)
+def opening(mask: DataFrame, canvases: DataFrame, kh: int, kw: int, keys=("image_id", "layer")) -> DataFrame:
+    return _in_runs(mask, canvases, keys, (runs.open_runs, runs.rectangle(kh, kw)))
 
 
-def closing(mask: DataFrame, canvases: DataFrame, kh: int, kw: int, keys=("image_id", "layer"), tile: int = TILE) -> DataFrame:
-    return erode(dilate(mask, canvases, kh, kw, keys, tile), canvases, kh, kw, keys, tile)
+def closing(mask: DataFrame, canvases: DataFrame, kh: int, kw: int, keys=("image_id", "layer")) -> DataFrame:
+    return _in_runs(mask, canvases, keys, (runs.close_runs, runs.rectangle(kh, kw)))
 
 
 # ---- elliptic kernels ------------------------------------------------------

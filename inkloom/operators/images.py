@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 LINES = 64  # lines of a band
 
 
+def by_line(df: DataFrame, line: list[str]) -> DataFrame:
+    """``df`` dealt by ``line`` over all shuffle partitions; a given number is not merged.
+
+    Positions pack so well that partitions merged by their bytes would hold many times the rows meant.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *line)
+
+
 def with_image(df: DataFrame, facts: DataFrame, last: Column | None = None) -> DataFrame:
     """``df`` (image_id, y, ..) joined with ``facts``, the rows of its image; lines beyond ``last`` (h - 1) are no part of it.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .images import with_image
+from .images import by_line, with_image
 
 KEYS = ("image_id", "layer")
 Kernel = dict[int, tuple[int, int]]  # dy -> first and last dx
@@ -27,7 +27,7 @@ def to_runs(mask: DataFrame, canvases: DataFrame, keys: tuple[str, ...] = KEYS)
     line = [*keys, "y"]
     size = [c for c in ("h", "w") if "w" in mask.columns]
     order = Window.partitionBy(*line).orderBy("x")
-    near = mask.select(*line, "x", *size, F.lag("x").over(order).alias("_was"), F.lead("x").over(order).alias("_next"))
+    near = by_line(mask.select(*line, "x", *size), line).select(*line, "x", *size, F.lag("x").over(order).alias("_was"), F.lead("x").over(order).alias("_next"))
     # of a run, its first and its last pixel stay: next to each other in the same order, so no group is kept in memory
     first, last = F.coalesce(F.col("_was") < F.col("x") - 1, F.lit(True)), F.coalesce(F.col("_next") > F.col("x") + 1, F.lit(True))
     ends = near.withColumns({"_first": first, "_last": last}).where("_first OR _last")
@@ -49,7 +49,7 @@ def _sweep(ends: DataFrame, keys: tuple[str, ...], need: Column) -> DataFrame:
     """Maximal runs where the sum of open intervals is at least ``need``."""
     line = Window.partitionBy(*keys, "y").orderBy("p")
     inside = F.sum("d").over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow)) >= need  # ends at one place count together
-    turns = ends.withColumn("_in", inside).withColumn("_was", F.coalesce(F.lag("_in").over(line), F.lit(False))).where("_in <> _was")
+    turns = by_line(ends, [*keys, "y"]).withColumn("_in", inside).withColumn("_was", F.coalesce(F.lag("_in").over(line), F.lit(False))).where("_in <> _was")
     return turns.withColumn("x1", F.lead("p").over(line) - 1).where("_in").select(*keys, "y", F.col("p").alias("x0"), "x1", "h", "w")
 
 

@@ -15,8 +15,12 @@ def read_presets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(presets: DataFrame) -> DataFrame:
-    """Adds the open-schema value ``v``; broken texts have none."""
-    return presets.withColumn("v", F.try_parse_json("text"))
+    """Adds the open-schema value ``v``; broken texts have none.
+
+    Checking a text costs far more than reading it, so texts are dealt over all shuffle partitions first: a small file is one split.
+    """
+    dealt = presets.repartition(int(presets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn("v", F.try_parse_json("text"))
 
 
 def _get(v: Column, path: str, typ: str = "variant") -> Column:

@@ -91,3 +91,9 @@ def test_resolution_by_alias_name_and_words(spark):
     assert got["Cinnabar_Seal"] == ("seal", 1)
     assert got["03_my_Ripples_of_Water"] == ("water_ripples", 2)
     assert got["nothing"] == (None, None)
+
+
+def test_presets_of_one_split_are_parsed_in_many_tasks(spark):
+    one = spark.range(400).coalesce(1).select(F.concat(F.lit("f"), "id").alias("file"), F.lit("{}").alias("text"))
+    tasks = presets.parsed(one).select("file", F.spark_partition_id().alias("p")).collect()
+    assert len(tasks) == 400 and len({r.p for r in tasks}) > 1

@@ -82,3 +82,18 @@ def test_unmatched_uploads_never_look_sure(spark):
     rows = df.select(*[c.alias(n) for n, c in rec.items()]).collect()
     assert [(r.preset, r.confidence, r.reason) for r in rows] == [("japanese_screen_gold", 0.55, "aspect"), ("textile_damask", 0.55, "material_low_conf"),
                                                                  ("western_oil_painting", 0.8, "material"), ("textile_damask_photo", 0.85, "panel")]
+
+
+def test_manifest_names_meet_in_one_pass_over_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from inkloom.operators import audit
+
+    at = "run_id long, name string"
+    declared = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (2, "c")], at)
+    actual = spark.createDataFrame([(1, "a"), (1, "d"), (1, None), (2, "c"), (3, "e")], at)
+    got = {tuple(r) for r in audit.manifest_consistency(declared, actual).collect()}
+    assert got == {(1, 3, 3, 2, 2, False), (2, 1, 1, 0, 0, True), (3, 0, 1, 1, 0, False)}
+    many = spark.range(2000).select((F.col("id") % 500).alias("run_id"), F.col("id").cast("string").alias("name"))
+    plan = audit.manifest_consistency(many, many)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan

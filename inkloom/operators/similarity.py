@@ -169,7 +169,8 @@ def search(queries: DataFrame, built: CellIndex, *, query_id: str, query_vec: st
         if best:
             yield out()
 
-    met = built.packs.withColumn("part", part).join(asked, ["cell", "part"]).select("cell", "qids", "qvecs", "within", "ids", "vecs", "lo", "hi")
+    # a part of the index is held and queries stream past it: sorted, all that ask one part would stand in one task
+    met = built.packs.withColumn("part", part).hint("shuffle_hash").join(asked, ["cell", "part"]).select("cell", "qids", "qvecs", "within", "ids", "vecs", "lo", "hi")
     return met.mapInPandas(score, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 

@@ -51,6 +51,14 @@ def test_far_cells_are_skipped(spark):
     assert met < 0.3 * 36 * (built.size > 0).sum()  # of all queries times cells
 
 
+def test_queries_stream_past_the_parts(spark):
+    """Neither side is sorted: a sorted task would hold all queries that ask one part."""
+    built = sim.build_index(vectors(spark, groups(60)), pivots=4, pack=16)
+    found = sim.search(vectors(spark, groups(10), "q"), built, query_id="q", query_vec="embedding")
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BuildLeft" in next(x for x in plan.split("\n") if "ShuffledHashJoin" in x)
+
+
 def test_empty_sides(spark):
     none = vectors(spark, []).withColumn("audit_passed", F.lit(True))
     some = vectors(spark, groups(5)).withColumn("audit_passed", F.col("task_id") > 9)

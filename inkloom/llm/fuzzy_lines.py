@@ -30,22 +30,51 @@ MIN_CHARS = 20
 SKETCH, BAND = 14, 3
 THRESHOLD = 0.8
 BLOCK = 512
+SIGNS = 32  # words of 64 bits in a line's signature, a power of two
 BITS = 24  # of a bit table: 2 MB, whatever the data
 
-_WINDOW = r"(?s)(?=(.{%d}))."  # looks ahead from each character, then steps over it
+_WIDE = 4  # bytes of a character in UTF-32, where a place is found without reading what stands before it
+
+
+def _hashes(line: Column, size: int) -> Column:
+    """Hashes of a line's shingles, place by place."""
+    at = lambda b: F.sequence(F.lit(1), F.octet_length(b) - (_WIDE * size - 1), F.lit(_WIDE))
+    of = lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(_WIDE * size))))
+    # as the element of an array the bytes are not copied for each shingle
+    return F.when(F.char_length(line) >= size, F.transform(F.array(F.encode(line, "UTF-32")), of)[0]).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """Sorted distinct hashes of a line's shingles."""
-    found = F.regexp_extract_all(line, F.lit(_WINDOW % size), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    """Distinct hashes of a line's shingles."""
+    return F.array_distinct(_hashes(line, size))
+
+
+def sketch(line: Column, size: int = SHINGLE) -> Column:
+    """The ``SKETCH`` smallest distinct hashes of a line's shingles, sorted; all where there are fewer.
 
+    Of long lines only the hashes below a bound that some ``4 * SKETCH`` should pass are sorted, and all if too few passed.
+    """
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    least, all_ = F.lit(float(-1 << 63)), F.lit(float(1 << 64))
+    bound = lambda h: (least + all_ * F.least(F.lit(1.0), F.lit(4.0 * SKETCH) / F.size(h))).cast("long")
+    some = lambda h: F.when(F.size(h) > 4 * SKETCH, once(bound(h), lambda t: F.array_distinct(F.filter(h, lambda x: x < t))))
+    pick = lambda h: once(some(h), lambda s: F.when(F.size(s) >= SKETCH, s).otherwise(F.array_distinct(h)))
+    return F.slice(F.sort_array(once(_hashes(line, size), pick)), 1, SKETCH)
 
-def bands(shingle_column: str) -> Column:
+
+def bands(sketch_column: str) -> Column:
     """Hashes of neighbouring sketch values; a line with few shingles has one band of all, one with none has none."""
-    n = f"least({SKETCH}, size({shingle_column}))"
-    parts = ", ".join(f"{shingle_column}[i + {k}]" for k in range(BAND))
-    return F.expr(f"CASE WHEN {n} >= {BAND} THEN transform(sequence(0, {n} - {BAND}), i -> xxhash64({parts})) WHEN {n} > 0 THEN array(xxhash64({shingle_column})) ELSE array() END")
+    n = f"least({SKETCH}, size({sketch_column}))"
+    parts = ", ".join(f"{sketch_column}[i + {k}]" for k in range(BAND))
+    return F.expr(f"CASE WHEN {n} >= {BAND} THEN transform(sequence(0, {n} - {BAND}), i -> xxhash64({parts})) WHEN {n} > 0 THEN array(xxhash64({sketch_column})) ELSE array() END")
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(node, w0, w1, ..): a bit for each shingle hash of ``line``; a bit only one line has is a shingle only that line has."""
+    bit = F.expr("shiftleft(1L, cast(_h & 63 AS int))")
+    word = F.expr(f"cast(shiftrightunsigned(_h, 6) & {SIGNS - 1} AS int)")
+    each = lines.select("node", F.explode(shingles(F.col("line"))).alias("_h")).select("node", word.alias("_w"), bit.alias("_b"))
+    return each.groupBy("node").agg(*[F.bit_or(F.when(F.col("_w") == k, F.col("_b")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(SIGNS)])
 
 
 def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -74,7 +103,7 @@ def with_bit(df: DataFrame, column: str, table_: DataFrame) -> DataFrame:
 def line_verdicts(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, k1, k2, line_no, kept_doc_id, kept_line_no): one row for each line to remove, with the line that stands for it."""
     place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "k1", "k2", "line_no")
-    sketched = lines_of(docs, text, id_col).withColumn("_s", shingles(F.col("line"))).withColumn("keys", bands("_s"))
+    sketched = lines_of(docs, text, id_col).withColumn("_s", sketch(F.col("line"))).withColumn("keys", bands("_s"))
     distinct = stored(sketched.groupBy("h1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("h2").alias("_a"), F.max("h2").alias("_b"),
                                                  F.first("keys").alias("keys")).where("_a = _b").drop("_a", "_b"), "lines")
     keyed = distinct.select(F.col("h1").alias("node"), F.explode(F.array_distinct("keys")).alias("key"))
@@ -90,10 +119,16 @@ def line_verdicts(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
         return both.select("a", "b", (F.col("_n") / (F.size("sa") + F.size("sb") - F.col("_n"))).alias("similarity"))
 
     def rest(live: DataFrame) -> DataFrame:
-        cell = links.cells(live, BLOCK).join(kept, "node").groupBy("key", "cell").agg(F.collect_list(F.struct("node", "root", "line")).alias("_m")) \
-            .select(F.transform("_m", lambda x: F.struct(x["node"].alias("node"), x["root"].alias("root"), shingles(x["line"]).alias("s"))).alias("m"))
-        near = "size(array_intersect(x.s, y.s)) * {0} >= {1} * (size(x.s) + size(y.s))".format(1 + threshold, threshold)
-        close = f"y.node > x.node AND y.root <> x.root AND size(x.s) >= {threshold} * size(y.s) AND size(y.s) >= {threshold} * size(x.s) AND {near}"
+        signs = [f"w{k}" for k in range(SIGNS)]
+        lines = live.select("node").distinct().join(kept, "node")
+        signed = stored(signatures(lines), "signatures").join(lines, "node")
+        cell = links.cells(live, BLOCK).join(signed, "node").groupBy("key", "cell").agg(F.collect_list(F.struct("node", "root", "line", *signs)).alias("_m")) \
+            .select(F.transform("_m", lambda x: F.struct(x["node"].alias("node"), x["root"].alias("root"), shingles(x["line"]).alias("s"), *[x[w].alias(w) for w in signs])).alias("m"))
+        near = "({2}) * {0} >= {1} * (size(x.s) + size(y.s))"
+        missing = " + ".join(f"bit_count(x.{w} & ~y.{w})" for w in signs)  # shingles of x that y lacks, or fewer
+        may = near.format(1 + threshold, threshold, f"size(x.s) - ({missing})")
+        is_ = near.format(1 + threshold, threshold, "size(array_intersect(x.s, y.s))")
+        close = f"y.node > x.node AND y.root <> x.root AND size(x.s) >= {threshold} * size(y.s) AND size(y.s) >= {threshold} * size(x.s) AND {may} AND {is_}"
         found = F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> {close}), y -> struct(x.node AS a, y.node AS b))))")
         return cell.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
 

@@ -58,19 +58,23 @@ def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshol
                          .select("key", F.col("node").alias("_l"), F.col("root").alias("_lr"), F.col("pivot").alias("_lp"), F.col("far").alias("_lf")), "leaders")
         may = (F.col("root") != F.col("_lr")) & ((F.col("pivot") != F.col("_lp")) | (F.abs(F.col("far") - F.col("_lf")) <= 1 - threshold + 1e-9))
         pairs = live.join(leaders, "key").where(may).select(F.least("_l", "node").alias("a"), F.greatest("_l", "node").alias("b")).distinct()
-        links = links.unionByName(stored(verify(pairs).where(near_at(F.col("similarity"))).select("a", "b"), "links"))
         live = live.join(leaders.select("key", F.col("_l").alias("node")), ["key", "node"], "left_anti")
+        roots, live = merged(roots, live, stored(verify(pairs).where(near_at(F.col("similarity"))).select("a", "b"), "links"))
         step += 1
-    if step == 0:
+    if live.isEmpty():
         return roots
-    if not live.isEmpty():
-        links = links.unionByName(stored(rest(live.select("key", "node", "root")), "links"))
+    return merged(roots, live, stored(rest(live.select("key", "node", "root")), "links"))[0]
+
+
+def merged(roots: DataFrame, live: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``roots`` and ``live`` after further links: what these join has one root again, so it is not compared any more."""
     at = lambda side: links.join(roots.select(F.col("node").alias(side), F.col("root").alias("_" + side)), side, "left")
     over = at("a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b", "left") \
         .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b").distinct()
-    tops = contract(over, [])  # only what joins components of the first step
-    moved = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
-    return moved.unionByName(tops)
+    tops = contract(over, [])  # only what joins components known before
+    top = tops.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    moved = roots.join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root")).unionByName(tops)
+    return stored(moved, "roots"), live.join(top, "root", "left").withColumn("root", F.coalesce("_top", "root")).drop("_top")
 
 
 def cells(live: DataFrame, block: int) -> DataFrame:

@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from inkloom.llm import decision_rules as dr
 from inkloom.llm import fuzzy_lines as fl
 from inkloom.llm import secrets as sec
@@ -119,6 +121,30 @@ def test_lines_that_differ_inside_words(spark):
     assert {(r["doc_id"], r["line_no"]) for r in fl.line_verdicts(docs).collect()} == want
 
 
+def test_sketch_is_the_smallest_hashes(spark):
+    rnd = random.Random(3)
+    lines = ["".join(rnd.choice(a) for _ in range(n)) for n in (5, 9, 23, 80, 300, 900) for a in ("abcdefgh", "ab", "a", "日本語é😀x")]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for r in df.select("line", fl.shingles(F.col("line")).alias("s"), fl.sketch(F.col("line")).alias("k")).collect():
+        assert len(r.s) == len(set(r.s)) == len({r.line[i:i + 9] for i in range(len(r.line) - 8)})
+        assert r.k == sorted(r.s)[:fl.SKETCH]
+
+
+def test_open_buckets_find_every_link(spark, monkeypatch):
+    """A bucket of lines that share a passage: what leaders do not settle is compared by signatures first, then exactly."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared, rows = text(120), []
+    for i in range(40):
+        own = text(200)
+        rows += [(3 * i, shared + own), (3 * i + 1, shared + own[:150] + text(10) + own[160:]), (3 * i + 2, shared + text(200))]
+    seen = []
+    old = fl.signatures
+    monkeypatch.setattr(fl, "signatures", lambda lines: seen.append(1) or old(lines))
+    got = {(r["doc_id"], r["line_no"]) for r in fl.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen and got == windows_to_remove(rows) and len(got) == 40
+
+
 def test_lines_of_white_space(spark):
     """Tabs are not trimmed: lines of them have windows like others, and lines without shingles have no band."""
     rows = [(1, "\t" * 20 + "\nkeep this line of words here"), (2, "\t" * 25 + "\n" + "\t \t" * 9)]

@@ -45,6 +45,7 @@ FAN = 64         # matrices multiplied by one task at a level
 _KEEP = 250_000  # runs a worker remembers, about 45 MB, and as many pairs, 30 MB
 _AT_ONCE = 50_000  # runs looked up at once
 _TEXTS = 64        # texts decoded at once
+_CHUNKS = 32       # chunks of long texts held as Python objects at once
 _MARK = "▁"
 _START = 0       # node before the first piece
 _EDGE = 63       # node of a cut that is itself a free place
@@ -401,8 +402,13 @@ def _int_lists(parts: list[array | None]) -> pa.Array:
 IDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
-def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with column ids."""
+def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK,
+           decoded: str | None = None) -> DataFrame:
+    """``docs`` with column ids, and with column ``decoded``, if named, as ``decode`` gives it.
+
+    Asked for together, ids of short texts are decoded where they were made, so a task needs one worker instead of two.
+    """
+    new = T.StructType([*IDS.fields, *([T.StructField(decoded, T.StringType())] if decoded else [])])
     size = F.coalesce(F.char_length(text), F.lit(0))
 
     def plain(texts: pa.Array) -> dict:
@@ -410,14 +416,15 @@ def encode(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", model
         known = texts.to_pylist()
         ids, upto = lat.encode_all(known)
         mask = pa.array([t is None for t in known]) if texts.null_count else None
-        return {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)).astype(np.int32)), pa.array(ids), mask=mask)}
+        made = {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)).astype(np.int32)), pa.array(ids), mask=mask)}
+        return made | ({decoded: _decoded(lat, made["ids"])} if decoded else {})
 
-    small = with_columns(docs.where(size <= giant), IDS, plain, text)
+    small = with_columns(docs.where(size <= giant), new, plain, text)
     k1, k2 = row_keys(text, id_col)
     long_docs = docs.where(size > giant).withColumns({"_k1": k1, "_k2": k2})
     made = giant_ids(long_docs.select("_k1", "_k2", F.col(text).alias("text")).dropDuplicates(["_k1", "_k2"]), model, chunk)
     big = long_docs.drop("ids").join(made, ["_k1", "_k2"]).select(*[c for c in docs.columns if c.lower() != "ids"], "ids")
-    return small.unionByName(big)
+    return small.unionByName(decode(big, model=model, into=decoded) if decoded else big)
 
 
 _PART = T.StructType([T.StructField("_k1", T.LongType()), T.StructField("_k2", T.LongType()), T.StructField("c", T.IntegerType()),
@@ -484,11 +491,12 @@ def giant_ids(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataF
     schema = T.StructType([*_PART.fields[:3], T.StructField("t", T.StringType())])
     arrow = to_arrow_schema(schema)
 
-    def matrices(batch):
+    def matrices(whole):
         lat = lattice(model)
-        rows = [{"_k1": r["_k1"], "_k2": r["_k2"], "c": r["c"],
-                 "t": json.dumps(lat.transfer(r["piece"], r["begin"], r["end"], r["c"] == 0))} for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        for at in range(0, whole.num_rows, _CHUNKS):
+            rows = [{"_k1": r["_k1"], "_k2": r["_k2"], "c": r["c"],
+                     "t": json.dumps(lat.transfer(r["piece"], r["begin"], r["end"], r["c"] == 0))} for r in whole.slice(at, _CHUNKS).to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     levels = [stored(map_batches(parts, matrices, schema), "matrices")]
     width = (parts.agg(F.max("c")).first()[0] or 0) + 1
@@ -506,35 +514,39 @@ def giant_ids(texts: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataF
     found = T.StructType([*_PART.fields[:3], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     found_arrow = to_arrow_schema(found)
 
-    def backtraces(batch):
+    def backtraces(whole):
         lat = lattice(model)
-        rows = batch.to_pylist()
-        ids = _int_lists([lat.chunk_ids(r["piece"], r["begin"], r["end"], json.loads(r["left"]), r["right"]) for r in rows])
-        yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), batch.column("c"), ids.cast(found_arrow.field("ids").type)], schema=found_arrow)
+        for at in range(0, whole.num_rows, _CHUNKS):
+            batch = whole.slice(at, _CHUNKS)
+            ids = _int_lists([lat.chunk_ids(r["piece"], r["begin"], r["end"], json.loads(r["left"]), r["right"]) for r in batch.to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("_k1"), batch.column("_k2"), batch.column("c"), ids.cast(found_arrow.field("ids").type)], schema=found_arrow)
 
     joined = parts.join(states, ["_k1", "_k2", "c"]).select("_k1", "_k2", "c", "begin", "end", "piece", "left", "right")
     done = map_batches(joined, backtraces, found)
     return done.groupBy("_k1", "_k2").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(c, ids))), x -> x.ids)")).alias("ids"))
 
 
+def _decoded(lat: Lattice, column: pa.Array) -> list[str | None]:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets, known = column.offsets.to_numpy(), column.is_valid().to_pylist()
+    out = []
+    for lo in range(0, len(column), _TEXTS):
+        part = offsets[lo:lo + _TEXTS + 1]
+        out += lat.decode_all(column.values.slice(part[0], part[-1] - part[0]).to_numpy(zero_copy_only=False).astype(np.int64), part - part[0])
+    return [t if ok else None for t, ok in zip(out, known)]
+
+
 def decode(df: DataFrame, *, model: str = MODEL, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``df`` with column ``into``: the text of its ids."""
 
     def run(column: pa.Array) -> dict:
-        lat = lattice(model)
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
-        offsets, known = column.offsets.to_numpy(), column.is_valid().to_pylist()
-        out = []
-        for lo in range(0, len(column), _TEXTS):
-            part = offsets[lo:lo + _TEXTS + 1]
-            out += lat.decode_all(column.values.slice(part[0], part[-1] - part[0]).to_numpy(zero_copy_only=False).astype(np.int64), part - part[0])
-        return {into: [t if ok else None for t, ok in zip(out, known)]}
+        return {into: _decoded(lattice(model), column)}
 
     return with_columns(df, T.StructType([T.StructField(into, T.StringType())]), run, ids)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs)).select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
+    return encode(docs, decoded="decoded").select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids",
                                        F.col("decoded").eqNullSafe(F.regexp_replace("text", _MARK, " ")).alias("round_trip"))

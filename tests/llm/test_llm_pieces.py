@@ -52,3 +52,14 @@ def test_frames_with_giant_texts_nulls_and_clashes(spark, odd_docs, no_docs):
             else:
                 assert r["ids"] == LIB.encode(r["text"]) and r["decoded"] == r["text"]
     assert encode(no_docs).count() == 0
+
+
+def test_decoding_where_the_ids_are_made(spark, odd_docs):
+    """The same rows as in two steps, with one Python step for short texts instead of two in a row."""
+    docs = odd_docs.withColumn("ids", F.lit("old"))
+    key = lambda df: sorted(map(repr, df.select(*docs.columns, "decoded").collect()))
+    for giant, chunk in ((100, 64), (10_000, 700)):
+        made = encode(docs, giant=giant, chunk=chunk, decoded="decoded")
+        assert key(made) == key(decode(encode(docs, giant=giant, chunk=chunk)))
+    top = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split()[0]
+    assert top(encode(docs, decoded="decoded")) == "Union" and top(decode(encode(docs))) == "MapInArrow"

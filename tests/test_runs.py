@@ -140,3 +140,20 @@ def test_lines_packed_small_are_not_merged_into_one_task(spark):
     tall = spark.range(4000).select(F.lit(0).alias("image_id"), F.lit("m").alias("layer"), F.col("id").cast("int").alias("y"), F.lit(3).alias("x"))
     closed = grid.closing(tall, spark.createDataFrame([(0, 4000, 9)], "image_id int, h int, w int"), 3, 3)
     assert "REPARTITION_BY_NUM" in closed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_dealt_over_more_partitions_as_the_files_grow(spark, tmp_path, monkeypatch):
+    from inkloom.operators import images
+
+    monkeypatch.setattr(images, "ROWS", 100)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = {}
+    for n in (50, 5000):
+        path = str(tmp_path / f"mask {n}")
+        pixels = spark.range(n).selectExpr("0 AS image_id", "'a' AS layer", "cast(id div 10 AS int) AS y", "cast(id % 10 * 2 AS int) AS x")
+        pixels.repartition(3).write.parquet(path)
+        mask = spark.read.parquet(path)
+        counts[n] = images.by_line(mask.where("x >= 0"), ["image_id", "layer", "y"]).rdd.getNumPartitions()
+        found = runs.to_runs(mask, spark.createDataFrame([(0, 500, 20)], "image_id int, h int, w int"))
+        assert found.count() == n and found.where("x0 = x1").count() == n
+    assert counts == {50: few, 5000: 50}

@@ -11,7 +11,8 @@ take. A chunk yields a transfer matrix between the pieces that cross its left an
 its left cut and the one chosen at its right cut, and each chunk then backtraces alone.
 
 Within a chunk, runs that no piece can leave (a word with the spaces before it, a character that stands only alone) are
-scanned once and remembered.
+scanned once and remembered. Short runs of ASCII and Latin-1 letters met for the first time are scanned side by side, place
+by place in numpy.
 
 Defined cases: null texts have null ids and decode to null; empty texts have no ids; characters outside the vocabulary
 become byte pieces; U+2581 decodes to a space, as in the library; repeated rows are encoded alike; columns named like a
@@ -24,7 +25,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ _KEEP = 250_000  # runs a worker remembers, about 45 MB, and as many pairs, 30 M
 _AT_ONCE = 50_000  # runs looked up at once
 _TEXTS = 64        # texts decoded at once
 _CHUNKS = 32       # chunks of long texts held as Python objects at once
+_SHORT = 32        # characters of a run that is scanned side by side with others
+_SLOTS = 20        # bits of a place in the table of pairs, 8 MB
 _MARK = "▁"
 _START = 0       # node before the first piece
 _EDGE = 63       # node of a cut that is itself a free place
@@ -93,6 +96,98 @@ class Lattice:
         self._bytes, self._byte_end = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8), np.cumsum(lengths)
         self._byte_len = lengths
         self.pieces = {p: i for p, i in self.ids.items() if len(p) == 1 or self.steps(p)[-1:] and self.steps(p)[-1][1] == p}
+        self._plant()
+
+    def _plant(self) -> None:
+        """Tree of the pieces of printable ASCII, Latin-1 letters and the mark, read from their last character to their first."""
+        letters = [chr(c) for c in range(33, 127)] + [c for c in (*map(chr, range(0xC0, 0x100)), _MARK) if c in self.pieces]
+        number = {c: k for k, c in enumerate(letters)}
+        self._letter = np.full(1 << 14, -1, dtype=np.int32)
+        self._letter[[ord(c) for c in letters]] = np.arange(len(letters))
+        child: dict[tuple[int, int], int] = {}
+        ends, self._named = [-1], {}  # code of the piece that is read in full at a node
+        for piece in dict.fromkeys((*letters, *self.pieces)):
+            if all(c in number for c in piece):
+                at = 0
+                for c in reversed(piece):
+                    at = child.setdefault((at, number[c]), len(ends))
+                    if at == len(ends):
+                        ends.append(-1)
+                ends[at] = self.code(piece)
+                self._named[ends[at]] = piece
+        self._down = np.zeros((len(ends), len(letters)), dtype=np.min_scalar_type(len(ends)))  # child by letter, 0 none
+        where = np.array(list(child))
+        self._down[where[:, 0], where[:, 1]] = list(child.values())
+        self._at_node = np.array(ends, dtype=np.int64)
+        self._pairs = np.full(1 << _SLOTS, -1, dtype=np.int64)  # 2 * pair + whether it fits; a later pair takes the place of an earlier one
+
+    def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fits`` for pairs of codes."""
+        pair = left << 22 | right
+        slot = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        found = self._pairs[slot]
+        new = np.flatnonzero(found >> 1 != pair)
+        if len(new):
+            known, named = self._fits, self._named
+            if len(known) > _KEEP:
+                known.clear()
+            each, first, place = np.unique(pair[new], return_index=True, return_inverse=True)
+            good = []
+            for p in each.tolist():
+                ok = known.get(p)
+                if ok is None:
+                    ok = known[p] = self.fits(named[p >> 22], named[p & (1 << 22) - 1])
+                good.append(ok)
+            answer = each << 1 | np.array(good, dtype=np.int64)
+            self._pairs[slot[new][first]] = answer
+            found[new] = answer[place]
+        return (found & 1).astype(bool)
+
+    def short_ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the runs one after the other, how many each has, whether a run was taken): ``run_path`` for many runs at once.
+
+        Taken are runs of at most ``_SHORT`` characters, all of them in the tree.
+        """
+        size = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
+        chars = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = np.where(chars < len(self._letter), self._letter[np.minimum(chars, len(self._letter) - 1)], -1)
+        begin = np.cumsum(size) - size
+        taken = (size <= _SHORT) & (np.minimum.reduceat(letter, begin) >= 0)
+        order = np.flatnonzero(taken)
+        order = order[np.argsort(-size[order], kind="stable")]  # those that reach a place stand first
+        long, first = size[order], begin[order]
+        most = int(long[0]) if len(order) else 0
+        last, code = np.zeros((most + 1, len(order)), dtype=np.int64), np.full((most + 1, len(order)), -1, dtype=np.int64)
+        for x in range(1, most + 1):
+            row = np.arange(np.searchsorted(-long, -x, side="right"))
+            node = np.zeros(len(row), dtype=np.int64)
+            for n in range(1, x + 1):
+                node = self._down[node, letter[first[row] + x - n]].astype(np.int64)
+                row, node = row[node > 0], node[node > 0]
+                if not len(row):
+                    break
+                own, left = self._at_node[node], code[x - n][row]
+                good = own >= 0
+                check = np.flatnonzero(good & (left >= 0))
+                good[check] = self._fitting(left[check], own[check])
+                last[x, row[good]], code[x, row[good]] = n, own[good]
+                row, node = row[~good], node[~good]
+        found = np.full((most, len(order)), -1, dtype=np.int64)  # pieces from the last to the first
+        at, row = long.copy(), np.arange(len(order))
+        for k in range(most):
+            found[k, row] = code[at[row], row]
+            at[row] -= last[at[row], row]
+            row = row[at[row] > 0]
+            if not len(row):
+                break
+        count = np.zeros(len(runs), dtype=np.int64)
+        count[order] = (found >= 0).sum(axis=0)
+        byrun = found[::-1].T[np.argsort(order)]
+        flat = byrun[byrun >= 0]
+        outside = flat >= 1 << 21
+        if outside.any():  # all ASCII, so one byte each
+            flat[outside] = np.array(self.byte_id)[flat[outside] - (1 << 21)]
+        return flat.astype(np.int32), count[taken], taken
 
     def steps(self, piece: str) -> list[tuple[float, str, str]]:
         """Merges inside ``piece`` alone, in order: (score, then first part, then last part)."""
@@ -237,20 +332,28 @@ class Lattice:
             self._asked = np.concatenate((self._asked, np.zeros(len(self._asked), dtype=np.int32)))
         return n
 
+    def _scan(self, runs: list[str]) -> list[str]:
+        """Remembers distinct runs not met before; returns those too long to stay."""
+        ids, count, taken = self.short_ids(runs)
+        n = len(self._ends) - 1
+        self._index.update(zip(compress(runs, taken.tolist()), range(n, n + len(count))))
+        self._ends.frombytes((np.cumsum(count) + len(self._flat)).astype(np.int64).tobytes())
+        self._flat.frombytes(ids.tobytes())
+        if n + len(count) > len(self._asked):
+            self._asked = np.concatenate((self._asked, np.zeros(max(len(self._asked), len(count)), dtype=np.int32)))
+        others = list(compress(runs, (~taken).tolist()))
+        for run in others:
+            self._remember(run, self.to_ids(self.run_path(run)))
+        return [run for run in others if len(run) > 64]
+
     def run_ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the runs one after the other, how many there are up to the end of each run)."""
         if len(self._index) > _KEEP or len(self._flat) > 16 * _KEEP:
             self._forget()
         number = np.fromiter(map(self._index.get, runs, repeat(-1)), dtype=np.int64, count=len(runs))
-        passing = []
-        for i in np.flatnonzero(number < 0).tolist():
-            run = runs[i]
-            n = self._index.get(run)
-            if n is None:
-                n = self._remember(run, self.to_ids(self.run_path(run)))
-                if len(run) > 64:
-                    passing.append(run)
-            number[i] = n
+        missing = np.flatnonzero(number < 0).tolist()
+        passing = self._scan(list(dict.fromkeys(map(runs.__getitem__, missing)))) if missing else []
+        number[missing] = [self._index[runs[i]] for i in missing]
         np.add.at(self._asked, number, 1)
         ends = np.frombuffer(self._ends, dtype=np.int64)
         start, size = ends[number], ends[number + 1] - ends[number]

@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkloom.llm import pieces
 from inkloom.llm.pieces import MODEL, decode, encode, lattice, normal, times
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -63,3 +65,30 @@ def test_decoding_where_the_ids_are_made(spark, odd_docs):
         assert key(made) == key(decode(encode(docs, giant=giant, chunk=chunk)))
     top = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split()[0]
     assert top(encode(docs, decoded="decoded")) == "Union" and top(decode(encode(docs))) == "MapInArrow"
+
+
+def test_short_runs_scanned_side_by_side_are_those_scanned_alone():
+    rng = random.Random(3)
+    lat = pieces.Lattice(MODEL)
+    runs = list(dict.fromkeys("".join(rng.choice("▁▁aeinrstlhxyzéñß#<~|0129\x01中я") for _ in range(rng.randint(1, 36))) for _ in range(3000)))
+    runs += ["▁hello", "▁über", "naïve", "▁" * 9, "x" * 32, "x" * 33]
+    ids, count, taken = lat.short_ids(runs)
+    ends = [0, *np.cumsum(count).tolist()]
+    alone = [lat.to_ids(lat.run_path(r)).tolist() for r, t in zip(runs, taken) if t]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == alone and 100 < len(alone) < len(runs)
+    assert taken[-6:].tolist() == [True] * 5 + [False]
+
+
+def test_runs_met_first_leave_no_room_for_python_loops(monkeypatch):
+    lat = pieces.Lattice(MODEL)
+    asked = []
+    monkeypatch.setattr(lat, "run_path", lambda run: asked.append(run) or pieces.Lattice.run_path(lat, run))
+    words = [f"{a}{b}{c}" for a in ("grün", "ab", "Zéro") for b in ("lich", "quon", "tra") for c in ("sen", "xo", "é")]
+    lat.encode_all([" ".join(words)])
+    assert not asked
+
+
+def test_pairs_that_meet_in_one_slot_are_judged_alone(monkeypatch):
+    monkeypatch.setattr(pieces, "_SLOTS", 2)
+    text = "Unrelated wörds, numbers 12345 and <tags/> of several kinds; again: wörds and kinds!"
+    assert pieces.Lattice(MODEL).encode(text) == LIB.encode(text)

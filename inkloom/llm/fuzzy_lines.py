@@ -8,8 +8,13 @@ first line, by document id and place.
 
 A pair at similarity 0.8 shares no three neighbours of the sketch once in a hundred times, one at 0.9 practically never.
 
-Texts are not shuffled: bands and verdicts travel as hashes, and two bit tables of a fixed size, broadcast, tell which
-bands and which lines are worth sending at all (a full bit table would only let everything through).
+Most of a line's shingles are hashed one by one as rows, in generated code, and only those that can be among the smallest are
+collected; lines that keep too few are sketched whole. After the first round lines are compared only where their signatures
+allow it: these tell how many shingles at least only one of two lines has, and a pair this rules out is not near.
+
+Lines are cut out of the texts once and stored. Texts are not shuffled: bands and verdicts travel as hashes, and bit tables of
+a fixed size, broadcast, tell which bands and which lines are worth sending at all (a full bit table would only let everything
+through).
 
 Defined cases: null and empty texts have no lines to remove and stay; lines under ``MIN_CHARS`` characters are never
 removed; a text may lose all lines and then is empty; rows with equal id and text share one verdict; lines whose 64-bit
@@ -30,7 +35,8 @@ MIN_CHARS = 20
 SKETCH, BAND = 14, 3
 THRESHOLD = 0.8
 BLOCK = 512
-SIGNS = 32  # words of 64 bits in a line's signature, a power of two
+SOME = 24  # shingles of a line that should pass the bound, so that seldom fewer than SKETCH do
+SIGNS = 24  # words of 64 bits in a line's signature; with 28 a join of blocks took three times as long
 BITS = 24  # of a bit table: 2 MB, whatever the data
 
 _WIDE = 4  # bytes of a character in UTF-32, where a place is found without reading what stands before it
@@ -65,16 +71,54 @@ def sketch(line: Column, size: int = SHINGLE) -> Column:
 def bands(sketch_column: str) -> Column:
     """Hashes of neighbouring sketch values; a line with few shingles has one band of all, one with none has none."""
     n = f"least({SKETCH}, size({sketch_column}))"
-    parts = ", ".join(f"{sketch_column}[i + {k}]" for k in range(BAND))
-    return F.expr(f"CASE WHEN {n} >= {BAND} THEN transform(sequence(0, {n} - {BAND}), i -> xxhash64({parts})) WHEN {n} > 0 THEN array(xxhash64({sketch_column})) ELSE array() END")
+    band = lambda i: f"xxhash64({', '.join(f'{sketch_column}[{i} + {k}]' for k in range(BAND))})"
+    full = ", ".join(band(i) for i in range(SKETCH - BAND + 1))  # most lines; the other forms are not generated code
+    return F.expr(f"CASE WHEN {n} = {SKETCH} THEN array({full}) WHEN {n} >= {BAND} THEN transform(sequence(0, {n} - {BAND}), i -> {band('i')}) "
+                  f"WHEN {n} > 0 THEN array(xxhash64({sketch_column})) ELSE array() END")
+
+
+def each_shingle(lines: DataFrame, *keep: str, size: int = SHINGLE) -> DataFrame:
+    """(keep, _m, _h): a row for every place of ``line`` where a shingle begins, and one with null for the line itself; _m is their number."""
+    wide = lines.select(*keep, F.encode("line", "UTF-32").alias("_u"))
+    counted = wide.withColumn("_m", F.greatest(F.lit(0), F.octet_length("_u") / _WIDE - (size - 1)).cast("int"))
+    placed = counted.select("*", F.explode(F.sequence(F.lit(1 - _WIDE), (F.col("_m") - 1) * _WIDE + 1, F.lit(_WIDE))).alias("_i"))
+    return placed.select(*keep, "_m", F.when(F.col("_i") > 0, F.xxhash64(F.substring("_u", F.col("_i"), F.lit(_WIDE * size)))).alias("_h"))
+
+
+def line_keys(lines: DataFrame) -> DataFrame:
+    """(node, keys): the bands of every line's ``sketch``, the line named by ``h1``; without lines whose hashes collide."""
+    bound = (F.lit(float(-1 << 63)) + F.lit(float(1 << 64)) * F.least(F.lit(1.0), F.lit(float(SOME)) / F.greatest(F.col("_m"), F.lit(1)))).cast("long")
+    low = each_shingle(lines, "h1", "h2").where(F.col("_h").isNull() | (F.col("_m") <= SOME) | (F.col("_h") < bound))
+    met = low.groupBy(F.col("h1").alias("node")).agg(F.collect_set("_h").alias("_s"), F.max("_m").alias("_m"), F.min("h2").alias("_a"), F.max("h2").alias("_b")).where("_a = _b")
+    least = met.select("node", F.slice(F.sort_array("_s"), 1, SKETCH).alias("_s"), ((F.col("_m") > SOME) & (F.size("_s") < SKETCH)).alias("_few"))
+    made = stored(least.select("node", F.when(~F.col("_few"), bands("_s")).alias("keys")), "keys")
+    few = made.where("keys IS NULL").select("node")
+    whole = with_bit(lines.select(F.col("h1").alias("node"), "line"), "node", bit_table(few, "node")).join(few, "node").dropDuplicates(["node"])
+    again = stored(whole.select("node", sketch(F.col("line")).alias("_s")).select("node", bands("_s").alias("keys")), "keys")
+    return made.where("keys IS NOT NULL").unionByName(again)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(node, w0, w1, ..): a bit for each shingle hash of ``line``; a bit only one line has is a shingle only that line has."""
-    bit = F.expr("shiftleft(1L, cast(_h & 63 AS int))")
-    word = F.expr(f"cast(shiftrightunsigned(_h, 6) & {SIGNS - 1} AS int)")
-    each = lines.select("node", F.explode(shingles(F.col("line"))).alias("_h")).select("node", word.alias("_w"), bit.alias("_b"))
-    return each.groupBy("node").agg(*[F.bit_or(F.when(F.col("_w") == k, F.col("_b")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(SIGNS)])
+    """(node, m, w0, w1, ..): the number of places of ``line`` where a shingle begins, and a bit for each shingle hash.
+
+    A bit only one line has is a shingle only that line has.
+    """
+    word = F.expr(f"cast(shiftrightunsigned(_h, 6) % {SIGNS} AS int)")
+    bits = each_shingle(lines, "node").where("_h IS NOT NULL").select("node", word.alias("_w"), F.expr("shiftleft(1L, cast(_h & 63 AS int))").alias("_b"), "_m")
+    none = lines.select("node", F.explode(F.sequence(F.lit(0), F.lit(SIGNS - 1))).alias("_w"), F.lit(0).cast("long").alias("_b"), F.lit(0).alias("_m"))
+    words = bits.unionByName(none).groupBy("node", "_w").agg(F.bit_or("_b").alias("_b"), F.max("_m").alias("_m"))
+    one = words.groupBy("node").agg(F.max("_m").alias("m"), F.sort_array(F.collect_list(F.struct("_w", "_b")))["_b"].alias("_all"))
+    return one.select("node", "m", *[F.col("_all")[k].alias(f"w{k}") for k in range(SIGNS)])
+
+
+def may_be_near(threshold: float) -> str:
+    """Condition that every pair at ``threshold`` meets, on places and signatures (am, aw0, ..) and (bm, bw0, ..).
+
+    If at least d shingles are in one line only, at most (am + bm - d) / 2, and at most am and bm, are in both.
+    """
+    d = " + ".join(f"bit_count(aw{k} ^ bw{k})" for k in range(SIGNS))
+    each = threshold / (1 - threshold)  # shingles in both, for one in one line only
+    return f"{d} <= least(am / {each}D, bm / {each}D, (am + bm) / {2 * each + 1}D) + 1e-6D"
 
 
 def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -86,61 +130,63 @@ def lines_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
 
 
 def bit_table(df: DataFrame, column: str) -> DataFrame:
-    """(_bucket, _bits): at most 2^BITS / 32768 rows of 4 KB with a bit for each value of ``column``."""
+    """(_bucket, _words): at most 2^BITS / 32768 rows of 512 words with a bit for each value of ``column``."""
     at = df.select(F.pmod(F.col(column), F.lit(1 << BITS)).alias("_at"))
-    return stored(at.groupBy(F.floor(F.col("_at") / 32768).alias("_bucket")).agg(F.expr("bitmap_construct_agg(_at % 32768)").alias("_bits")), "bits")
+    made = at.groupBy(F.floor(F.col("_at") / 32768).alias("_bucket")).agg(F.expr("bitmap_construct_agg(_at % 32768)").alias("_bits"))
+    word = F.expr("transform(sequence(0, 511), i -> cast(conv(hex(substring(_bits, i * 8 + 1, 8)), 16, -10) AS bigint))")
+    return stored(made.select("_bucket", word.alias("_words")), "bits")
 
 
 def with_bit(df: DataFrame, column: str, table_: DataFrame) -> DataFrame:
     """Rows of ``df`` whose value of ``column`` has its bit set: all in the table and a few more."""
-    at = F.pmod(F.col(column), F.lit(1 << BITS))
-    held = df.withColumn("_bucket", F.floor(at / 32768)).join(F.broadcast(table_), "_bucket")  # 2 MB at most by construction
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(pmod({column}, 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr(f"cast(pmod({column}, 8) as int)")
-    return held.where(F.call_function("getbit", byte, bit) == 1).drop("_bucket", "_bits")
+    held = df.withColumn("_bucket", F.shiftright(F.pmod(F.col(column), F.lit(1 << BITS)), 15)).join(F.broadcast(table_), "_bucket")  # 2 MB at most by construction
+    word = f"_words[cast(pmod({column}, 32768) div 64 AS int)]"
+    return held.where(F.expr(f"shiftrightunsigned({word}, cast(pmod({column}, 64) ^ 56 AS int)) & 1 = 1")).drop("_bucket", "_words")  # ^ 56: the first byte is the highest
 
 
 def line_verdicts(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, k1, k2, line_no, kept_doc_id, kept_line_no): one row for each line to remove, with the line that stands for it."""
-    place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "k1", "k2", "line_no")
-    sketched = lines_of(docs, text, id_col).withColumn("_s", sketch(F.col("line"))).withColumn("keys", bands("_s"))
-    distinct = stored(sketched.groupBy("h1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min("h2").alias("_a"), F.max("h2").alias("_b"),
-                                                 F.first("keys").alias("keys")).where("_a = _b").drop("_a", "_b"), "lines")
-    keyed = distinct.select(F.col("h1").alias("node"), F.explode(F.array_distinct("keys")).alias("key"))
-    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    buckets = links.shared_buckets(with_bit(keyed, "key", bit_table(shared, "key")))
+    lines = stored(lines_of(docs, text, id_col), "lines", "zstd")
+    keyed = line_keys(lines).select("node", F.explode("keys").alias("key"))
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    buckets = links.shared_buckets(with_bit(keyed, "key", bit_table(shared, "key")), shared)
     wanted = stored(buckets.select("node").distinct(), "wanted")
-    texts = with_bit(lines_of(docs, text, id_col).select(F.col("h1").alias("node"), "line"), "node", bit_table(wanted, "node"))
-    kept = stored(texts.join(wanted.hint("merge"), "node").dropDuplicates(["node"]), "texts")  # shingles take eight bytes a character, so they are made anew where lines meet
+    texts = with_bit(lines.select(F.col("h1").alias("node"), "line"), "node", bit_table(wanted, "node")).join(wanted.hint("merge"), "node")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")  # shingles take eight bytes a character, so they are made anew where lines meet
+    signs = ["m", *[f"w{k}" for k in range(SIGNS)]]
+    at = lambda df, x, *cols: df.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in cols])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        la, lb = kept.select(F.col("node").alias("a"), F.col("line").alias("la")), kept.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-        both = pairs.join(lb, "b").join(la, "a").withColumns({"sa": shingles(F.col("la")), "sb": shingles(F.col("lb"))}).withColumn("_n", F.size(F.array_intersect("sa", "sb")))
+        both = pairs.join(at(texts, "b", "line"), "b").join(at(texts, "a", "line"), "a") \
+            .withColumns({"sa": shingles(F.col("aline")), "sb": shingles(F.col("bline"))}).withColumn("_n", F.size(F.array_intersect("sa", "sb")))
         return both.select("a", "b", (F.col("_n") / (F.size("sa") + F.size("sb") - F.col("_n"))).alias("similarity"))
 
+    def signed(nodes: DataFrame) -> DataFrame:
+        return stored(signatures(texts.join(nodes.distinct(), "node")), "signatures")
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        met = stored(pairs, "pairs")
+        known = signed(met.select(F.explode(F.array("a", "b")).alias("node")))
+        near = met.join(at(known, "b", *signs), "b").join(at(known, "a", *signs), "a").where(may_be_near(threshold))
+        return verify(stored(near.select("a", "b"), "pairs"))
+
     def rest(live: DataFrame) -> DataFrame:
-        signs = [f"w{k}" for k in range(SIGNS)]
-        lines = live.select("node").distinct().join(kept, "node")
-        signed = stored(signatures(lines), "signatures").join(lines, "node")
-        cell = links.cells(live, BLOCK).join(signed, "node").groupBy("key", "cell").agg(F.collect_list(F.struct("node", "root", "line", *signs)).alias("_m")) \
-            .select(F.transform("_m", lambda x: F.struct(x["node"].alias("node"), x["root"].alias("root"), shingles(x["line"]).alias("s"), *[x[w].alias(w) for w in signs])).alias("m"))
-        near = "({2}) * {0} >= {1} * (size(x.s) + size(y.s))"
-        missing = " + ".join(f"bit_count(x.{w} & ~y.{w})" for w in signs)  # shingles of x that y lacks, or fewer
-        may = near.format(1 + threshold, threshold, f"size(x.s) - ({missing})")
-        is_ = near.format(1 + threshold, threshold, "size(array_intersect(x.s, y.s))")
-        close = f"y.node > x.node AND y.root <> x.root AND size(x.s) >= {threshold} * size(y.s) AND size(y.s) >= {threshold} * size(x.s) AND {may} AND {is_}"
-        found = F.expr(f"flatten(transform(m, x -> transform(filter(m, y -> {close}), y -> struct(x.node AS a, y.node AS b))))")
-        return cell.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
-
-    roots = stored(links.group(buckets, verify, threshold, rest=rest), "roots")
+        cell = links.cells(live, BLOCK).join(signed(live.select("node")), "node")
+        of = lambda x: cell.select("key", "cell", F.col("node").alias(x), *[F.col(c).alias(x + c) for c in ("root", *signs)])
+        near = of("a").join(of("b"), ["key", "cell"]).where("a < b AND aroot <> broot").where(may_be_near(threshold))
+        met = verify(stored(near.select("a", "b"), "pairs").distinct())
+        return met.where(F.greatest("similarity", F.lit(threshold)) == F.col("similarity")).select("a", "b")
+
+    roots = stored(links.group(buckets, verify, threshold, rest=rest, settle=settle), "roots")
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())  # roots are members too
-    firsts = distinct.select(F.col("h1").alias("node"), "first", "n").join(every, "node", "left")
-    several = stored(firsts.where("n > 1 OR root IS NOT NULL").select("node", F.coalesce("root", "node").alias("root"), "first"), "several")
-    heads = stored(several.groupBy("root").agg(F.min("first").alias("head")), "heads")
-    verdict = stored(several.join(heads, "root").select(F.col("node").alias("h1"), "head"), "verdicts")
-    narrow = with_bit(lines_of(docs, text, id_col).select("doc_id", "k1", "k2", "line_no", "h1"), "h1", bit_table(verdict, "h1"))
+    counts = lines.groupBy(F.col("h1").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("h2").alias("_a"), F.max("h2").alias("_b")).where("_a = _b")
+    several = stored(counts.join(every, "node", "left").where("n > 1 OR root IS NOT NULL").select(F.col("node").alias("h1"), F.coalesce("root", "node").alias("root")), "several")
+    narrow = with_bit(lines.select("doc_id", "k1", "k2", "line_no", "h1"), "h1", bit_table(several, "h1"))
+    members = stored(narrow.join(several, "h1").drop("h1"), "members")
+    place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "k1", "k2", "line_no")
+    heads = stored(members.groupBy("root").agg(F.min(place).alias("head")), "heads")
     same = (F.col("k1") == F.col("head.k1")) & (F.col("k2") == F.col("head.k2")) & (F.col("line_no") == F.col("head.line_no"))
-    return stored(narrow, "candidates").join(verdict, "h1").where(~same).select(
+    return members.join(heads, "root").where(~same).select(
         "doc_id", "k1", "k2", "line_no", F.col("head.doc_id").alias("kept_doc_id"), F.col("head.line_no").alias("kept_line_no"))
 
 

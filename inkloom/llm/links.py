@@ -21,9 +21,12 @@ from ..operators.components import _contract as contract
 from .store import stored
 
 
-def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """(key, node, standing) of the buckets with two nodes or more; counted before the shuffle, so a hot bucket is no hot task."""
-    size = stored(buckets.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count(F.lit(1)).alias("n"))
+def shared_buckets(buckets: DataFrame, size: DataFrame | None = None) -> DataFrame:
+    """(key, node, standing) of the buckets with two nodes or more; counted before the shuffle, so a hot bucket is no hot task.
+
+    ``size`` is (key, n) of these buckets, where it is known already.
+    """
+    size = size if size is not None else stored(buckets.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count(F.lit(1)).alias("n"))
                   .where("_a <> _b").select("key", "n"), "sizes")
     inside = stored(buckets.join(size, "key"), "buckets")
     standing = stored(inside.groupBy("node").agg(F.sum("n").alias("standing")), "standing")
@@ -31,11 +34,12 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
 
 
 def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, *, rest: Callable[[DataFrame], DataFrame],
-          widths: tuple[int, ...] = (8,)) -> DataFrame:
+          settle: Callable[[DataFrame], DataFrame] | None = None, widths: tuple[int, ...] = (8,)) -> DataFrame:
     """(node, root) of every node with a verified link; root is the smallest node of its component.
 
     ``buckets`` is what ``shared_buckets`` gives; ``verify`` takes distinct pairs (a, b) and returns them with their
-    similarity, one minus which must be a metric. ``rest`` takes (key, node, root) and returns links (a, b).
+    similarity, one minus which must be a metric. ``settle`` does so after the first round and may leave out pairs below
+    ``threshold``. ``rest`` takes (key, node, root) and returns links (a, b).
     """
     best = buckets.groupBy("key").agg(F.max(F.struct("standing", "node")).alias("_top"))
     near = buckets.join(stored(best, "tops"), "key").groupBy("node").agg(F.max("_top").alias("_top")).select("node", F.col("_top.node").alias("leader"))
@@ -59,7 +63,7 @@ def group(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshol
         may = (F.col("root") != F.col("_lr")) & ((F.col("pivot") != F.col("_lp")) | (F.abs(F.col("far") - F.col("_lf")) <= 1 - threshold + 1e-9))
         pairs = live.join(leaders, "key").where(may).select(F.least("_l", "node").alias("a"), F.greatest("_l", "node").alias("b")).distinct()
         live = live.join(leaders.select("key", F.col("_l").alias("node")), ["key", "node"], "left_anti")
-        roots, live = merged(roots, live, stored(verify(pairs).where(near_at(F.col("similarity"))).select("a", "b"), "links"))
+        roots, live = merged(roots, live, stored((settle or verify)(pairs).where(near_at(F.col("similarity"))).select("a", "b"), "links"))
         step += 1
     if live.isEmpty():
         return roots

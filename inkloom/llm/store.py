@@ -18,8 +18,8 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/llm-{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
+def stored(df: DataFrame, what: str = "step", codec: str | None = None) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: one computation, short lineage, safe when executors go."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -130,6 +130,45 @@ def test_sketch_is_the_smallest_hashes(spark):
         assert r.k == sorted(r.s)[:fl.SKETCH]
 
 
+def test_line_keys_are_the_bands_of_whole_sketches(spark):
+    """Hashing places as rows below a bound gives the same bands, also for lines of few different shingles."""
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice(a) for _ in range(n)) for n in (20, 31, 32, 33, 60, 200, 900) for a in ("abcdefgh ", "ab", "日本語é😀x") for _ in range(12)]
+    lines += ["-" * n for n in (20, 33, 500)] + ["ab" * 200, "abcdefghij" * 90, "\t" * 40]
+    docs = spark.createDataFrame([(i, x + "x\n" + x + "x") for i, x in enumerate(lines)], "doc_id long, text string")
+    found = fl.lines_of(docs)
+    got = {r["node"]: r["keys"] for r in fl.line_keys(found).collect()}
+    want = {r["h1"]: r["keys"] for r in found.select("h1", fl.sketch(F.col("line")).alias("s")).withColumn("keys", fl.bands("s")).collect()}
+    assert len(want) == len(set(lines)) and got == want and min(map(len, got.values())) >= 1
+
+
+def test_signatures_rule_out_no_near_pair(spark):
+    rnd = random.Random(4)
+    tail = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for _ in range(150):
+        a = rnd.choice((tail(rnd.randint(9, 60)), tail(rnd.randint(60, 900)), "xy" * rnd.randint(10, 90)))
+        k, n = rnd.randrange(len(a)), rnd.randint(0, max(1, len(a) // 8))
+        rows.append((2 * len(rows), a, rnd.choice((a[:k] + tail(n) + a[k:], a[:k] + a[k + n:] + "x" * 9, a + a, a + a[:k], tail(len(a))))))
+    df = spark.createDataFrame(rows, "i long, x string, y string").select("i", F.array("x", "y").alias("l"))
+    signs = fl.signatures(df.select(F.posexplode("l").alias("k", "line"), "i").selectExpr("i + k AS node", "line"))
+    side = lambda n: signs.select(F.col("node").alias(n), *[F.col(c).alias(n + c) for c in signs.columns[1:]])
+    may = {r["a"] for r in side("a").join(side("b"), F.expr("b = a + 1 AND a % 2 = 0")).where(fl.may_be_near(0.8)).collect()}
+    windows = lambda t: {t[i:i + 9] for i in range(len(t) - 8)}
+    jaccard = {i: len(windows(x) & windows(y)) / len(windows(x) | windows(y)) for i, x, y in rows}
+    plain = {i for i, x, y in rows if all(len(windows(t)) > 0.9 * (len(t) - 8) for t in (x, y))}  # places are close to shingles
+    near, far = {i for i, j in jaccard.items() if j >= 0.8}, {i for i, j in jaccard.items() if j < 0.3} & plain
+    assert len(near) > 30 and near <= may and len(far) > 15 and not far & may
+
+
+def test_bit_table_holds_every_value(spark):
+    values = spark.range(40_000).selectExpr("CASE WHEN id < 3000 THEN id - 1500 ELSE xxhash64(id) END AS v")  # words of all bits, negative values
+    held, other = values.where("v % 3 <> 0"), spark.range(5000).selectExpr("(id + 1) * 1000003 AS v")
+    assert fl.with_bit(held, "v", fl.bit_table(held, "v")).count() == held.count()
+    set_ = {r["v"] % (1 << fl.BITS) for r in held.collect()}
+    assert {r["v"] for r in fl.with_bit(other, "v", fl.bit_table(held, "v")).collect()} == {r["v"] for r in other.collect() if r["v"] % (1 << fl.BITS) in set_}
+
+
 def test_open_buckets_find_every_link(spark, monkeypatch):
     """A bucket of lines that share a passage: what leaders do not settle is compared by signatures first, then exactly."""
     rnd = random.Random(8)
